@@ -26,7 +26,9 @@ NO_ACTIVITY_COLOR, UNKNOWN_SPORT_COLOR = "#FFFFFF", "#E0E0E0"
 
 
 def readable_name(sport: Column) -> Column:
-    return F.initcap(F.replace(sport, F.lit("_"), F.lit(" ")))
+    """Underscores to spaces and every run of letters capitalised."""
+    runs = F.regexp_extract_all(F.replace(sport, F.lit("_"), F.lit(" ")), F.lit(r"(\p{L}+|[^\p{L}]+)"))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def with_display_names(activities: DataFrame, mapping: DataFrame, *, sport: str = "sport") -> DataFrame:
