@@ -125,7 +125,7 @@ def master_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
             F.concat((F.max(qty).cast("long") % 10).cast("string"), F.lit(":15:00")).alias("total_sleep"),
             F.concat(F.lit("1:"), F.lpad(F.min(qty).cast("long").cast("string"), 2, "0"), F.lit(":00")).alias("deep_sleep"),
             F.lit("0:45:30").alias("rem_sleep"),
-            F.when(F.max(part_key) % 5 == 0, 0.0).otherwise((F.max(part_key % 100)).cast("double")).alias("score")),
+            F.when(F.max(part_key) % 5 == 0, 0.0).otherwise((F.max(part_key) % 100).cast("double")).alias("score")),
         "stress": lines.select(
             (F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_linenumber"))).alias("timestamp"),
             (qty - 10).alias("stress")),

@@ -204,9 +204,21 @@ def lookup_by_frequency(
     shuffled.
     """
     total = table.agg(F.sum(count_col)).scalar()
+    values = [c for c in table.columns if c not in on and c != count_col]
     marked = table.withColumn("_heavy", F.col(count_col) > total * heavy_share)
-    heavy = marked.where("_heavy").drop("_heavy", count_col)
-    light = marked.where(~F.col("_heavy")).drop("_heavy", count_col)
-    hot = rows.join(F.broadcast(heavy), list(on), "inner")
-    cold = rows.join(F.broadcast(heavy.select(*on)), list(on), "left_anti").join(light, list(on), "inner")
-    return hot.unionByName(cold)
+
+    def side(rows_of: DataFrame, mark: str) -> DataFrame:
+        return rows_of.select(*[F.col(c).alias(f"{mark}{c}") for c in on],
+                              F.struct(*values).alias(f"{mark}_value"))
+
+    heavy, light = side(marked.where("_heavy"), "_h_"), side(marked.where(~F.col("_heavy")), "_l_")
+    found = F.col("_h__value").isNotNull()
+    # rows settled by the broadcast get a key that matches nothing and spreads them evenly
+    spread = F.when(found, F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(9973)) + 1).otherwise(0)
+    met = rows.join(F.broadcast(heavy), [F.col(c) == F.col(f"_h_{c}") for c in on], "left").withColumn("_spread", spread)
+    both = met.join(light.withColumn("_l_spread", F.lit(0).cast("long")),
+                    [*[F.when(~found, F.col(c)) == F.col(f"_l_{c}") for c in on],
+                     F.col("_spread") == F.col("_l_spread")], "left")
+    value = F.coalesce("_h__value", "_l__value")
+    return (both.withColumn("_value", value).where(F.col("_value").isNotNull())
+            .select(*rows.columns, *[F.col(f"_value.{c}").alias(c) for c in values]))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dayloom.functions.quantiles import average_ranks, lookup_by_frequency
 from dayloom.operators.daily import numeric_columns, subject_window
+from dayloom.session import cut_lineage
 from dayloom.operators.quality import column_quantiles, long_values, melt_row
 
 
@@ -63,12 +64,12 @@ def strongest_correlations(pairs: DataFrame, n: int = 10) -> DataFrame:
 def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rank correlation over rows that have all columns, with average ranks for ties."""
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    ranked = rows
     for i, c in enumerate(columns):
-        ranks = average_ranks(rows, [], c).select(
-            F.col(c).alias(f"_k{i}"), "n_equal", F.col("rank").alias(f"_rank{i}"))
-        rows = lookup_by_frequency(rows.withColumn(f"_k{i}", F.col(c)), ranks, [f"_k{i}"], "n_equal").drop(f"_k{i}")
-    ranked = rows.select(*[F.col(f"_rank{i}").alias(c) for i, c in enumerate(columns)])
-    return correlation_pairs(ranked, columns)
+        # one row per distinct value, stored because heavy and light values are both looked up in it
+        ranks = cut_lineage(average_ranks(rows, [], c)).withColumnRenamed("rank", f"_rank{i}")
+        ranked = lookup_by_frequency(ranked, ranks, [c], "n_equal")
+    return correlation_pairs(ranked.select(*[F.col(f"_rank{i}").alias(c) for i, c in enumerate(columns)]), columns)
 
 
 def feature_stats(df: DataFrame, columns: Sequence[str] | None = None, *, mode: str = "auto") -> DataFrame:
