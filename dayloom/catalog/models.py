@@ -1,3 +1,77 @@
+"""Model queries: detectors, clusterings, regressors, report tables."""
+
 from __future__ import annotations
 
-QUERIES = []
+from pyspark.sql import functions as F
+
+from dayloom.catalog import inputs
+from dayloom.catalog.base import Query, table
+from dayloom.operators import anomaly, clustering, prediction
+from dayloom.plans import reports
+
+VECTOR = [f"x{i}" for i in range(8)]
+
+
+def vectors(spark, sf):
+    """The first eight components of every embedding as features."""
+    return table(spark, sf, "embeddings").select(
+        "vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(VECTOR)])
+
+
+DAILY_FEATURES = ["steps", "stress_avg", "resting_heart_rate", "hydration_intake"]
+
+
+def days(spark, sf):
+    """Subject days with all features, each scaled to tens."""
+    return inputs.subject_daily(spark, sf).na.drop(subset=DAILY_FEATURES).select(
+        "subject", "day", (F.col("steps") / 5000).alias("steps"), (F.col("stress_avg") / 10).alias("stress_avg"),
+        (F.col("resting_heart_rate") / 8).alias("resting_heart_rate"),
+        (F.col("hydration_intake") / 300).alias("hydration_intake"))
+
+
+def votes(spark, sf):
+    rows, keys = vectors(spark, sf), ["vec_id"]
+    return anomaly.ensemble({
+        "isolation_forest": anomaly.isolation_forest(rows, keys, VECTOR),
+        "local_outlier_factor": anomaly.lof(rows, keys, VECTOR),
+        "mahalanobis": anomaly.mahalanobis(rows, keys, VECTOR)}, keys)
+
+
+def kmeans_profile(spark, sf):
+    return clustering.cluster_profiles(clustering.kmeans(vectors(spark, sf), VECTOR, 3), VECTOR)
+
+
+def linear_models(spark, sf):
+    frame, features = prediction.general_features(inputs.daily(spark, sf), "score")
+    return prediction.train_models(frame, features, "score", models=prediction.LINEAR_MODELS)[0]
+
+
+def sleep_forest(spark, sf):
+    frame, features = prediction.sleep_features(inputs.subject_daily(spark, sf), subject_cols=("subject",))
+    results, importance = prediction.train_models(
+        frame, features, models=["random_forest"], subject_cols=("subject",), folds=2)
+    return prediction.top_features(importance, "random_forest", 20)
+
+
+QUERIES = [
+    Query("isolation_forest", lambda s, d: anomaly.isolation_forest(days(s, d), ["subject", "day"], DAILY_FEATURES)),
+    Query("lof", lambda s, d: anomaly.lof(vectors(s, d), ["vec_id"], VECTOR)),
+    Query("mahalanobis", lambda s, d: anomaly.mahalanobis(days(s, d), ["subject", "day"], DAILY_FEATURES)),
+    Query("ensemble_vote", votes),
+    Query("pca2", lambda s, d: clustering.pca(vectors(s, d), VECTOR).select("vec_id", "pc1", "pc2")),
+    Query("kmeans", lambda s, d: clustering.kmeans(days(s, d), DAILY_FEATURES).select("subject", "day", "cluster")),
+    Query("kmeans_profile", kmeans_profile),
+    Query("cluster_importance", lambda s, d: clustering.cluster_importance(kmeans_profile(s, d))),
+    Query("gaussian_mixture", lambda s, d: clustering.gaussian_mixture(days(s, d), DAILY_FEATURES).select(
+        "subject", "day", "cluster")),
+    Query("hierarchical", lambda s, d: clustering.hierarchical(days(s, d), DAILY_FEATURES).select(
+        "subject", "day", "cluster")),
+    Query("dbscan", lambda s, d: clustering.dbscan(days(s, d), DAILY_FEATURES, eps=1.0, min_samples=10).select(
+        "subject", "day", "cluster")),
+    Query("cluster_quality", lambda s, d: clustering.clustering_quality(clustering.kmeans(vectors(s, d), VECTOR, 3))),
+    Query("choose_k", lambda s, d: clustering.choose_k(vectors(s, d), VECTOR, max_k=5)),
+    Query("linear_models", linear_models),
+    Query("sleep_forest_importance", sleep_forest),
+    Query("trend_summary_missing", lambda s, d: reports.trend_summary(inputs.subject_daily(s, d))["missing"]),
+    Query("quality_recommendations", lambda s, d: reports.quality_report(inputs.subject_daily(s, d))["recommendations"]),
+]

@@ -217,9 +217,9 @@ EXCLUDED_NAME_PARTS = ("time", "start", "end", "duration")
 
 def select_features(
     df: DataFrame, preferred: Sequence[str] | None = None, *, min_values: int = 50, exclude: Sequence[str] = (),
-    fallback: int = 5, skip_time_names: bool = False,
+    fallback: int = 5, min_features: int = 3, skip_time_names: bool = False,
 ) -> list[str]:
-    """Numeric columns with enough values; if none qualifies the first ``fallback`` numeric ones with enough."""
+    """Preferred numeric columns with enough values; if too few, the first ``fallback`` numeric ones with enough."""
     numeric = [c for c in numeric_columns(df) if c not in exclude]
     if skip_time_names:
         numeric = [c for c in numeric if not any(p in c.lower() for p in EXCLUDED_NAME_PARTS)]
@@ -229,7 +229,9 @@ def select_features(
     row = df.agg(*[F.count_if(present(df, c)).alias(f"_{i}") for i, c in enumerate(numeric)]).first()
     enough = {c for i, c in enumerate(numeric) if row[i] >= min_values}
     chosen = [c for c in wanted if c in enough]
-    return chosen or [c for c in numeric if c in enough][:fallback]
+    if preferred is None or len(chosen) >= min_features:
+        return chosen
+    return [c for c in numeric if c in enough][:fallback]
 
 
 def resolve_target(df: DataFrame, target: str, *, min_target: int = 20, min_other: int = 50,
