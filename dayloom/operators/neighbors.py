@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dayloom.functions.quantiles import lookup_by_frequency
 from dayloom.session import cut_lineage
 
 MAX_PIVOTS = 512
@@ -251,21 +252,27 @@ def _lowest_label(eps: float):
     return kernel
 
 
-def merge_groups(members: DataFrame, *, max_rounds: int = 200) -> DataFrame:
+def merge_groups(members: DataFrame, *, max_rounds: int = 100) -> DataFrame:
     """``id``, ``label`` from (group, id) memberships: lowest id of everything linked.
 
-    A group is one block's part, so groups and the groups of one id are both
-    bounded, and the number of rounds follows the number of blocks a cluster spans.
+    A round takes the lowest label of each group and of each id, then lets every
+    id jump to the label of its label, so the number of rounds grows with the
+    logarithm of how many blocks a cluster spans.  Groups and the groups of one
+    id are bounded by the blocks; labels shared by many ids are looked up by
+    frequency.
     """
-    state = cut_lineage(members.withColumn("label", F.col("id")))
+    links = cut_lineage(members)
+    labels = cut_lineage(links.select("id").distinct().withColumn("label", F.col("id")))
     for _ in range(max_rounds):
-        by_group = state.groupBy("group").agg(F.min("label").alias("_g"))
-        by_id = state.join(by_group, "group").groupBy("id").agg(F.min("_g").alias("_i"))
-        moved = cut_lineage(state.join(by_id, "id").select(
-            "group", "id", F.least("label", "_i").alias("label"), (F.col("_i") < F.col("label")).alias("_moved")))
-        state = moved.drop("_moved")
-        if moved.where("_moved").isEmpty():
-            return state.select("id", "label").distinct()
+        linked = links.join(labels, "id")
+        by_group = linked.groupBy("group").agg(F.min("label").alias("_g"))
+        by_id = cut_lineage(linked.join(by_group, "group").groupBy("id").agg(
+            F.min("_g").alias("root"), F.max(F.col("_g") != F.col("label")).alias("_moved")))
+        if by_id.where("_moved").isEmpty():
+            return labels
+        roots = by_id.groupBy("root").agg(F.count("*").alias("_n"))
+        jump = cut_lineage(roots.join(by_id.select(F.col("id").alias("root"), F.col("root").alias("label")), "root"))
+        labels = cut_lineage(lookup_by_frequency(by_id.select("id", "root"), jump, ["root"], "_n").select("id", "label"))
     raise RuntimeError(f"labels still move after {max_rounds} rounds")
 
 

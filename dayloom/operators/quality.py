@@ -85,6 +85,9 @@ def quality_totals(quality: DataFrame) -> DataFrame:
 
 def melt_row(row: DataFrame, columns: Sequence[str], fields: Mapping[str, str], *, label: str = "column") -> DataFrame:
     """One-row frame of ``<field>#<i>`` columns to one row per name in ``columns``."""
+    if not columns:
+        ddl = ", ".join(f"`{n}` {t}" for n, t in {label: "string", "position": "int", **fields}.items())
+        return row.sparkSession.createDataFrame([], ddl)
     entries = F.array(*[
         F.struct(F.lit(c).alias(label), F.lit(i).alias("position"),
                  *[F.col(f"`{f}#{i}`").cast(t).alias(f) for f, t in fields.items()])
@@ -255,7 +258,7 @@ def text_issues(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
             F.count_if(F.col(c).try_cast("double").isNotNull()).alias(f"numeric_like#{i}"),
         ]
     fields = {"non_null_count": "long", "time_like": "long", "numeric_like": "long"}
-    return melt_row(df.agg(*aggs), columns, fields).select(
+    return melt_row(df.agg(F.count("*"), *aggs), columns, fields).select(
         "column", "non_null_count", "time_like", "numeric_like",
         (F.col("time_like") > 0).alias("has_time_strings"),
         ((F.col("numeric_like") > 0) & (F.col("numeric_like") < F.col("non_null_count"))).alias("mixed_types"),

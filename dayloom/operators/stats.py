@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayloom.functions.quantiles import average_ranks, lookup_by_frequency
@@ -14,7 +14,16 @@ from dayloom.session import cut_lineage
 from dayloom.operators.quality import column_quantiles, long_values, melt_row
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, *, batch: int = 300) -> DataFrame:
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation of two columns that are null together; null without spread.
+
+    The built-in fails on a constant column under ANSI rules instead.
+    """
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.covar_pop(x, y) / F.when(spread > 0, spread)
+
+
+def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, *, batch: int = 100) -> DataFrame:
     """Pearson r of every column pair over the rows that have both: ``a``, ``b``, ``n``, ``r``.
 
     All pairs come from one aggregate, in batches so that wide tables compile.
@@ -30,9 +39,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, *, ba
         for i, (a, b) in enumerate(chunk):
             x, y = F.col(a).cast("double"), F.col(b).cast("double")
             both = x.isNotNull() & y.isNotNull()
-            flat = (F.min(F.when(both, x)) == F.max(F.when(both, x))) | (F.min(F.when(both, y)) == F.max(F.when(both, y)))
-            aggs += [F.count_if(both).alias(f"n_{i}"),
-                     F.when(~flat & (F.count_if(both) > 1), F.corr(x, y)).alias(f"r_{i}")]
+            aggs += [F.count_if(both).alias(f"n_{i}"), pearson(F.when(both, x), F.when(both, y)).alias(f"r_{i}")]
         row = df.agg(*aggs)
         entries = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n_{i}").alias("n"),
                                      F.col(f"r_{i}").alias("r")) for i, (a, b) in enumerate(chunk)])
@@ -103,9 +110,10 @@ def volatility(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10)
 def linear_trend(df: DataFrame, feature: str, target: str, *, keys: Sequence[str] = ()) -> DataFrame:
     """Least-squares line and r between a feature and the target."""
     x, y = F.col(feature).cast("double"), F.col(target).cast("double")
+    slope = F.covar_pop(x, y) / F.when(F.var_pop(x) > 0, F.var_pop(x))
     return df.where(x.isNotNull() & y.isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-        F.corr(x, y).alias("r"))
+        F.count("*").alias("n"), slope.alias("slope"), (F.avg(y) - slope * F.avg(x)).alias("intercept"),
+        pearson(x, y).alias("r"))
 
 
 def linear_trends(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
