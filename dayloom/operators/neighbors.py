@@ -255,27 +255,38 @@ def _lowest_label(eps: float):
 def merge_groups(members: DataFrame, *, max_rounds: int = 100) -> DataFrame:
     """``id``, ``label`` from (group, id) memberships: lowest id of everything linked.
 
-    A round takes the lowest label of each group and of each id, then lets every
-    id jump to the label of its label, so the number of rounds grows with the
-    logarithm of how many blocks a cluster spans.  Groups and the groups of one
-    id are bounded by the blocks; labels shared by many ids are looked up by
-    frequency.
+    In a round every label hooks onto the lowest label that any of its ids meets
+    in a group; hooks are followed to their end before ids are relabelled, so at
+    least half of the labels that still have a lower neighbour go.  Groups and
+    the groups of one id are bounded by the blocks; labels shared by many ids are
+    looked up by frequency.
     """
     links = cut_lineage(members)
     labels = cut_lineage(links.select("id").distinct().withColumn("label", F.col("id")))
     for _ in range(max_rounds):
         linked = links.join(labels, "id")
         by_group = linked.groupBy("group").agg(F.min("label").alias("_g"))
-        by_id = cut_lineage(linked.join(by_group, "group").groupBy("id").agg(
-            F.min("_g").alias("root"), F.max(F.col("_g") != F.col("label")).alias("_moved")))
-        if by_id.where("_moved").isEmpty():
+        hooks = cut_lineage(linked.join(by_group, "group").groupBy("label").agg(
+            F.min("_g").alias("onto"), F.count("*").alias("_n")))
+        if hooks.where(F.col("onto") < F.col("label")).isEmpty():
             return labels
-        roots = by_id.groupBy("root").agg(F.count("*").alias("_n"))
-        jump = cut_lineage(roots.join(by_id.select(F.col("id").alias("root"), F.col("root").alias("label")), "root"))
-        labels = cut_lineage(lookup_by_frequency(by_id.select("id", "root"), jump, ["root"], "_n").select("id", "label"))
+        ends = _follow(hooks, max_rounds)
+        labels = cut_lineage(lookup_by_frequency(labels, ends, ["label"], "_n").select("id", F.col("onto").alias("label")))
     raise RuntimeError(f"labels still move after {max_rounds} rounds")
 
 
+def _follow(hooks: DataFrame, max_rounds: int) -> DataFrame:
+    """Pointer jumping: every label straight onto the end of its chain of hooks."""
+    for _ in range(max_rounds):
+        ahead = hooks.select(F.col("label").alias("onto"), F.col("onto").alias("_next"))
+        met = hooks.groupBy("onto").agg(F.count("*").alias("_m")).join(ahead, "onto")
+        jumped = cut_lineage(lookup_by_frequency(hooks, met, ["onto"], "_m"))
+        if jumped.where(F.col("_next") < F.col("onto")).isEmpty():
+            return hooks
+        hooks = jumped.select("label", F.col("_next").alias("onto"), "_n")
+    raise RuntimeError(f"hooks still move after {max_rounds} rounds")
+
+
 def dbscan(cells: Cells, eps: float = 0.5, min_samples: int = 10, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``id``, ``label`` (lowest core id of the cluster, null for noise), ``is_core``."""
     asking = cells.points.drop("block").withColumn("radius", F.lit(float(eps)))
