@@ -53,12 +53,64 @@ def sleep_forest(spark, sf):
     return prediction.top_features(importance, "random_forest", 20)
 
 
+VECTORS_SQL = "v AS (SELECT vec_id, label, " + ", ".join(
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(VECTOR)) + " FROM embeddings)"
+X = "[" + ", ".join(VECTOR) + "]"
+LOF_SQL = f"""WITH {VECTORS_SQL}, p AS (SELECT a.vec_id AS id, b.vec_id AS o, list_distance(a.x, b.x) AS d
+  FROM (SELECT vec_id, {X} AS x FROM v) AS a JOIN (SELECT vec_id, {X} AS x FROM v) AS b ON a.vec_id <> b.vec_id),
+n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, o) <= 20),
+k AS (SELECT id, max(d) AS kd FROM n GROUP BY 1),
+r AS (SELECT n.id, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM n JOIN k ON n.o = k.id GROUP BY 1),
+s AS (SELECT n.id AS vec_id, avg(a.lrd) / any_value(b.lrd) AS score FROM n JOIN r AS a ON n.o = a.id JOIN r AS b ON n.id = b.id
+  GROUP BY 1)
+SELECT vec_id, score, CASE WHEN score > (SELECT quantile_cont(score, 0.95) FROM s) THEN -1 ELSE 1 END::BIGINT AS label FROM s"""
+MAHALANOBIS_SQL = """WITH m AS (SELECT avg(l_quantity) AS a, stddev_samp(l_quantity) AS sa, avg(l_extendedprice) AS b,
+  stddev_samp(l_extendedprice) AS sb, corr(l_quantity, l_extendedprice) AS r FROM lineitem),
+z AS (SELECT l_orderkey, l_linenumber, (l_quantity - a) / sa AS x, (l_extendedprice - b) / sb AS y, r FROM lineitem, m),
+s AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, sqrt((x * x - 2 * r * x * y + y * y) / (1 - r * r)) AS score FROM z)
+SELECT *, CASE WHEN score > (SELECT quantile_cont(score, 0.9) FROM s) THEN -1 ELSE 1 END::BIGINT AS label FROM s"""
+PCA_SQL = f"""WITH {VECTORS_SQL}, m AS (SELECT avg(x0) AS ma, avg(x1) AS mb, covar_samp(x0, x1) AS c, var_samp(x0) AS va,
+  var_samp(x1) AS vb FROM v),
+t AS (SELECT *, cos(0.5 * atan2(2 * c, va - vb)) AS k, sin(0.5 * atan2(2 * c, va - vb)) AS s FROM m)
+SELECT vec_id, (k * (x0 - ma) + s * (x1 - mb)) * CASE WHEN abs(k) >= abs(s) THEN 1 ELSE sign(s) END AS pc1,
+  (-s * (x0 - ma) + k * (x1 - mb)) * CASE WHEN abs(k) >= abs(s) THEN 1 ELSE sign(-s) END AS pc2 FROM v, t"""
+PROFILE_SQL = f"WITH {VECTORS_SQL} " + " UNION ALL ".join(
+    f"""SELECT CAST(label AS BIGINT) AS cluster, '{c}' AS "column", count(*) AS size, avg({c}) AS mean, stddev_samp({c}) AS std,
+  min({c}) AS min, max({c}) AS max, quantile_cont({c}, 0.5) AS median,
+  count(*) * 100.0::DOUBLE / (SELECT count(*) FROM v) AS pct FROM v GROUP BY 1""" for c in VECTOR)
+QUALITY_SQL = f"""WITH {VECTORS_SQL}, g AS (SELECT label, count(*) AS n, [{', '.join(f'avg({c})' for c in VECTOR)}] AS m FROM v GROUP BY 1),
+o AS (SELECT [{', '.join(f'avg({c})' for c in VECTOR)}] AS m, count(*) AS n FROM v),
+w AS (SELECT v.label, sum(pow(list_distance({X}, m), 2)) AS ss, avg(list_distance({X}, m)) AS sc FROM v JOIN g USING (label) GROUP BY 1),
+b AS (SELECT sum(g.n * pow(list_distance(g.m, o.m), 2)) AS bs, count(*) AS k, any_value(o.n) AS n FROM g, o),
+d AS (SELECT a.label, max((wa.sc + wb.sc) / list_distance(a.m, z.m)) AS r FROM g AS a JOIN g AS z ON a.label <> z.label
+  JOIN w AS wa ON wa.label = a.label JOIN w AS wb ON wb.label = z.label GROUP BY 1),
+pair AS (SELECT p.vec_id, p.label, q.label AS other, sum(pow(list_distance(p.x, q.x), 2)) AS s, count(*) AS n
+  FROM (SELECT vec_id, label, {X} AS x FROM v) AS p JOIN (SELECT label, {X} AS x FROM v) AS q ON true GROUP BY 1, 2, 3),
+ab AS (SELECT vec_id, max(CASE WHEN label = other THEN s / (n - 1) END) AS a, min(CASE WHEN label <> other THEN s / n END) AS b
+  FROM pair GROUP BY 1)
+SELECT (SELECT avg((b - a) / greatest(a, b)) FROM ab) AS silhouette,
+  (SELECT bs * (n - k) / ((SELECT sum(ss) FROM w) * (k - 1)) FROM b) AS calinski_harabasz,
+  (SELECT avg(r) FROM d) AS davies_bouldin, (SELECT k FROM b) AS n_clusters"""
+
+
+def labelled(spark, sf):
+    """Embeddings with their given label as the cluster."""
+    return clustering.assemble(vectors(spark, sf), VECTOR).withColumn("cluster", F.col("label").cast("long"))
+
+
 QUERIES = [
     Query("isolation_forest", lambda s, d: anomaly.isolation_forest(days(s, d), ["subject", "day"], DAILY_FEATURES)),
-    Query("lof", lambda s, d: anomaly.lof(vectors(s, d), ["vec_id"], VECTOR)),
-    Query("mahalanobis", lambda s, d: anomaly.mahalanobis(days(s, d), ["subject", "day"], DAILY_FEATURES)),
+    Query("lof", lambda s, d: anomaly.lof(vectors(s, d), ["vec_id"], VECTOR), LOF_SQL, ("score",)),
+    Query("mahalanobis", lambda s, d: anomaly.mahalanobis(
+        table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_quantity", "l_extendedprice"]), MAHALANOBIS_SQL, ("score",)),
     Query("ensemble_vote", votes),
-    Query("pca2", lambda s, d: clustering.pca(vectors(s, d), VECTOR).select("vec_id", "pc1", "pc2")),
+    Query("detector_rates", lambda s, d: anomaly.detector_rates(
+        votes(s, d), ["isolation_forest", "local_outlier_factor", "mahalanobis", "ensemble"])),
+    Query("pca2", lambda s, d: clustering.pca(vectors(s, d), ["x0", "x1"]).select("vec_id", "pc1", "pc2"), PCA_SQL, ("pc1", "pc2")),
+    Query("label_profile", lambda s, d: clustering.cluster_profiles(labelled(s, d), VECTOR), PROFILE_SQL,
+          ("mean", "std", "min", "max", "median", "pct")),
+    Query("label_quality", lambda s, d: clustering.clustering_quality(labelled(s, d)), QUALITY_SQL,
+          ("silhouette", "calinski_harabasz", "davies_bouldin")),
     Query("kmeans", lambda s, d: clustering.kmeans(days(s, d), DAILY_FEATURES).select("subject", "day", "cluster")),
     Query("kmeans_profile", kmeans_profile),
     Query("cluster_importance", lambda s, d: clustering.cluster_importance(kmeans_profile(s, d))),
@@ -72,6 +124,11 @@ QUERIES = [
     Query("choose_k", lambda s, d: clustering.choose_k(vectors(s, d), VECTOR, max_k=5)),
     Query("linear_models", linear_models),
     Query("sleep_forest_importance", sleep_forest),
-    Query("trend_summary_missing", lambda s, d: reports.trend_summary(inputs.subject_daily(s, d))["missing"]),
+    Query("trend_summary_missing", lambda s, d: reports.trend_summary(inputs.subject_daily(s, d))["missing"],
+          f"WITH {inputs.SUBJECT_DAILY_SQL} SELECT * FROM (" + " UNION ALL ".join(
+              f"""SELECT '{c}' AS "column", count(*) - count({c}) AS missing_count, (1 - count({c})::DOUBLE / count(*)) * 100 AS missing_pct,
+  count({c}) AS available_count FROM daily""" for c in ("score", "steps", "stress_duration", "resting_heart_rate", "stress_avg",
+                                                        "bb_max", "bb_min", "hydration_intake"))
+          + ") WHERE missing_pct > 0", ("missing_pct",)),
     Query("quality_recommendations", lambda s, d: reports.quality_report(inputs.subject_daily(s, d))["recommendations"]),
 ]

@@ -23,15 +23,15 @@ def duration_minutes(c: Column | str) -> Column:
     """``H:M:S``, ``M:S`` or numeric text to minutes; blank, malformed or infinite is null."""
     text = F.trim(as_col(c).cast("string"))
     parts = F.split(text, ":")
-    whole = F.transform(parts, lambda p: F.trim(p).try_cast("bigint"))
-    all_whole = F.forall(parts, lambda p: F.trim(p).rlike(r"^[+-]?\d+$"))
+
+    def whole(i: int) -> Column:
+        return F.get(parts, F.lit(i)).try_cast("bigint")    # null unless a whole number
+
     number = text.try_cast("double")
-    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
+    finite = ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
     return (
-        F.when((F.size(parts) == 3) & all_whole,
-               F.get(whole, F.lit(0)) * 60 + F.get(whole, F.lit(1)) + F.get(whole, F.lit(2)) / 60)
-        .when((F.size(parts) == 2) & all_whole,
-              F.get(whole, F.lit(0)) + F.get(whole, F.lit(1)) / 60)
+        F.when(F.size(parts) == 3, whole(0) * 60 + whole(1) + whole(2) / 60)
+        .when(F.size(parts) == 2, whole(0) + whole(1) / 60)
         .when((F.size(parts) == 1) & finite, number)
     )
 
@@ -66,10 +66,9 @@ def wall_clock(c: Column | str) -> Column:
 
 
 def micros_of_day(ts: Column | str) -> Column:
-    """Microseconds since midnight on the wall clock of ``ts``."""
-    t = as_col(ts)
-    seconds = (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
-    return (F.hour(t).cast("bigint") * 60 + F.minute(t)) * MICROS_PER_MINUTE + seconds
+    """Microseconds since midnight of ``ts``; the session zone has to be UTC, as ``SETTINGS`` makes it."""
+    t = as_col(ts).cast("timestamp")
+    return F.unix_micros(t) - F.unix_micros(F.to_date(t).cast("timestamp"))
 
 
 def weekday_number(day: Column | str) -> Column:
