@@ -95,7 +95,7 @@ def isolation_scores(df: DataFrame, id_cols: Sequence[str], features: Sequence[s
     forest = [(g["feature"].to_numpy(), g["cut"].to_numpy(), g["left"].to_numpy(), g["right"].to_numpy(),
                g["depth"].to_numpy()) for g in forest]
     shared = df.sparkSession.sparkContext.broadcast(forest)
-    used = min(sample_size, df.count())
+    used = df.limit(sample_size).count()
     norm = max(float(_average_path(used)), 1e-12)
 
     @F.pandas_udf("double")

@@ -68,7 +68,10 @@ def dbscan(df: DataFrame, features: Sequence[str], *, eps: float = 0.5, min_samp
 
 def clustering_quality(clustered: DataFrame, *, features: str = "features", cluster: str = "cluster",
                        weight_of_none: float = -1.0) -> DataFrame:
-    """Silhouette, Calinski-Harabasz and Davies-Bouldin; -1 with fewer than two clusters."""
+    """Silhouette, Calinski-Harabasz and Davies-Bouldin; -1 with fewer than two clusters.
+
+    One centre per cluster comes to the driver, as in the silhouette of Spark ML.
+    """
     array = vector_to_array(F.col(features))
     groups = clustered.groupBy(cluster).agg(
         Summarizer.metrics("mean", "count").summary(F.col(features)).alias("s")).collect()    # one row per cluster
@@ -127,7 +130,7 @@ def cluster_profiles(clustered: DataFrame, features: Sequence[str], *, cluster:
         F.count("*").alias("size"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
     total = stats.where(F.col("column") == features[0]).agg(F.sum("size")).scalar()
-    out = with_median(long, keys, "value", stats, mode=mode)
+    out = with_median(long, keys, "value", stats, mode=mode, few_groups=False)
     return out.withColumn("pct", F.col("size") / total * 100).where(F.col(cluster) != -1)
 
 

@@ -20,7 +20,10 @@ def _edges(df: DataFrame, value: str, bins: int, subject_cols: Sequence[str], mo
 
 def with_bin(df: DataFrame, value: str, edges: DataFrame, subject_cols: Sequence[str]) -> DataFrame:
     """Right-closed bin of each value; the lowest edge belongs to the first bin."""
-    joined = df.join(edges, list(subject_cols)) if subject_cols else df.join(F.broadcast(edges))    # one row
+    if subject_cols:
+        joined = df.join(edges, list(subject_cols))
+    else:
+        joined = df.withColumn("edges", edges.select("edges").scalar())
     above = F.size(F.filter("edges", lambda e: e < F.col(value)))
     return (
         joined.withColumn("bin", F.greatest(above, F.lit(1)))

@@ -47,14 +47,16 @@ def build_master(
             detail = daily_activity_detail(tables["steps_activities"], activities, **keys)
             out = left_join_daily(out, detail, source="steps_activities", **keys)
 
-    out = yesterday(out, calendar=calendar_lags, **keys)
-    if "steps" not in out.columns:
-        out = out.withColumn("steps", F.lit(None).cast("double"))
-    out = missing_flags(rolling_mean(out, "steps", 7, "steps_avg_7d", **keys))
-
     if "monitoring_hr" in tables and "heart_rate" in tables["monitoring_hr"].columns:
         cover = daily_coverage(
             tables["monitoring_hr"].where(valid_heart_rate()), ts="timestamp",
             max_gap_minutes=max_gap_minutes, edge_minutes=edge_minutes, **keys)
         out = left_join_daily(out, cover.drop("first_sample", "last_sample"), source="coverage", **keys)
+
+    # windows come last: they need whole subjects together, the joins only (subject, day)
+    out = yesterday(out, calendar=calendar_lags, **keys)
+    if "steps" not in out.columns:
+        out = out.withColumn("steps", F.lit(None).cast("double"))
+    out = missing_flags(rolling_mean(out, "steps", 7, "steps_avg_7d", **keys))
+
     return out

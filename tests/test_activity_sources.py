@@ -112,6 +112,17 @@ def test_sinks_round_trip(spark, tmp_path):
     assert spark.sql("select max(steps) from master_view").first()[0] == 100.0
 
 
+def test_bucketed_tables_join_without_shuffle(spark):
+    df = spark.range(100).select(F.col("id").alias("subject"), F.lit(1.0).alias("v"))
+    for name in ("bucketed_a", "bucketed_b"):
+        sinks.publish(df, name, stored=True, buckets=4, bucket_by=["subject"])
+    joined = spark.table("bucketed_a").join(spark.table("bucketed_b").hint("merge"), "subject")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 100 and "SortMergeJoin" in plan and "Exchange" not in plan
+    for name in ("bucketed_a", "bucketed_b"):
+        spark.sql(f"drop table {name}")
+
+
 def test_schema_drift(spark):
     expected = schema.schema_from(spark, {"daily": [("day", "DATE"), ("steps", "INTEGER"), ("gone", "TEXT")], "lost": [("a", "TEXT")]})
     actual = schema.schema_from(spark, {"daily": [("day", "date"), ("steps", "REAL"), ("new", "TEXT")], "extra": [("b", "TEXT")]})
