@@ -57,7 +57,7 @@ def grow_trees(samples: DataFrame, size: int, seed: int) -> DataFrame:
     """One random isolation tree per sample, as node rows."""
     limit = int(np.ceil(np.log2(max(size, 2))))
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["vec"].to_numpy()).astype(float)
         rng = np.random.default_rng([seed, int(key[0])])
         nodes, todo = [None], [(0, np.arange(len(x)), 0)]
