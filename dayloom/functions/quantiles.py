@@ -122,19 +122,19 @@ def quantiles(
     open1 = at1.where(F.col("_lo") < F.col("_hi")).select(
         *parts, "_b1", "_n", "_want", F.col("_lo").alias("_l1"), F.col("_hi").alias("_h1"))
 
+    # only the counters meet the wanted ranks again, so that rows are hash-aggregated
     rows2 = _narrowed(rows, open1, [*parts, "_b1"], few_groups).withColumn(
         "_b2", linear_bucket(F.col("_v"), F.col("_l1"), F.col("_h1")))
-    level2 = rows2.groupBy(*parts, "_b1", "_b2").agg(
-        F.count("_v").alias("_c"), *span,
-        F.first("_want").alias("_want"), F.first("_n").alias("_n"))
+    counts2 = rows2.groupBy(*parts, "_b1", "_b2").agg(F.count("_v").alias("_c"), *span)
+    level2 = _narrowed(counts2, open1.drop("_l1", "_h1"), [*parts, "_b1"], few_groups)
     at2 = _hits(level2, [*parts, "_b1"], "_b2")
     open2 = at2.where(F.col("_lo") < F.col("_hi")).select(
         *parts, "_b1", "_b2", "_n", "_want", F.col("_lo").alias("_l2"), F.col("_hi").alias("_h2"))
 
     # buckets are disjoint intervals, so the ends of a part pick out exactly its rows
     rows3 = _narrowed(rows, open2, [*parts, "_b1"], few_groups).where(F.col("_v").between(F.col("_l2"), F.col("_h2")))
-    level3 = rows3.groupBy(*parts, "_b1", "_b2", "_v").agg(
-        F.count("_v").alias("_c"), F.first("_want").alias("_want"), F.first("_n").alias("_n"))
+    counts3 = rows3.groupBy(*parts, "_b1", "_b2", "_v").agg(F.count("_v").alias("_c"))
+    level3 = _narrowed(counts3, open2.drop("_l2", "_h2"), [*parts, "_b1", "_b2"], few_groups)
     at3 = _hits(level3, [*parts, "_b1", "_b2"], "_v")
 
     def settled(d: DataFrame, v: str) -> DataFrame:
