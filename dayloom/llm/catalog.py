@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dayloom.llm import sql
+from dayloom.llm.decontamination import decontamination_digest
 from dayloom.llm.line_dedup import line_dedup_digest
+from dayloom.llm.mixing import mixing_digest
 from dayloom.llm.substring_dedup import substring_dedup_digest
+from dayloom.llm.token_output import token_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +26,23 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_digest(_table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op4_line_dedup)}
+    f.__name__: f for f in (op1_substring_dedup, op4_line_dedup, op7_mixing, op9_decontamination, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.SUBSTRING_DEDUP,
     "op4_line_dedup": sql.LINE_DEDUP,
+    "op7_mixing": sql.MIXING,
+    "op9_decontamination": sql.DECONTAMINATION,
 }

@@ -44,3 +44,62 @@ SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)
        sha256(coalesce(kept_text, '')) AS kept_sha256
 FROM documents AS d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+DECONTAMINATION = r"""
+WITH w AS MATERIALIZED (
+    SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word
+    FROM (SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g'), '[^ ]+') AS ws
+        FROM documents)),
+b AS MATERIALIZED (
+    SELECT item_id, len(ws) AS n, generate_subscripts(ws, 1) AS i, unnest(ws) AS word
+    FROM (SELECT item_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g'), '[^ ]+') AS ws
+        FROM benchmark WHERE item_id IS NOT NULL)),
+items AS (
+    SELECT DISTINCT item_id, least(n, 10) AS n, h
+    FROM (SELECT item_id, n, list(word) OVER win AS h
+          FROM b WINDOW win AS (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING))
+    WHERE len(h) = least(n, 10)),
+g AS MATERIALIZED (
+    SELECT doc_id, i, list(word) OVER win AS h
+    FROM w WINDOW win AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+m AS (
+    SELECT g.doc_id, g.i, t.n, t.item_id
+    FROM (SELECT DISTINCT n FROM items) AS s JOIN g ON len(g.h) >= s.n JOIN items AS t ON t.n = s.n AND t.h = g.h[1:s.n]),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM m) GROUP BY doc_id),
+item AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_words FROM w GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM documents AS d LEFT JOIN n USING (doc_id) LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)
+"""
+
+MIXING = r"""
+WITH d AS MATERIALIZED (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           ('0x' || md5(coalesce(doc_id::VARCHAR, ''))[1:15])::BIGINT AS key
+    FROM documents),
+s AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+    FROM d GROUP BY source),
+r AS (SELECT *, [5, 2, 1][rank % 3 + 1]::BIGINT AS weight, source_size * 3 AS most FROM s),
+l AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER before, 0))::DOUBLE
+              / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
+    FROM r WINDOW before AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT arg_min(level, most / weight) AS common FROM l WHERE level * weight <= most),
+t AS MATERIALIZED (SELECT source, source_size, least(common * weight, most::DOUBLE) AS target FROM l, c),
+e AS MATERIALIZED (
+    SELECT d.doc_id, d.size, d.key, t.source_size, t.target,
+           (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING))::BIGINT AS stop
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (
+    SELECT doc_id, size, (sum(size) OVER (ORDER BY finish, key, doc_id, copy ROWS UNBOUNDED PRECEDING))::BIGINT AS running
+    FROM (SELECT *, (copy * source_size + stop)::DOUBLE / target AS finish FROM e, (SELECT unnest(range(3)) AS copy) WHERE size > 0)),
+n AS (SELECT doc_id, count(*) AS copies FROM k WHERE running <= (SELECT sum(source_size) FROM s) GROUP BY doc_id)
+SELECT e.doc_id, e.size, e.source_size, e.target, (e.size * coalesce(copies, 0))::BIGINT AS taken
+FROM e LEFT JOIN n USING (doc_id)
+"""
