@@ -12,6 +12,7 @@ from dayloom.llm.line_dedup import line_dedup_digest
 from dayloom.llm.mixing import mixing_digest
 from dayloom.llm.substring_dedup import substring_dedup_digest
 from dayloom.llm.token_output import token_digest
+from dayloom.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(_table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op4_line_dedup, op7_mixing, op9_decontamination, op10_token_output)}
+    f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op4_line_dedup, op7_mixing, op9_decontamination, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.SUBSTRING_DEDUP,
     "op4_line_dedup": sql.LINE_DEDUP,

@@ -65,3 +65,26 @@ def bounded_sample(df: DataFrame, keys: list[str], rows: int, seed: str) -> Data
     """At most ``rows`` rows, those least by a seeded hash of ``keys``: the same on every run and layout."""
     order = F.xxhash64(F.lit(seed), *keys)
     return df.orderBy(order, *keys).limit(rows)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, rows: int,
+                    doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(text, label) of at most ``rows`` documents that may be learned from.
+
+    Those are documents with a non-null label whose fold, crc32 of the id modulo
+    ``parts``, is not ``held_out``.  Of several labels of a document the largest
+    counts.  The chosen ids are at most ``rows``, so they are broadcast.
+    """
+    ids = F.col(doc_id).cast("long")
+    known = (labels.select(ids.alias("doc_id"), F.col(label).cast("int").alias("label"))
+             .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (fold_of("doc_id", parts) != held_out))
+             .groupBy("doc_id").agg(F.max("label").alias("label")))
+    chosen = bounded_sample(known, ["doc_id"], rows, label)
+    return (docs.select(ids.alias("doc_id"), F.col(text).cast("string").alias("text"))
+            .join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"))
+
+
+def logistic(z):
+    import numpy as np
+
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
