@@ -74,7 +74,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     """
     source = keyed(docs, doc_id, text)
     later = later_windows(source, Windows(_cut, min_lines, 1), Tables(docs.sparkSession))
-    return (source.join(later, ["doc_id", "tk"], "left").select("doc_id", "text", "ats")
+    return (source.join(later.hint("merge"), ["doc_id", "tk"], "left").select("doc_id", "text", "ats")
             .mapInArrow(_cleaned(min_lines), "doc_id long, n_lines long, n_removed long, kept_text string"))
 
 

@@ -109,7 +109,7 @@ def later_windows(docs: DataFrame, spec: Windows, tables: Tables) -> DataFrame:
     anchors = docs.mapInArrow(_anchor_rows(spec, True), ROWS)
     seeds = tables.keep(anchors.join(shared, "h", "left_semi").groupBy("doc_id", "tk").agg(F.collect_set("at").alias("ats")),
                         "seeds")
-    windows = tables.keep(docs.join(seeds, ["doc_id", "tk"]).mapInArrow(_window_rows(spec), ROWS), "windows")
+    windows = tables.keep(docs.join(seeds.hint("merge"), ["doc_id", "tk"]).mapInArrow(_window_rows(spec), ROWS), "windows")
     first = tables.keep(_in_many(windows), "first")
     out = tables.keep(windows.join(first, "h").where("first_doc < doc_id").groupBy("doc_id", "tk")
                       .agg(F.collect_set("at").alias("ats")), "later")

@@ -69,7 +69,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("seed_words must lie between 1 and min_words")
     source = keyed(docs, doc_id, text)
     later = later_windows(source, Windows(_cut, min_words, seed_words), Tables(docs.sparkSession))
-    return (source.join(later, ["doc_id", "tk"], "left").select("doc_id", "text", "ats")
+    return (source.join(later.hint("merge"), ["doc_id", "tk"], "left").select("doc_id", "text", "ats")
             .mapInArrow(_cleaned(min_words), "doc_id long, n_words long, n_removed long, kept_text string"))
 
 
