@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dayloom.llm import sql
 from dayloom.llm.decontamination import decontamination_digest
+from dayloom.llm.langid import langid
 from dayloom.llm.line_dedup import line_dedup_digest
 from dayloom.llm.mixing import mixing_digest
+from dayloom.llm.quality import quality
 from dayloom.llm.substring_dedup import substring_dedup_digest
 from dayloom.llm.token_output import token_digest
 from dayloom.llm.toxicity import toxicity
@@ -27,10 +29,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_digest(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +54,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op4_line_dedup, op7_mixing, op9_decontamination, op10_token_output)}
+    f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_langid, op4_line_dedup, op5_quality, op7_mixing, op9_decontamination, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.SUBSTRING_DEDUP,
     "op4_line_dedup": sql.LINE_DEDUP,
