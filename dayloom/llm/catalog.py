@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from dayloom.llm import sql
+from dayloom.llm.ann import nearest
 from dayloom.llm.decontamination import decontamination_digest
 from dayloom.llm.langid import langid
 from dayloom.llm.line_dedup import line_dedup_digest
@@ -41,6 +42,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_digest(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_langid, op4_line_dedup, op5_quality, op7_mixing, op9_decontamination, op10_token_output)}
+    f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_langid, op4_line_dedup, op5_quality, op6_ann, op7_mixing, op9_decontamination, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.SUBSTRING_DEDUP,
     "op4_line_dedup": sql.LINE_DEDUP,
