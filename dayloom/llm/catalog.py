@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from dayloom.llm import sql
 from dayloom.llm.ann import nearest
 from dayloom.llm.decontamination import decontamination_digest
+from dayloom.llm.jaccard_join import jaccard_digest
 from dayloom.llm.langid import langid
 from dayloom.llm.line_dedup import line_dedup_digest
 from dayloom.llm.mixing import mixing_digest
@@ -50,6 +51,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -59,10 +64,11 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_langid, op4_line_dedup, op5_quality, op6_ann, op7_mixing, op9_decontamination, op10_token_output)}
+    f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_langid, op4_line_dedup, op5_quality, op6_ann, op7_mixing, op8_jaccard_join, op9_decontamination, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.SUBSTRING_DEDUP,
     "op4_line_dedup": sql.LINE_DEDUP,
     "op7_mixing": sql.MIXING,
+    "op8_jaccard_join": sql.JACCARD,
     "op9_decontamination": sql.DECONTAMINATION,
 }
