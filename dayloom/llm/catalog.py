@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from dayloom.llm import sql
 from dayloom.llm.ann import nearest
 from dayloom.llm.decontamination import decontamination_digest
@@ -65,6 +66,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_langid, op4_line_dedup, op5_quality, op6_ann, op7_mixing, op8_jaccard_join, op9_decontamination, op10_token_output)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.SUBSTRING_DEDUP,
     "op4_line_dedup": sql.LINE_DEDUP,

@@ -125,7 +125,7 @@ def _scan(shared, length: int, seed: int):
 def decontamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                     item_text: str = "text", window: int = WINDOW, seed: int = SEED,
                     block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, hits (positions of hit words), items (ids as strings, sorted).
+    """One row per row of ``docs``: doc_id, tk (check of the text), n_words, hits (positions of hit words), items (ids as strings, sorted).
 
     Words are runs of ASCII digits, letters and all other than ASCII characters
     after A-Z became a-z.  A window is ``window`` consecutive words of an item; an
@@ -158,14 +158,14 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
         rows = windows.where(F.pmod(F.xxhash64("item", "h"), F.lit(blocks)) == b).collect()
         found.append(source.mapInArrow(_scan(spark.sparkContext.broadcast(_block(rows)), window, seed), schema))
     if blocks == 1:
-        return found[0].select("doc_id", "n_words", "hits", F.array_sort("items").alias("items"))
+        return found[0].select("doc_id", "tk", "n_words", "hits", F.array_sort("items").alias("items"))
     more = (reduce(DataFrame.union, found[1:]).where("size(items) > 0").dropDuplicates()
             .groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("hits")).alias("more_hits"),
                                          F.flatten(F.collect_list("items")).alias("more_items")))
     more = more.withColumnsRenamed({"doc_id": "other_id", "tk": "other_tk"})
     both = found[0].join(more, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("tk") == F.col("other_tk")), "left")
     merged = lambda a, b: F.array_sort(F.array_union(a, F.coalesce(b, F.slice(a, 1, 0))))
-    return both.select("doc_id", "n_words", merged("hits", "more_hits").alias("hits"), merged("items", "more_items").alias("items"))
+    return both.select("doc_id", "tk", "n_words", merged("hits", "more_hits").alias("hits"), merged("items", "more_items").alias("items"))
 
 
 def decontamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
