@@ -30,6 +30,7 @@ CONTEXT_WORDS = 8
 FOLDS, HELD_OUT = 5, 0
 FUZZY_FROM, STEM_FROM, STEM_WORDS = 5, 4, 4
 EXACT, FUZZY, STEM = 1, 2, 3
+FUZZY_SHARE = 0.7
 
 LETTERS = _table([(0x61, 0x7A), (0x80, 0xFF)], True)
 
@@ -215,14 +216,18 @@ class Lexicon:
         return (sums[hi] - sums[lo]) / np.maximum(1, hi - lo - 1)
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Per text: logarithms of weighed exact, fuzzy, stem and quoted hits; the last column is 1."""
+        """Per text: logarithms of all weighed hits, fuzzy ones, stems and quoted ones; the last column is 1.
+
+        Fuzzy hits count ``FUZZY_SHARE`` in the first, so that they tell something even if the sample has none.
+        """
         words = words_of(texts, LETTERS, LOWER)
         at, kind, _ = self.hits(words)
         quoted = _quoted(words, at)
         weight = np.where(quoted, 0.25, 1.0) * logistic(1.0 + self.context(words, at))
         out = np.ones((len(texts), 5))
-        for j, sel in enumerate((kind == EXACT, kind == FUZZY, kind == STEM)):
-            out[:, j] = np.log1p(np.bincount(words.doc[at[sel]], weights=weight[sel], minlength=len(texts)))
+        share = np.where(kind == FUZZY, FUZZY_SHARE, 1.0) * weight
+        for j, sel in enumerate((kind > 0, kind == FUZZY, kind == STEM)):
+            out[:, j] = np.log1p(np.bincount(words.doc[at[sel]], weights=share[sel], minlength=len(texts)))
         out[:, 3] = np.log1p(np.bincount(words.doc[at[quoted]], minlength=len(texts)))
         return out
 
