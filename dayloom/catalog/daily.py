@@ -30,27 +30,34 @@ ACTIVITY_DAILY_SQL = f"""activity_daily AS (
     coalesce(sum(calories), 0) AS activity_calories, avg(training_effect) AS training_effect,
     avg(anaerobic_training_effect) AS anaerobic_te FROM sessions GROUP BY {{1}})"""
 
-MASTER_SQL = f"""WITH {inputs.MASTER_SQL},
-stress_daily AS (SELECT CAST("timestamp" AS DATE) AS day, avg(stress) AS stress_avg, max(stress) AS stress_max,
-  count(CASE WHEN stress > 0 THEN 1 END) AS stress_duration FROM stress GROUP BY 1),
-sleep_daily AS (SELECT day, score, {MINUTES.format('total_sleep')} AS total_sleep_min,
+def master_sql(sources: str, s: str = "") -> str:
+    """The master table; ``s`` is "subject, " for many subjects."""
+    g, by = ("1, 2", "PARTITION BY subject ") if s else ("1", "")
+    return f"""WITH {sources},
+stress_daily AS (SELECT {s}CAST("timestamp" AS DATE) AS day, avg(stress) AS stress_avg, max(stress) AS stress_max,
+  count(CASE WHEN stress > 0 THEN 1 END) AS stress_duration FROM stress GROUP BY {g}),
+sleep_daily AS (SELECT {s}day, score, {MINUTES.format('total_sleep')} AS total_sleep_min,
   {MINUTES.format('deep_sleep')} AS deep_sleep_min, {MINUTES.format('rem_sleep')} AS rem_sleep_min FROM sleep WHERE score > 0),
-{ACTIVITY_DAILY_SQL.format('', '1')},
-detail AS (SELECT CAST(s.start_time AS DATE) AS day, avg(d.steps) AS steps_from_steps_activity, avg(d.vo2_max) AS vo2_max
-  FROM steps_activities d JOIN sessions s USING (activity_id) GROUP BY 1),
-{coverage_sql(False, 20, 10, 'monitoring_hr', 'timestamp')},
+{ACTIVITY_DAILY_SQL.format(s, g)},
+detail AS (SELECT {s}CAST(s.start_time AS DATE) AS day, avg(d.steps) AS steps_from_steps_activity, avg(d.vo2_max) AS vo2_max
+  FROM steps_activities d JOIN sessions s USING ({s}activity_id) GROUP BY {g}),
+{coverage_sql(bool(s), 20, 10, 'monitoring_hr', 'timestamp')},
 joined AS (
-  SELECT * FROM daily_summary LEFT JOIN sleep_daily USING (day) LEFT JOIN stress_daily USING (day)
-  LEFT JOIN resting_hr USING (day)
-  LEFT JOIN (SELECT day, steps AS steps_summary, calories_bmr_avg FROM days_summary) USING (day)
-  LEFT JOIN activity_daily USING (day) LEFT JOIN detail USING (day)
-  LEFT JOIN (SELECT * EXCLUDE (first_sample, last_sample) FROM cover) USING (day)),
+  SELECT * FROM daily_summary LEFT JOIN sleep_daily USING ({s}day) LEFT JOIN stress_daily USING ({s}day)
+  LEFT JOIN resting_hr USING ({s}day)
+  LEFT JOIN (SELECT {s}day, steps AS steps_summary, calories_bmr_avg FROM days_summary) USING ({s}day)
+  LEFT JOIN activity_daily USING ({s}day) LEFT JOIN detail USING ({s}day)
+  LEFT JOIN (SELECT * EXCLUDE (first_sample, last_sample) FROM cover) USING ({s}day)),
 master AS (SELECT *, lag(had_workout) OVER w AS yesterday_had_workout, lag(activity_minutes) OVER w AS yesterday_activity_minutes,
   lag(activity_calories) OVER w AS yesterday_activity_calories, lag(training_effect) OVER w AS yesterday_training_effect,
   lag(anaerobic_te) OVER w AS yesterday_anaerobic_te,
-  avg(steps) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS steps_avg_7d,
+  avg(steps) OVER ({by}ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS steps_avg_7d,
   score IS NULL AS missing_score, training_effect IS NULL AS missing_training_effect
-FROM joined WINDOW w AS (ORDER BY day))"""
+FROM joined WINDOW w AS ({by}ORDER BY day))"""
+
+
+MASTER_SQL = master_sql(inputs.MASTER_SQL)
+SUBJECT_MASTER_SQL = master_sql(inputs.SUBJECT_MASTER_SQL, "subject, ")
 MASTER_DOUBLES = (
     "steps", "calories_total", "score", "total_sleep_min", "deep_sleep_min", "rem_sleep_min", "stress_avg", "vo2_max",
     "activity_minutes", "training_effect", "anaerobic_te", "steps_from_steps_activity", "coverage_hours", "coverage_pct",
@@ -62,6 +69,10 @@ def master(spark, sf):
     return build_master(inputs.master_tables(spark, sf), max_gap_minutes=20, edge_minutes=10)
 
 
+def master_subject(spark, sf):
+    return build_master(inputs.subject_master_tables(spark, sf), subject_cols=SUBJECT, max_gap_minutes=20, edge_minutes=10)
+
+
 QUALITY_SQL = """quality AS (
   SELECT day, round_even((0.5 * coalesce(coverage_pct, 0) + 0.5 * found / total * 100) / 1, 1) AS data_quality_score,
     round_even(coalesce(coverage_pct, 0), 1) AS coverage_score, round_even(found::DOUBLE / total * 100, 1) AS completeness_score,
@@ -123,8 +134,8 @@ DAYS_SQL = f"""{inputs.SESSIONS_SQL}, days AS (
   SELECT CAST(start_time AS DATE) AS day, arg_min(sport, (start_time, activity_id)) AS sport, count(*) AS activity_count
   FROM sessions GROUP BY 1)"""
 COLORS_SQL = f"""{MAPPING_SQL}, firsts AS (SELECT sport, min((start_time, activity_id)) AS f FROM sessions GROUP BY 1),
-colors AS (SELECT sport, coalesce(m.color, ['#FF9F43', '#10AC84', '#EE5A24', '#0984e3', '#6c5ce7', '#a29bfe', '#fd79a8',
-    '#fdcb6e', '#e17055', '#00b894'][(row_number() OVER (PARTITION BY m.color IS NULL ORDER BY f) - 1) % 10 + 1]) AS color
+colors AS (SELECT sport, coalesce(m.color, {list(activity.SPARE_COLORS)}[
+    (row_number() OVER (PARTITION BY m.color IS NULL ORDER BY f) - 1) % {len(activity.SPARE_COLORS)} + 1]) AS color
   FROM firsts LEFT JOIN mapping m USING (sport))"""
 
 
@@ -173,6 +184,20 @@ FROM steps_activities d JOIN sessions s USING (activity_id) GROUP BY 1, 2""", ("
   {MINUTES.format('deep_sleep')} AS deep_sleep_min, {MINUTES.format('rem_sleep')} AS rem_sleep_min
 FROM sleep WHERE score > 0""", ("total_sleep_min", "deep_sleep_min", "rem_sleep_min")),
     Query("master_daily", master, f"{MASTER_SQL} SELECT * FROM master", MASTER_DOUBLES),
+    Query("master_daily_subject", master_subject, f"{SUBJECT_MASTER_SQL} SELECT * FROM master", MASTER_DOUBLES),
+    Query("quality_score_subject", lambda s, d: quality.quality_score(master_subject(s, d), subject_cols=SUBJECT),
+          f"{SUBJECT_MASTER_SQL}, {QUALITY_SQL.replace('SELECT day,', 'SELECT subject, day,')} SELECT * FROM quality", QUALITY_DOUBLES, 4),
+    Query("modeling_set_subject",
+          lambda s, d: prep.modeling_set(
+              master_subject(s, d), ["score", "stress_avg"], min_coverage_pct=20.0).select("subject", "day", "score", "stress_avg"),
+          f"""{SUBJECT_MASTER_SQL} SELECT subject, day, score, stress_avg FROM master
+WHERE coverage_pct >= 20 AND score IS NOT NULL AND stress_avg IS NOT NULL""", ("score", "stress_avg")),
+    Query("activity_detail_clashing_ids",
+          lambda s, d: (lambda t: daily.daily_activity_detail(t["steps_activities"], t["activities"], subject_cols=SUBJECT))(
+              inputs.subject_master_tables(s, d)),
+          f"""WITH {inputs.SUBJECT_MASTER_SQL} SELECT subject, CAST(s.start_time AS DATE) AS day,
+  avg(d.steps) AS steps_from_steps_activity, avg(d.vo2_max) AS vo2_max
+FROM steps_activities d JOIN sessions s USING (subject, activity_id) GROUP BY 1, 2""", ("steps_from_steps_activity", "vo2_max")),
     Query("quality_score", lambda s, d: quality.quality_score(master(s, d)),
           f"{MASTER_SQL}, {QUALITY_SQL} SELECT * FROM quality", QUALITY_DOUBLES, 4),
     Query("quality_totals", lambda s, d: quality.quality_totals(quality.quality_score(master(s, d))),
@@ -202,12 +227,19 @@ WHERE coverage_pct >= 50 AND score IS NOT NULL AND stress_avg IS NOT NULL""", ("
         weeks(s, d), "stress_minutes_total", "stress_minutes_count", lower_is_better=True, whole=True,
         subject_cols=SUBJECT), delta_sql("stress_minutes_total", "stress_minutes_count", -1, True), ("value", "delta"), 9),
     Query("latest_week", lambda s, d: weekly.latest_week_summary(weeks(s, d), subject_cols=SUBJECT).select(
-        "subject", "iso_year", "iso_week", "sleep_score_avg", "sleep_score_previous", "rhr_previous", "stress_previous"),
+        "subject", "iso_year", "iso_week", "sleep_score_avg", "sleep_score_previous", "sleep_score_change", "sleep_score_sign",
+        "rhr_previous", "stress_previous", "stress_sign"),
           f"""{WEEKS_SQL} SELECT subject, iso_year, iso_week, sleep_score_avg, lag(sleep_score_avg) OVER w AS sleep_score_previous,
-  lag(rhr_avg) OVER w AS rhr_previous, lag(stress_minutes_total) OVER w AS stress_previous FROM weeks
+  CASE WHEN least(sleep_score_count, lag(sleep_score_count) OVER w) >= 3 AND lag(sleep_score_count) OVER w IS NOT NULL
+    THEN sleep_score_avg - lag(sleep_score_avg) OVER w END AS sleep_score_change,
+  sign(CASE WHEN least(sleep_score_count, lag(sleep_score_count) OVER w) >= 3 AND lag(sleep_score_count) OVER w IS NOT NULL
+    THEN sleep_score_avg - lag(sleep_score_avg) OVER w END)::BIGINT AS sleep_score_sign,
+  lag(rhr_avg) OVER w AS rhr_previous, lag(stress_minutes_total) OVER w AS stress_previous,
+  sign(CASE WHEN least(stress_minutes_count, lag(stress_minutes_count) OVER w) >= 3 AND lag(stress_minutes_count) OVER w IS NOT NULL
+    THEN stress_minutes_total - lag(stress_minutes_total) OVER w END)::BIGINT AS stress_sign FROM weeks
 WINDOW w AS (PARTITION BY subject ORDER BY iso_year, iso_week)
 QUALIFY row_number() OVER (PARTITION BY subject ORDER BY iso_year DESC, iso_week DESC) = 1""",
-          ("sleep_score_avg", "sleep_score_previous", "rhr_previous"), 9),
+          ("sleep_score_avg", "sleep_score_previous", "sleep_score_change", "rhr_previous"), 9),
     Query("weekday_profile", profile, f"{MANY}, {PROFILE_SQL} SELECT * FROM profile", ("mean", "median", "std")),
     Query("weekday_profile_subject",
           lambda s, d: profiles.weekday_profile(inputs.subject_daily(s, d), subject_cols=SUBJECT).drop("column"),

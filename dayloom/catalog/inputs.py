@@ -140,3 +140,70 @@ def master_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         "monitoring_hr": events.select(
             (F.col("ts") - F.make_dt_interval(days=F.lit(9497))).alias("timestamp"), F.col("value").alias("heart_rate")),
     }
+
+
+def _subject_sql(key: str) -> str:
+    """One subject has a third of all rows, the others share the rest."""
+    return f"CASE WHEN {key} % 3 = 0 THEN 'hot' ELSE 's' || CAST({key} % 50 AS VARCHAR) END"
+
+
+# the same sources for many subjects, whose activities have the same ids
+SUBJECT_MASTER_SQL = f"""o AS (SELECT *, {_subject_sql('o_orderkey')} AS subject FROM orders),
+l AS (SELECT *, {_subject_sql('l_orderkey')} AS subject FROM lineitem),
+sessions AS (
+  SELECT subject, CAST(o_orderkey % 997 AS VARCHAR) AS activity_id, o_orderpriority AS sport,
+    o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS start_time, '0:30:00' AS elapsed_time,
+    CAST(o_custkey % 50 AS DOUBLE) / 10 AS training_effect, CAST(o_custkey % 30 AS DOUBLE) / 10 AS anaerobic_training_effect,
+    CAST(o_orderkey % 700 AS DOUBLE) AS calories FROM o),
+daily_summary AS (
+  SELECT subject, CAST(o_orderdate AS DATE) AS day, max(o_totalprice) / 10 AS steps, min(o_totalprice) / 100 AS calories_total
+  FROM o GROUP BY 1, 2),
+sleep AS (
+  SELECT subject, CAST(l_shipdate AS DATE) AS day, '7:15:00' AS total_sleep, '1:20:00' AS deep_sleep, '0:45:30' AS rem_sleep,
+    CAST(max(l_partkey) % 100 AS DOUBLE) AS score FROM l GROUP BY 1, 2),
+stress AS (
+  SELECT subject, l_shipdate + to_hours(CAST(l_linenumber AS INTEGER)) AS "timestamp", l_quantity - 10 AS stress FROM l),
+resting_hr AS (
+  SELECT subject, CAST(o_orderdate AS DATE) AS day, CAST(min(40 + o_custkey % 40) AS DOUBLE) AS resting_heart_rate
+  FROM o WHERE o_orderstatus = 'F' GROUP BY 1, 2),
+days_summary AS (
+  SELECT subject, CAST(o_orderdate AS DATE) AS day, CAST(count(*) AS DOUBLE) AS steps, CAST(max(o_custkey) AS DOUBLE) AS calories_bmr_avg
+  FROM o WHERE o_orderstatus = 'O' GROUP BY 1, 2),
+steps_activities AS (
+  SELECT subject, CAST(l_orderkey % 997 AS VARCHAR) AS activity_id, l_quantity AS steps, l_discount * 100 AS vo2_max FROM l),
+monitoring_hr AS (
+  SELECT {_subject_sql('user_id')} AS subject, ts - to_days(9497) AS "timestamp", value AS heart_rate FROM events)"""
+
+
+def subject_master_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    def owned(name: str, key: str) -> DataFrame:
+        k = F.col(key)
+        return table(spark, sf, name).withColumn(
+            "subject", F.when(k % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (k % 50).cast("string"))))
+
+    orders, lines, events = owned("orders", "o_orderkey"), owned("lineitem", "l_orderkey"), owned("events", "user_id")
+    day, price, cust, key = F.to_date("o_orderdate").alias("day"), F.col("o_totalprice"), F.col("o_custkey"), F.col("o_orderkey")
+    return {
+        "daily_summary": orders.groupBy("subject", day).agg(
+            (F.max(price) / 10).alias("steps"), (F.min(price) / 100).alias("calories_total")),
+        "sleep": lines.groupBy("subject", F.to_date("l_shipdate").alias("day")).agg(
+            F.lit("7:15:00").alias("total_sleep"), F.lit("1:20:00").alias("deep_sleep"), F.lit("0:45:30").alias("rem_sleep"),
+            (F.max("l_partkey") % 100).cast("double").alias("score")),
+        "stress": lines.select(
+            "subject", (F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_linenumber"))).alias("timestamp"),
+            (F.col("l_quantity") - 10).alias("stress")),
+        "resting_hr": orders.where(F.col("o_orderstatus") == "F").groupBy("subject", day).agg(
+            F.min(40 + cust % 40).cast("double").alias("resting_heart_rate")),
+        "days_summary": orders.where(F.col("o_orderstatus") == "O").groupBy("subject", day).agg(
+            F.count("*").cast("double").alias("steps"), F.max(cust).cast("double").alias("calories_bmr_avg")),
+        "activities": orders.select(
+            "subject", (key % 997).cast("string").alias("activity_id"), F.col("o_orderpriority").alias("sport"),
+            (F.col("o_orderdate") + F.make_dt_interval(hours=(key % 24).cast("int"))).alias("start_time"),
+            F.lit("0:30:00").alias("elapsed_time"), ((cust % 50).cast("double") / 10).alias("training_effect"),
+            ((cust % 30).cast("double") / 10).alias("anaerobic_training_effect"), (key % 700).cast("double").alias("calories")),
+        "steps_activities": lines.select(
+            "subject", (F.col("l_orderkey") % 997).cast("string").alias("activity_id"), F.col("l_quantity").alias("steps"),
+            (F.col("l_discount") * 100).alias("vo2_max")),
+        "monitoring_hr": events.select(
+            "subject", (F.col("ts") - F.make_dt_interval(days=F.lit(9497))).alias("timestamp"), F.col("value").alias("heart_rate")),
+    }

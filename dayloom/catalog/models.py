@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from dayloom.catalog import inputs
 from dayloom.catalog.base import Query, table
-from dayloom.operators import anomaly, clustering, prediction
+from dayloom.operators import anomaly, clustering, impute, prediction
 from dayloom.plans import reports
 
-VECTOR = [f"x{i}" for i in range(8)]
+VECTOR = [f"x{i}" for i in range(64)]
 
 
 def vectors(spark, sf):
-    """The first eight components of every embedding as features."""
+    """The components of every embedding as features."""
     return table(spark, sf, "embeddings").select(
         "vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(VECTOR)])
 
@@ -22,11 +22,8 @@ DAILY_FEATURES = ["steps", "stress_avg", "resting_heart_rate", "hydration_intake
 
 
 def days(spark, sf):
-    """Subject days with all features, each scaled to tens."""
-    return inputs.subject_daily(spark, sf).na.drop(subset=DAILY_FEATURES).select(
-        "subject", "day", (F.col("steps") / 5000).alias("steps"), (F.col("stress_avg") / 10).alias("stress_avg"),
-        (F.col("resting_heart_rate") / 8).alias("resting_heart_rate"),
-        (F.col("hydration_intake") / 300).alias("hydration_intake"))
+    """Subject days with all features, standardised."""
+    return impute.standardize(inputs.subject_daily(spark, sf), DAILY_FEATURES).select("subject", "day", *DAILY_FEATURES)
 
 
 def votes(spark, sf):
@@ -49,7 +46,7 @@ def linear_models(spark, sf):
 def sleep_forest(spark, sf):
     frame, features = prediction.sleep_features(inputs.subject_daily(spark, sf), subject_cols=("subject",))
     results, importance = prediction.train_models(
-        frame, features, models=["random_forest"], subject_cols=("subject",), folds=2)
+        frame, features, models=["random_forest"], subject_cols=("subject",))
     return prediction.top_features(importance, "random_forest", 20)
 
 
@@ -118,10 +115,10 @@ QUERIES = [
         "subject", "day", "cluster")),
     Query("hierarchical", lambda s, d: clustering.hierarchical(days(s, d), DAILY_FEATURES).select(
         "subject", "day", "cluster")),
-    Query("dbscan", lambda s, d: clustering.dbscan(days(s, d), DAILY_FEATURES, eps=1.0, min_samples=10).select(
+    Query("dbscan", lambda s, d: clustering.dbscan(days(s, d), DAILY_FEATURES, eps=0.5, min_samples=10).select(
         "subject", "day", "cluster")),
     Query("cluster_quality", lambda s, d: clustering.clustering_quality(clustering.kmeans(vectors(s, d), VECTOR, 3))),
-    Query("choose_k", lambda s, d: clustering.choose_k(vectors(s, d), VECTOR, max_k=5)),
+    Query("choose_k", lambda s, d: clustering.choose_k(vectors(s, d), VECTOR)),
     Query("linear_models", linear_models),
     Query("sleep_forest_importance", sleep_forest),
     Query("trend_summary_missing", lambda s, d: reports.trend_summary(inputs.subject_daily(s, d))["missing"],

@@ -44,6 +44,12 @@ def hourly(spark, sf):
     return incremental.hourly_profile_from_moments(moments)
 
 
+def hourly_far(spark, sf):
+    """Values far from zero, whose squares leave no digits for the deviation."""
+    far = arriving(spark, sf).withColumn("stress", F.col("stress") + 1e9)
+    return incremental.hourly_profile_from_moments(emitted(spark, incremental.hourly_moments_stream(far)))
+
+
 # a day is out once the watermark, one day behind the newest sample, has passed its end
 QUERIES = [
     Query("stream_daily_stress", stress,
@@ -60,4 +66,8 @@ WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM valid)""",
   min(stress) AS min, max(stress) AS max, count(stress) AS count FROM samples
 WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM samples) GROUP BY 1""",
           ("mean", "std")),
+    Query("stream_hourly_large_mean", hourly_far,
+          f"""WITH {inputs.SAMPLES_SQL}, m AS (SELECT ts, stress + 1e9 AS stress FROM samples)
+SELECT hour(ts) AS hour, avg(stress) AS mean, stddev_samp(stress) AS std, min(stress) AS min, max(stress) AS max, count(stress) AS count
+FROM m WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM m) GROUP BY 1""", ("mean", "std"), 3),
 ]

@@ -43,9 +43,8 @@ def union_sql(columns, template: str) -> str:
     return " UNION ALL ".join(template.replace("{c}", c) for c in columns)
 
 
-COMPLETE_SQL = f"""complete AS (SELECT *, CASE WHEN completeness >= 0.9 THEN 'Excellent (≥90%)' WHEN completeness >= 0.7
-    THEN 'Good (70-89%)' WHEN completeness >= 0.5 THEN 'Fair (50-69%)' WHEN completeness >= 0.3 THEN 'Poor (30-49%)'
-    WHEN completeness >= 0.1 THEN 'Very Poor (10-29%)' ELSE 'Critical (<10%)' END AS completeness_level,
+LEVELS_SQL = " ".join(f"WHEN completeness >= {bound} THEN '{name}'" for bound, name in quality.COMPLETENESS_LEVELS)
+COMPLETE_SQL = f"""complete AS (SELECT *, CASE {LEVELS_SQL} END AS completeness_level,
   non_null_count >= 50 AS sufficient_for_modeling, completeness >= 0.1 AS adequate_for_analysis FROM (
   {union_sql(GAPPY_COLUMNS, '''SELECT '{c}' AS "column", count({c}) AS non_null_count, count(*) - count({c}) AS null_count,
   count({c})::DOUBLE / count(*) AS completeness FROM gappy''')}))"""

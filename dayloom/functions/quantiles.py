@@ -22,18 +22,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayloom.session import cut_lineage
+
 LOG_BUCKETS_PER_E = 4096
 LINEAR_BUCKETS = 1 << 20
-SMALL_INPUT_BYTES = 32 << 20
 _SHIFT = 4_000_000          # above 4096 * 746, so magnitudes stay positive
 _INF_BUCKET = 9_000_000
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a frame; runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def log_bucket(v: Column) -> Column:
     """Monotone integer bucket of any double; zero and infinities get their own."""
     size = F.abs(v)
@@ -78,16 +74,15 @@ def quantiles(
     value_col: str,
     probs: Sequence[float],
     *,
-    mode: str = "auto",
+    mode: str = "exact",
     few_groups: bool = False,
 ) -> DataFrame:
     """Linearly interpolated quantiles: ``group_cols``, ``n``, ``q`` (array in the order of ``probs``).
 
     ``mode="exact"`` has no group-size limit; ``"bounded"`` uses the built-in
-    aggregate and is for groups the calendar bounds, such as the days of one
-    subject; ``"auto"`` takes the built-in only if the optimizer's size estimate
-    of the input is at most ``SMALL_INPUT_BYTES``; ``"approx"`` uses the
-    mergeable sketch.  ``few_groups`` states that
+    aggregate and may be named for groups the calendar bounds, such as the days
+    of one subject; ``"approx"`` uses the mergeable sketch.  Nothing is chosen by
+    the size of the input.  ``few_groups`` states that
     the number of groups is fixed by construction (hours, weekdays, columns), so
     the wanted buckets may be broadcast.  ``df`` is read once per pass.
     """
@@ -95,8 +90,8 @@ def quantiles(
     keys = list(group_cols)
     value = F.col(value_col).cast("double")
     rows = df.select(*keys, value.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if mode == "auto":
-        mode = "bounded" if estimated_bytes(rows) <= SMALL_INPUT_BYTES else "exact"
+    if mode not in ("exact", "bounded", "approx"):
+        raise ValueError(f"no mode {mode!r}")
     if mode != "exact":
         wanted = F.array(*[F.lit(p) for p in probs])
         agg = F.percentile("_v", wanted) if mode == "bounded" else F.percentile_approx("_v", probs, 10_000)
@@ -194,6 +189,20 @@ def average_ranks(df: DataFrame, group_cols: Sequence[str], value_col: str) -> D
     return third.select(*keys, F.col("_v").alias(value_col), F.col("_c").alias("n_equal"), rank.alias("rank"))
 
 
+def dense_number(values: DataFrame, by: str, out: str) -> DataFrame:
+    """Number the distinct values of ``by`` from 0 in their order, whatever the layout.
+
+    Values are sorted by range; a value's number is its place in its range plus
+    the sizes of the ranges before, of which there are as many as tasks.
+    """
+    sorted_ = cut_lineage(values.select(by).distinct().repartitionByRange(by).withColumn("_range", F.spark_partition_id()))
+    sizes = sorted_.groupBy("_range").agg(F.count("*").alias("_c"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1
+    return sorted_.join(offsets, "_range").select(by, (F.col("_before") + place).alias(out))
+
+
 def lookup_by_frequency(
     rows: DataFrame, table: DataFrame, on: Sequence[str], count_col: str, *, heavy_share: float = 0.001
 ) -> DataFrame:

@@ -6,8 +6,6 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,19 +22,14 @@ def _uniform(*cols: Column) -> Column:
 def draw_samples(df: DataFrame, id_cols: Sequence[str], vec: str, trees: int, size: int, seed: int) -> DataFrame:
     """``tree``, ``vec``: a sample of ``size`` rows per tree, repeatable on any layout.
 
-    Rows are thinned before they are sorted into trees, so the trim to ``size``
-    sees at most a few hundred rows per tree.
+    A row enters each tree by its own draw.  Rows are thinned before they are
+    sorted into trees, so the trim to ``size`` sees a few hundred rows per tree.
     """
     n = df.count()
-    rate = 1.0 if n <= 2 * size else min(1.0, (size + 8 * size ** 0.5) / n)
+    rate = min(1.0, (size + 8 * size ** 0.5) / max(n, 1))
     ids = [F.col(c) for c in id_cols]
-    if rate * trees < 0.05:
-        # few rows go to any tree: one draw decides whether, a second to which
-        picked = df.where(_uniform(F.lit(seed), *ids) < rate * trees).withColumn(
-            "tree", F.floor(_uniform(F.lit(seed + 1), *ids) * trees).cast("int"))
-    else:
-        into = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _uniform(F.lit(seed), t, *ids) < rate)
-        picked = df.withColumn("tree", F.explode(into))
+    into = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _uniform(F.lit(seed), t, *ids) < rate)
+    picked = df.withColumn("tree", F.explode(into))
     chosen = F.slice(F.array_sort(F.collect_list(F.struct(
         _uniform(F.lit(seed + 2), F.col("tree"), *ids).alias("u"), F.col(vec).alias("vec")))), 1, size)
     return picked.groupBy("tree").agg(chosen.alias("s")).select("tree", F.explode("s.vec").alias("vec"))
@@ -89,14 +82,14 @@ def isolation_scores(df: DataFrame, id_cols: Sequence[str], features: Sequence[s
     The forest is at most ``trees * (2 * sample_size - 1)`` nodes whatever the
     number of rows, so it is sent to every task.
     """
-    rows = as_array(df, features, "_vec")
+    rows = cut_lineage(as_array(df, features, "_vec"))      # read for the count, the samples and the scores
+    drawn = rows.count()
     nodes = grow_trees(draw_samples(rows, id_cols, "_vec", trees, sample_size, seed), sample_size, seed).toPandas()
     forest = [g.sort_values("node") for _, g in nodes.groupby("tree")]
     forest = [(g["feature"].to_numpy(), g["cut"].to_numpy(), g["left"].to_numpy(), g["right"].to_numpy(),
                g["depth"].to_numpy()) for g in forest]
     shared = df.sparkSession.sparkContext.broadcast(forest)
-    used = df.limit(sample_size).count()
-    norm = max(float(_average_path(used)), 1e-12)
+    norm = max(float(_average_path(min(sample_size, drawn))), 1e-12)
 
     @F.pandas_udf("double")
     def score(vec: pd.Series) -> pd.Series:
@@ -116,7 +109,7 @@ def isolation_scores(df: DataFrame, id_cols: Sequence[str], features: Sequence[s
     return rows.withColumn("score", score("_vec")).drop("_vec")
 
 
-def label_by_share(scored: DataFrame, score: str, share: float, *, label: str = "label", mode: str = "auto") -> DataFrame:
+def label_by_share(scored: DataFrame, score: str, share: float, *, label: str = "label", mode: str = "exact") -> DataFrame:
     """-1 for rows above the (1 - share) quantile of the score."""
     cut = quantiles(scored, [], score, [1 - share], mode=mode).select(F.col("q")[0]).first()[0]
     return scored.withColumn(label, F.when(F.col(score) > cut, -1).otherwise(1))
@@ -141,20 +134,27 @@ def lof(df: DataFrame, id_cols: Sequence[str], features: Sequence[str], *, k: in
 
 
 def mahalanobis(df: DataFrame, id_cols: Sequence[str], features: Sequence[str], *, share: float = 0.1) -> DataFrame:
-    """Distance from the mean in units of the covariance."""
-    rows = VectorAssembler(inputCols=list(features), outputCol="_v").transform(df)
-    corr = np.nan_to_num(Correlation.corr(rows, "_v").first()[0].toArray(), nan=0.0)
-    row = rows.agg(Summarizer.metrics("mean", "std").summary(F.col("_v")).alias("s")).first()["s"]
-    mean, std = row["mean"].toArray(), row["std"].toArray()
-    np.fill_diagonal(corr, 1.0)
-    inverse = np.linalg.pinv(corr * np.outer(std, std))
+    """Distance from the mean in units of the covariance, over rows that have all features.
 
-    @F.pandas_udf("double")
-    def distance(vec: pd.Series) -> pd.Series:
-        x = np.stack(vec.to_numpy()).astype(float) - mean
-        return pd.Series(np.sqrt(np.maximum(((x @ inverse) * x).sum(1), 0.0)))
-
-    scored = as_array(df, features, "_vec").withColumn("score", distance("_vec")).select(*id_cols, "score")
+    Means and co-moments are one aggregate; the distance is the length of the
+    centred row after it was multiplied by a root of the inverse covariance.
+    """
+    columns = [F.col(c).cast("double") for c in features]
+    d = len(features)
+    row = df.na.drop(subset=list(features)).agg(
+        F.array(*[F.avg(c) for c in columns]).alias("mean"),
+        F.array(*[F.covar_samp(a, b) for i, a in enumerate(columns) for b in columns[i:]]).alias("co")).first()
+    covariance = np.zeros((d, d))
+    covariance[np.triu_indices(d)] = np.nan_to_num(np.array(row["co"], dtype=float))
+    covariance = covariance + covariance.T - np.diag(np.diag(covariance))
+    scale = np.sqrt(np.where(np.diag(covariance) > 0, np.diag(covariance), 1.0))
+    value, vector = np.linalg.eigh(covariance / np.outer(scale, scale))
+    kept = value > 1e-12 * max(value.max(), 1e-300)
+    root = (vector[:, kept] / np.sqrt(value[kept])) / scale[:, None]
+    mean = [0.0 if m is None else m for m in row["mean"]]
+    centred = [c - F.lit(m) for c, m in zip(columns, mean)]
+    parts = [sum((x * F.lit(float(w)) for x, w in zip(centred, axis)), F.lit(0.0)) for axis in root.T]
+    scored = df.na.drop(subset=list(features)).select(*id_cols, F.sqrt(sum((p * p for p in parts), F.lit(0.0))).alias("score"))
     return label_by_share(cut_lineage(scored), "score", share)
 
 

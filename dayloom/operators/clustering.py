@@ -13,7 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.functions.quantiles import lookup_by_frequency
+from dayloom.functions.quantiles import dense_number, lookup_by_frequency
 from dayloom.operators.neighbors import BLOCK_ROWS, as_array, build_cells, distinct_vectors
 from dayloom.operators.neighbors import dbscan as dbscan_cells
 from dayloom.operators.profiles import with_median
@@ -54,12 +54,12 @@ def hierarchical(df: DataFrame, features: Sequence[str], k: int = 3, *, seed: in
 
 def dbscan(df: DataFrame, features: Sequence[str], *, eps: float = 0.5, min_samples: int = 10,
            block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Density clusters numbered by their lowest member; noise is -1."""
+    """Density clusters numbered from 0 by their lowest member; noise is -1."""
     rows = as_array(assemble(df, features), features, "_vec")
     cells = build_cells(distinct_vectors(rows, "_vec"), block_rows=block_rows)
     found = cut_lineage(dbscan_cells(cells, eps, min_samples, block_rows=block_rows))
     names = found.where(F.col("label").isNotNull()).select("label").distinct()
-    numbers = cut_lineage(names.orderBy("label").select("label", F.monotonically_increasing_id().alias("cluster")))
+    numbers = cut_lineage(dense_number(names, "label", "cluster"))
     labels = cells.points.select("id", "vec", "weight").join(found, "id").join(numbers, "label", "left")
     table = labels.select(F.col("vec").alias("_vec"), "weight",
                           F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
@@ -122,7 +122,7 @@ def choose_k(df: DataFrame, features: Sequence[str], *, max_k: int = 10, seed: i
     return df.sparkSession.createDataFrame([(*r, [m for m, k in best.items() if k == r[0]]) for r in table], ddl)
 
 
-def cluster_profiles(clustered: DataFrame, features: Sequence[str], *, cluster: str = "cluster", mode: str = "auto") -> DataFrame:
+def cluster_profiles(clustered: DataFrame, features: Sequence[str], *, cluster: str = "cluster", mode: str = "exact") -> DataFrame:
     """Size, share and statistics of each feature per cluster; noise (-1) is left out but counts in the share."""
     long = long_values(clustered, features, ids=[cluster])
     keys = [cluster, "column"]

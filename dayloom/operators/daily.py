@@ -98,14 +98,16 @@ def daily_activity_detail(
     """Daily mean of every numeric detail column; the day comes from the session.
 
     Details are summed per session before the join, so a session with many
-    detail rows joins as one row.
+    detail rows joins as one row.  A session is known by its id and, where the
+    details have them, the subject columns: subjects may use the same ids.
     """
     columns = numeric_columns(details, exclude=["activity_id", *subject_cols])
-    per_session = details.groupBy("activity_id").agg(
+    keys = [*[c for c in subject_cols if c in details.columns], "activity_id"]
+    per_session = details.groupBy(*keys).agg(
         *[F.sum(c).alias(f"_s_{c}") for c in columns], *[F.count(c).alias(f"_n_{c}") for c in columns])
     sessions = activities.select("activity_id", *subject_cols, F.to_date("start_time").alias(day))
     out = (
-        per_session.join(sessions, "activity_id").where(F.col(day).isNotNull())
+        per_session.join(sessions, keys).where(F.col(day).isNotNull())
         .groupBy(*subject_cols, day)
         .agg(*[(F.sum(f"_s_{c}") / F.when(F.sum(f"_n_{c}") > 0, F.sum(f"_n_{c}"))).alias(c) for c in columns])
     )

@@ -13,7 +13,7 @@ from dayloom.operators.quality import column_quantiles, long_values, melt_row
 STRATEGIES = ("median", "mean", "drop", "forward_fill", "backward_fill", "none")
 
 
-def fill_values(df: DataFrame, columns: Sequence[str], strategy: str, *, mode: str = "auto") -> dict[str, float]:
+def fill_values(df: DataFrame, columns: Sequence[str], strategy: str, *, mode: str = "exact") -> dict[str, float]:
     """Median or mean of each column that has values."""
     if strategy == "median":
         rows = column_quantiles(df, columns, [0.5], mode=mode).collect()
@@ -92,7 +92,7 @@ def standardize(df: DataFrame, columns: Sequence[str], *, fitted_on: DataFrame |
 
 
 def robust_scale(df: DataFrame, columns: Sequence[str], *, fitted_on: DataFrame | None = None,
-                 mode: str = "auto") -> DataFrame:
+                 mode: str = "exact") -> DataFrame:
     """(x - median) / IQR; columns without spread are only centred."""
     source = fitted_on if fitted_on is not None else df
     quart = {r["column"]: r["q"] for r in column_quantiles(source, columns, [0.25, 0.5, 0.75], mode=mode).collect()}

@@ -79,6 +79,7 @@ def linear(target: str, *, reg: float = 0.0, l1: float = 0.0) -> Estimator:
 
 
 def random_forest(target: str, *, trees: int = 100, depth: int = 10, min_rows: int = 2, seed: int = 42) -> Estimator:
+    """``min_rows`` is per leaf; Spark has no limit for the rows of a node that is split."""
     return RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth,
                                  minInstancesPerNode=min_rows, seed=seed)
 
@@ -98,11 +99,16 @@ MODELS: Mapping[str, ModelFactory] = {
     "random_forest": lambda y, n: random_forest(y),
     "gradient_boosting": lambda y, n: gradient_boosting(y),
 }
+# The deeper forest and boosting of the general model.
+DEEP_MODELS: Mapping[str, ModelFactory] = {
+    "random_forest_deep": lambda y, n: random_forest(y, depth=20, min_rows=1),
+    "gradient_boosting_deep": lambda y, n: gradient_boosting(y, depth=6),
+}
 LINEAR_MODELS = ("linear", "ridge", "lasso", "elastic_net")
 
 # Grids of the tuned models.
-FOREST_GRID = {"trees": (50, 100, 200), "depth": (10, 20), "min_rows": (1, 2, 4)}
-BOOSTING_GRID = {"rounds": (50, 100, 200), "rate": (0.01, 0.1, 0.2), "depth": (3, 5, 7)}
+FOREST_GRID = {"trees": (100, 200), "depth": (10, 20, 30), "min_rows": (1, 2)}     # 30 is the deepest that Spark grows
+BOOSTING_GRID = {"rounds": (100, 200), "rate": (0.01, 0.1), "depth": (3, 6)}
 
 
 def pipeline(features: Sequence[str], model: Estimator, *, impute: str | None = "median", scale: str = "standard") -> Pipeline:

@@ -114,7 +114,7 @@ def tighten_numeric(df: DataFrame, *, narrow: bool = False) -> DataFrame:
 
 
 def iqr_filter(df: DataFrame, columns: Sequence[str] | None = None, *, factor: float = 1.5,
-               one_pass: bool = False, mode: str = "auto") -> DataFrame:
+               one_pass: bool = False, mode: str = "exact") -> DataFrame:
     """Drop rows outside the IQR fences; nulls stay.
 
     Column after column, each fence from the survivors of the one before, which

@@ -27,7 +27,7 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     return left.join(renamed, cond, "left").drop(*[f"_r_{k}" for k in keys])
 
 
-def with_median(df: DataFrame, keys: Sequence[str], value: str, stats: DataFrame, *, mode: str = "auto",
+def with_median(df: DataFrame, keys: Sequence[str], value: str, stats: DataFrame, *, mode: str = "exact",
                 few_groups: bool = True) -> DataFrame:
     """Add the exact median of each group to a frame of per-group statistics."""
     q = quantiles(df, keys, value, [0.5], mode=mode, few_groups=few_groups)
@@ -36,7 +36,7 @@ def with_median(df: DataFrame, keys: Sequence[str], value: str, stats: DataFrame
 
 def weekday_profile(
     daily: DataFrame, metrics: Mapping[str, str] = WEEKDAY_METRICS, *, day: str = "day",
-    subject_cols: Sequence[str] = (), mode: str = "auto",
+    subject_cols: Sequence[str] = (), mode: str = "exact",
 ) -> DataFrame:
     """Mean, median, deviation and count per metric and weekday; one scan for all metrics."""
     present = {m: c for m, c in metrics.items() if c in daily.columns}
@@ -49,8 +49,6 @@ def weekday_profile(
     ).where(F.col("value").isNotNull())
     stats = long.groupBy(*keys).agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("value").alias("count"))
-    # the days of one subject on one weekday are few; weekdays over all subjects are not
-    mode = "bounded" if subject_cols and mode == "auto" else mode
     out = with_median(long, keys, "value", stats, mode=mode, few_groups=not subject_cols)
     source = F.element_at(F.create_map(*[F.lit(x) for kv in present.items() for x in kv]), F.col("metric"))
     return out.select(*subject_cols, "metric", source.alias("column"), "day_of_week", "day_of_week_num",
@@ -84,7 +82,7 @@ def weekday_minmax(profile: DataFrame, *, keys: Sequence[str] = ("metric",)) ->
 
 
 def hourly_profile(
-    samples: DataFrame, *, ts: str = "ts", value: str = "stress", subject_cols: Sequence[str] = (), mode: str = "auto",
+    samples: DataFrame, *, ts: str = "ts", value: str = "stress", subject_cols: Sequence[str] = (), mode: str = "exact",
 ) -> DataFrame:
     """Statistics per hour of day with a 95 % interval of the mean."""
     keys = [*subject_cols, "hour"]

@@ -186,7 +186,7 @@ def dataset_profile(df: DataFrame, *, day: str | None = None, approximate_days:
     )
 
 
-def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], *, mode: str = "auto") -> DataFrame:
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], *, mode: str = "exact") -> DataFrame:
     """Quantiles of many numeric columns of one table: ``column``, ``n``, ``q``."""
     return quantiles(long_values(df, columns), ["column"], "value", probs, mode=mode, few_groups=True)
 

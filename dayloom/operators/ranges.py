@@ -13,7 +13,6 @@ from dayloom.operators.prep import intensity_minutes
 
 def _edges(df: DataFrame, value: str, bins: int, subject_cols: Sequence[str], mode: str) -> DataFrame:
     probs = [i / bins for i in range(bins + 1)]
-    mode = "bounded" if subject_cols and mode == "auto" else mode     # a subject's days
     q = quantiles(df, subject_cols, value, probs, mode=mode)
     return q.select(*subject_cols, "n", F.array_distinct("q").alias("edges"))
 
@@ -35,7 +34,7 @@ def with_bin(df: DataFrame, value: str, edges: DataFrame, subject_cols: Sequence
 
 def quantile_bins(
     daily: DataFrame, value: str, score: str = "score", *, bins: int = 5, min_samples: int = 3,
-    subject_cols: Sequence[str] = (), mode: str = "auto",
+    subject_cols: Sequence[str] = (), mode: str = "exact",
 ) -> DataFrame:
     """Mean, count and deviation of the score per quantile bin of the value."""
     valid = daily.select(*subject_cols, F.col(value).cast("double").alias("_v"), F.col(score).alias("_s")).na.drop(
@@ -60,7 +59,7 @@ def best_range(binned: DataFrame, *, min_samples: int = 3, subject_cols: Sequenc
 
 def optimal_ranges(
     daily: DataFrame, *, score: str = "score", steps: str = "steps", bins: int = 5, min_samples: int = 3,
-    subject_cols: Sequence[str] = (), mode: str = "auto",
+    subject_cols: Sequence[str] = (), mode: str = "exact",
 ) -> DataFrame:
     """Best steps range and best intensity-minutes range with a message each."""
     out = None
@@ -88,7 +87,7 @@ def optimal_ranges(
 
 
 def quartile_spread(df: DataFrame, value: str, target: str, *, labels: Sequence[str] = ("Q1", "Q2", "Q3", "Q4"),
-                    mode: str = "auto") -> DataFrame:
+                    mode: str = "exact") -> DataFrame:
     """Five-number summary of the target in each quantile group of the value.
 
     No rows if the value has fewer distinct values than groups.

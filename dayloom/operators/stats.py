@@ -79,7 +79,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return correlation_pairs(ranked.select(*[F.col(f"_rank{i}").alias(c) for i, c in enumerate(columns)]), columns)
 
 
-def feature_stats(df: DataFrame, columns: Sequence[str] | None = None, *, mode: str = "auto") -> DataFrame:
+def feature_stats(df: DataFrame, columns: Sequence[str] | None = None, *, mode: str = "exact") -> DataFrame:
     """Count, mean, deviation, variance, extremes, median and missing percent per numeric column."""
     columns = list(columns or numeric_columns(df))
     aggs = [F.count("*").alias("_rows")]

@@ -14,14 +14,14 @@ from dayloom.operators.impute import impute
 from dayloom.operators.prep import last_full_month
 from dayloom.operators.ranges import optimal_ranges
 
-RECOMMENDATION_DDL = "type string, priority string, message string"
-
-
-def _rules(row: DataFrame, rules: Sequence[tuple[Column, str, str, Column]]) -> DataFrame:
-    """Rules whose condition holds on the one row of numbers."""
-    entries = F.array(*[F.struct(F.coalesce(cond, F.lit(False)).alias("_ok"), F.lit(kind).alias("type"),
-                                 F.lit(priority).alias("priority"), text.alias("message"))
-                        for cond, kind, priority, text in rules])
+def _rules(row: DataFrame, rules: Sequence[tuple[str, str, str, Column]]) -> DataFrame:
+    """``rule``, ``priority``, ``value`` of the rules that the one row of numbers breaks or meets.
+
+    A rule is (name, priority, column of its number, condition).
+    """
+    entries = F.array(*[F.struct(F.coalesce(holds, F.lit(False)).alias("_ok"), F.lit(name).alias("rule"),
+                                 F.lit(priority).alias("priority"), F.col(number).cast("double").alias("value"))
+                        for name, priority, number, holds in rules])
     return row.select(F.inline(entries)).where("_ok").drop("_ok")
 
 
@@ -51,7 +51,10 @@ def full_report(
     daily: DataFrame, *, samples: DataFrame | None = None, monthly: bool = False, features: Sequence[str] = (),
     subject_cols: Sequence[str] = (), day: str = "day", **coverage,
 ) -> dict[str, DataFrame]:
-    """Month filter, coverage filter, trend summary, anomalies and best ranges of one table."""
+    """Month filter, coverage filter, trend summary, anomalies and best ranges of one table.
+
+    Best ranges are per subject; trends describe all rows together.
+    """
     frame = last_full_month(daily, day=day, subject_cols=subject_cols) if monthly else daily
     if samples is not None:
         frame = filter_by_coverage(frame, samples, day=day, subject_cols=subject_cols, **coverage)
@@ -60,7 +63,7 @@ def full_report(
         filled = impute(frame, list(features), "median").na.drop(subset=list(features))
         out["anomalies"] = isolation_forest(filled, [*subject_cols, day], features)
     if "score" in frame.columns and "steps" in frame.columns:
-        out["best_ranges"] = optimal_ranges(frame)
+        out["best_ranges"] = optimal_ranges(frame, subject_cols=subject_cols)
     return out
 
 
@@ -91,14 +94,10 @@ def quality_recommendations(report: dict[str, DataFrame]) -> DataFrame:
     suitable = report["suitability"].where("task = 'anomaly_detection'").agg(F.count("*")).scalar()
     row = c.agg(F.count("*").alias("_n")).select(sparse.alias("sparse"), issues.alias("issues"), suitable.alias("suitable"))
     return _rules(row, (
-        (F.col("sparse") > 0, "completeness", "high",
-         F.format_string("Address data completeness issues in %d columns", F.col("sparse"))),
-        (F.col("issues") > 0, "data_quality", "medium",
-         F.format_string("Address %d data quality issues", F.col("issues"))),
-        (F.col("suitable") < 5, "modeling", "high",
-         F.format_string("Insufficient features for modeling: only %d suitable features", F.col("suitable"))),
-        (F.col("suitable") >= 5, "modeling", "low",
-         F.format_string("Good feature availability: %d features suitable for modeling", F.col("suitable"))),
+        ("sparse_columns", "high", "sparse", F.col("sparse") > 0),
+        ("column_issues", "medium", "issues", F.col("issues") > 0),
+        ("few_model_columns", "high", "suitable", F.col("suitable") < 5),
+        ("enough_model_columns", "low", "suitable", F.col("suitable") >= 5),
     ))
 
 
@@ -116,14 +115,12 @@ def modeling_recommendations(
         "gappy", "n", one(detectors, F.max("anomaly_rate"), "detector = 'ensemble'").alias("rate"),
         one(clusterings, F.max("silhouette")).alias("silhouette"), one(models, F.max("test_r2")).alias("r2"))
     return _rules(row, (
-        (F.col("gappy") > 0, "features", "medium",
-         F.format_string("Consider removing or imputing %d features with >30%% missing data", F.col("gappy"))),
-        (F.col("rate") > 0.1, "anomalies", "high",
-         F.format_string("High anomaly rate detected (%.1f%%). Review data quality.", F.col("rate") * 100)),
-        (F.col("rate") < 0.01, "anomalies", "low", F.lit("Very low anomaly rate. Consider adjusting detection sensitivity.")),
-        (F.col("silhouette") < 0.2, "clustering", "medium", F.lit("Low clustering quality (silhouette score < 0.2).")),
-        (F.col("silhouette") > 0.6, "clustering", "low", F.lit("Excellent clustering quality. Clusters are well separated.")),
-        (F.col("r2") < 0.3, "prediction", "medium", F.lit("Low predictive power (R2 < 0.3).")),
-        (F.col("r2") > 0.7, "prediction", "low", F.lit("Strong predictive power.")),
-        (F.col("n") > 50, "features", "medium", F.lit("High-dimensional dataset. Consider dimensionality reduction.")),
+        ("gappy_features", "medium", "gappy", F.col("gappy") > 0),
+        ("anomalies_many", "high", "rate", F.col("rate") > 0.1),
+        ("anomalies_few", "low", "rate", F.col("rate") < 0.01),
+        ("clusters_overlap", "medium", "silhouette", F.col("silhouette") < 0.2),
+        ("clusters_apart", "low", "silhouette", F.col("silhouette") > 0.6),
+        ("prediction_weak", "medium", "r2", F.col("r2") < 0.3),
+        ("prediction_good", "low", "r2", F.col("r2") > 0.7),
+        ("many_features", "medium", "n", F.col("n") > 50),
     ))

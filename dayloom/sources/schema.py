@@ -55,12 +55,9 @@ def audit_tables(spark: SparkSession, tables: Mapping[str, DataFrame | None]) ->
         if df is None:
             row = spark.createDataFrame([(name, None, "not found")], "`table` string, rows long, status string")
         else:
-            # the first rows only, as a quick look; counts come from the whole table
-            head = df.limit(5).select(F.lit(name).alias("table"), F.coalesce(
-                *[F.when(F.col(f"`{c}`").isNotNull(), F.lit(True)) for c in df.columns], F.lit(False)).alias("_any"))
-            looked = head.agg(F.coalesce(F.max("_any"), F.lit(False)).alias("_any")).scalar()
-            row = df.agg(F.count("*").alias("rows")).select(
-                F.lit(name).alias("table"), "rows", F.when(looked, "ok").otherwise("all null or empty").alias("status"))
+            filled = F.coalesce(*[F.when(F.col(f"`{c}`").isNotNull(), F.lit(True)) for c in df.columns], F.lit(False))
+            row = df.agg(F.count("*").alias("rows"), F.coalesce(F.bool_or(filled), F.lit(False)).alias("_any")).select(
+                F.lit(name).alias("table"), "rows", F.when(F.col("_any"), "ok").otherwise("all null or empty").alias("status"))
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -83,23 +83,28 @@ def daily_coverage_stream(samples: DataFrame, *, ts: str = "ts", subject_cols: S
 
 def hourly_moments_stream(samples: DataFrame, *, ts: str = "ts", value: str = "stress",
                           subject_cols: Sequence[str] = (), delay: str = "1 day") -> DataFrame:
-    """Count, sum, sum of squares and extremes per hour of the calendar."""
+    """Count, mean, sum of squared distances from the mean and extremes per hour of the calendar."""
     x = F.col(value)
     return (
         with_event_time(samples, ts, delay=delay)
         .groupBy(*subject_cols, F.window(ts, "1 hour").alias("_w"))
-        .agg(F.count(x).alias("n"), F.sum(x).alias("total"), F.sum(x * x).alias("squares"),
+        .agg(F.count(x).alias("n"), F.avg(x).alias("center"), (F.var_pop(x) * F.count(x)).alias("spread"),
              F.min(x).alias("low"), F.max(x).alias("high"))
-        .select(*subject_cols, F.col("_w.start").alias("hour_start"), "n", "total", "squares", "low", "high")
+        .select(*subject_cols, F.col("_w.start").alias("hour_start"), "n", "center", "spread", "low", "high")
     )
 
 
 def hourly_profile_from_moments(moments: DataFrame, *, subject_cols: Sequence[str] = ()) -> DataFrame:
     """Hour-of-day statistics out of stored moments; the median needs the samples and stays in batch."""
-    n, total = F.sum("n"), F.sum("total")
-    variance = (F.sum("squares") - total * total / n) / F.when(n > 1, n - 1)
-    return moments.groupBy(*subject_cols, F.hour("hour_start").alias("hour")).agg(
-        (total / n).alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std"),
+    # spreads about the means of single hours are moved to the common mean: no difference of large squares
+    keys = [*subject_cols, "hour"]
+    together = Window.partitionBy(*keys)        # one row per hour of the calendar
+    rows = moments.where("n > 0").withColumn("hour", F.hour("hour_start"))
+    rows = rows.withColumn("_mean", F.sum(F.col("center") * F.col("n")).over(together) / F.sum("n").over(together))
+    moved = F.sum(F.col("spread") + F.col("n") * (F.col("center") - F.col("_mean")) ** 2)
+    n = F.sum("n")
+    return rows.groupBy(*keys).agg(
+        F.max("_mean").alias("mean"), F.sqrt(moved / F.when(n > 1, n - 1)).alias("std"),
         F.min("low").alias("min"), F.max("high").alias("max"), n.alias("count"))
 
 

@@ -9,13 +9,13 @@ from dayloom.operators.quality import quality_score
 from dayloom.sources import schema, sinks, tables
 
 T0 = dt.datetime(2024, 5, 1, 8)
-MAPPING = {"strange_67": {"display_name": "Training Assessment", "description": "auto", "category": "assessment", "color": "#9B59B6"}}
+MAPPING = {"kite_3": {"display_name": "Kite Surfing", "description": "on the lake", "category": "water", "color": "#123ABC"}}
 
 
 @pytest.fixture(scope="module")
 def sessions(spark):
     rows = [("1", "running", T0), ("2", "cycling", T0 + dt.timedelta(hours=1)), ("3", "trail_running", T0 + dt.timedelta(days=2)),
-            ("4", "strange_67", T0 + dt.timedelta(days=9)), ("5", "yoga", T0 + dt.timedelta(days=10)),
+            ("4", "kite_3", T0 + dt.timedelta(days=9)), ("5", "yoga", T0 + dt.timedelta(days=10)),
             ("6", "trail_running", T0 + dt.timedelta(days=11))]
     return spark.createDataFrame(rows, "activity_id string, sport string, start_time timestamp_ntz")
 
@@ -27,7 +27,7 @@ def mapping(spark):
 
 def test_display_names(sessions, mapping):
     got = {r["sport"]: (r["display_name"], r["description"]) for r in act.with_display_names(sessions, mapping).collect()}
-    assert got["strange_67"] == ("Training Assessment", "auto") and got["trail_running"] == ("Trail Running", "")
+    assert got["kite_3"] == ("Kite Surfing", "on the lake") and got["trail_running"] == ("Trail Running", "")
 
 
 def test_unmapped(sessions, mapping):
@@ -38,7 +38,7 @@ def test_unmapped(sessions, mapping):
 
 def test_colors_by_first_appearance(sessions, mapping):
     got = {r["sport"]: r["color"] for r in act.sport_colors(sessions, mapping).collect()}
-    assert got == {"running": "#FF6B6B", "cycling": "#4ECDC4", "strange_67": "#9B59B6", "trail_running": "#FF9F43", "yoga": "#10AC84"}
+    assert got == {"running": "#FF6B6B", "cycling": "#4ECDC4", "kite_3": "#123ABC", "trail_running": "#FF9F43", "yoga": "#10AC84"}
 
 
 def test_calendar(sessions):
@@ -92,7 +92,7 @@ def test_read_or_build_builds_once(spark, tmp_path):
 def test_mapping_file(spark, tmp_path):
     path = tmp_path / "map.json"
     path.write_text(json.dumps({"unknown_activity_mappings": MAPPING, "activity_categories": {"x": {}}}, indent=2))
-    assert tables.read_mapping(spark, str(path)).first().asDict() == {"sport": "strange_67", **MAPPING["strange_67"]}
+    assert tables.read_mapping(spark, str(path)).first().asDict() == {"sport": "kite_3", **MAPPING["kite_3"]}
     assert tables.read_mapping(spark, str(tmp_path / "none.json")).count() == 0
 
 

@@ -207,7 +207,7 @@ def test_modeling_run_isolates_failures(history):
     assert run.errors == {"clusters": "no clusters today"}
     assert {"features", "votes", "detectors", "models", "recommendations"} <= set(run.frames)
     assert run.frames["votes"].count() == 120
-    assert "Strong predictive power." in {r["message"] for r in run.frames["recommendations"].collect()}
+    assert "prediction_good" in {r["rule"] for r in run.frames["recommendations"].collect()}
 
 
 def test_reports(history, spark):
@@ -217,7 +217,7 @@ def test_reports(history, spark):
     assert full["anomalies"].count() == 31 and full["best_ranges"].count() == 1
     q = reports.quality_report(history)
     assert q["text"].count() == 0
-    assert {r["type"] for r in q["recommendations"].collect()} == {"modeling"}
+    assert {r["rule"] for r in q["recommendations"].collect()} <= {"few_model_columns", "enough_model_columns"}
 
 
 EVENTS = "/root/testdata/sf0.001"

@@ -54,7 +54,7 @@ def test_resting_hr_falls_back(spark):
     assert weekly.weekly_aggregates(df).first()["rhr_avg"] == 50.0
 
 
-@pytest.mark.parametrize("mode", ["auto", "exact"])
+@pytest.mark.parametrize("mode", ["bounded", "exact"])
 def test_weekday_profile_matches_pandas(spark, mode):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"day": days(70), "score": rng.normal(70, 9, 70), "bb_max": rng.integers(0, 100, 70).astype(float)})
@@ -74,7 +74,7 @@ def test_weekday_profile_matches_pandas(spark, mode):
     assert {r["normalized"] for r in profiles.weekday_minmax(flat).collect()} == {50.0}
 
 
-@pytest.mark.parametrize("mode", ["auto", "exact"])
+@pytest.mark.parametrize("mode", ["bounded", "exact"])
 def test_hourly_profile(spark, mode):
     rows = [(dt.datetime(2024, 1, 1, 5), 1.0), (dt.datetime(2024, 1, 2, 5), 3.0), (dt.datetime(2024, 1, 1, 6), 9.0),
             (dt.datetime(2024, 1, 1, 7), None)]
@@ -92,7 +92,7 @@ def pandas_bins(v, s, n):
     return pd.DataFrame({"bin": codes, "s": s}).groupby("bin")["s"].agg(["mean", "count", "std"]), edges
 
 
-@pytest.mark.parametrize("mode", ["auto", "exact"])
+@pytest.mark.parametrize("mode", ["bounded", "exact"])
 def test_quantile_bins(spark, mode):
     rng = np.random.default_rng(5)
     v, s = np.round(rng.gamma(2, 3000, 60), -2), rng.normal(70, 5, 60)

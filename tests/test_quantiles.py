@@ -29,7 +29,7 @@ def test_grouped_exact_quantiles(spark, frame, few):
         np.testing.assert_allclose(got[g]["q"], np.quantile(v, PROBS), rtol=1e-13, atol=1e-300)
 
 
-@pytest.mark.parametrize("mode", ["exact", "bounded", "auto"])
+@pytest.mark.parametrize("mode", ["exact", "bounded"])
 def test_global_quantiles_ignore_null_and_nan(spark, mode):
     df = spark.createDataFrame([(1.0,), (2.0,), (None,), (float("nan"),), (10.0,), (float("inf"),)], "v double")
     row = quantiles(df, [], "v", [0.5, 1.0], mode=mode).first()
