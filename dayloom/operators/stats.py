@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,29 +25,58 @@ def pearson(x: Column, y: Column) -> Column:
     return F.covar_pop(x, y) / F.when(spread > 0, spread)
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, *, batch: int = 100) -> DataFrame:
+PAIR_SUMS = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
+
+
+def _pair_sums(centers: list[float]):
+    """Sums over all rows of a partition for every two columns, over the rows that have both."""
+    d = len(centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, d, d))
+        for batch in batches:
+            if batch.num_rows:
+                values = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) - centers
+                there = ~np.isnan(values)
+                x, m = np.where(there, values, 0.0), there.astype(float)
+                sums += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        i, j = np.triu_indices(d, 1)
+        n, one, two, both = sums
+        yield pa.record_batch(
+            [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)),
+             *[pa.array(v) for v in (n[i, j], one[i, j], one[j, i], two[i, j], two[j, i], both[i, j])]],
+            names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    return run
+
+
+def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson r of every column pair over the rows that have both: ``a``, ``b``, ``n``, ``r``.
 
-    All pairs come from one aggregate, in batches so that wide tables compile.
+    Two scans for any number of columns: one for the means, and one that adds up
+    products of the centred columns as matrices, one matrix per task.  NaN counts
+    as missing.
     """
     columns = list(columns or numeric_columns(df))
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    if not pairs:
+    if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, n long, r double")
-    out = None
-    for start in range(0, len(pairs), batch):
-        chunk = pairs[start:start + batch]
-        aggs = []
-        for i, (a, b) in enumerate(chunk):
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            both = x.isNotNull() & y.isNotNull()
-            aggs += [F.count_if(both).alias(f"n_{i}"), pearson(F.when(both, x), F.when(both, y)).alias(f"r_{i}")]
-        row = df.agg(*aggs)
-        entries = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n_{i}").alias("n"),
-                                     F.col(f"r_{i}").alias("r")) for i, (a, b) in enumerate(chunk)])
-        found = row.select(F.inline(entries))
-        out = found if out is None else out.unionByName(found)
-    return out
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    present = [F.when(~F.isnan(c), F.col(c)) for c in numbers.columns]
+    centers = [m or 0.0 for m in numbers.agg(*[F.avg(c) for c in present]).first()]
+    sums = numbers.mapInArrow(_pair_sums(centers), PAIR_SUMS).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+
+    n = F.when(F.col("n") > 0, F.col("n"))
+
+    def spread(total: str, squares: str, index: str) -> Column:
+        raw = F.col(squares) - F.col(total) * F.col(total) / n
+        center = F.get(F.array(*[F.lit(float(m)) for m in centers]), F.col(index))
+        return F.when(raw > 1e-24 * n * center * center, raw)      # what rounding leaves of a constant column is none
+
+    names = F.array(*[F.lit(c) for c in columns])
+    scale = F.sqrt(spread("x", "xx", "i")) * F.sqrt(spread("y", "yy", "j"))
+    r = (F.col("xy") - F.col("x") * F.col("y") / n) / scale
+    return sums.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), F.col("n").cast("long").alias("n"), r.alias("r"))
 
 
 def correlation_matrix(pairs: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
-def preview(df: DataFrame, columns: Sequence[str] | None = None, rows: int = 3) -> DataFrame:
-    """The first rows of the columns that exist; a quick look, in no particular order."""
+def preview(df: DataFrame, columns: Sequence[str] | None = None, rows: int = 3, *, order_by: Sequence[str] = ()) -> DataFrame:
+    """The first rows of the columns that exist; without ``order_by`` in no particular order."""
     found = [c for c in (columns or df.columns) if c in df.columns]
-    return df.select(*found).limit(rows)
+    return (df.orderBy(*order_by) if order_by else df).select(*found).limit(rows)
