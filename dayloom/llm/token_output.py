@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayloom.llm.common import Tables, bounded_sample, text_check
-from dayloom.llm.spans import slices
+from dayloom.llm.spans import _table, slices, words_of
 
 MAGIC = b"DLTOKEN1"
 END_ID = 2
@@ -36,19 +36,48 @@ LEVEL = 3
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 32 << 10
 #: A shard is closed when its ids exceed this size.
 SHARD_BYTES = 128 << 20
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 300_000
+#: Words in each of the two tables of ids that a Python worker keeps.
+CACHE_WORDS = 1_000_000
+
+NOT_SPACE = _table([(0x20, 0x20)], False)
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.int64()), ("tk", pa.int32())])
 
 
+class WordTable:
+    """Ids of words by 64-bit hash and a 32-bit check of the word, as sorted arrays."""
+
+    def __init__(self):
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.begins, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Place of each word, -1 if it is not known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[np.ndarray]) -> None:
+        sizes = np.array([len(x) for x in ids], np.int64)
+        begins = len(self.flat) + np.cumsum(sizes) - sizes
+        self.flat = np.concatenate([self.flat, *ids])
+        every = np.concatenate([self.keys, keys])
+        order = np.argsort(every, kind="stable")
+        self.keys = every[order]
+        for name, new in (("checks", checks), ("begins", begins), ("sizes", sizes)):
+            setattr(self, name, np.concatenate([getattr(self, name), new])[order])
+
+
 class Encoder:
     """Ids of whole texts by a file of the tokenizers library.
 
     Its byte-level pre-tokenizer always begins a new piece at a space that
     something other than white space follows, and pieces are encoded one by one.
-    So a text without double spaces and special tokens is encoded word by word,
-    and each different word only once.
+    So a text without double spaces and special tokens is encoded word by word.
+    Each different word of a slice is looked up in a table, and the library
+    encodes those that are not there.  When the table is full it becomes the old
+    one, from which words that come again are copied.
     """
 
     def __init__(self, path: str):
@@ -57,28 +86,55 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}       # ids of a space and the word
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.ends = {c: self._ids([c])[0] for c in ".,"}
+        self.young, self.old = WordTable(), WordTable()
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of a space and each word.  Letters and a mark behind them are pieces of their own."""
+        marked = [w[-1:] in self.ends and w[:-1].isalpha() for w in words]
+        ids = self._ids([f" {w[:-1] if m else w}" for w, m in zip(words, marked)])
+        return [np.concatenate([x, self.ends[w[-1]]]) if m else x for x, w, m in zip(ids, words, marked)]
+
+    def _words(self, texts: list[str]) -> list[bytes]:
+        """Texts that may be cut at every space."""
+        words = words_of(pa.array(texts, pa.large_string()), NOT_SPACE)
+        heads = words.offsets[words.doc] == words.starts        # no space before the first word of a text
+        tails = np.flatnonzero(~heads)
+        keys, first, inverse = np.unique(words.hashes[tails], return_index=True, return_inverse=True)
+        body = words.raw.tobytes()
+        cut = [body[words.starts[i]:words.ends[i]] for i in tails[first]]
+        checks = np.fromiter(map(zlib.crc32, cut), np.uint32, len(cut))
+        if len(self.young.keys) + len(keys) > CACHE_WORDS:
+            self.old, self.young = self.young, WordTable()
+        new = np.flatnonzero(self.young.find(keys, checks) < 0)
+        before = self.old.find(keys[new], checks[new])
+        known, unknown = new[before >= 0], new[before < 0]
+        kept = [self.old.flat[b:b + n] for b, n in zip(self.old.begins[before[before >= 0]], self.old.sizes[before[before >= 0]])]
+        fresh = self._encoded([cut[i].decode() for i in unknown])
+        self.young.add(keys[np.concatenate([known, unknown])], checks[np.concatenate([known, unknown])], [*kept, *fresh])
+
+        place = self.young.find(keys, checks)
+        sizes, begins = np.zeros(len(words.starts), np.int64), np.zeros(len(words.starts), np.int64)
+        sizes[tails], begins[tails] = self.young.sizes[place][inverse], self.young.begins[place][inverse]
+        own = np.flatnonzero(heads)
+        head_ids = self._ids([body[words.starts[i]:words.ends[i]].decode() for i in own])
+        flat = np.concatenate([self.young.flat, *head_ids])
+        sizes[own] = [len(x) for x in head_ids]
+        begins[own] = len(self.young.flat) + np.cumsum(sizes[own]) - sizes[own]
+        ends = np.cumsum(sizes)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)]
+        bounds = np.concatenate([[0], ends])[words.first]
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut: list[list[str] | None] = []
-        new: dict[str, None] = {}
-        for t in texts:
-            whole = "  " in t or any(s in t for s in self.special)
-            words = None if whole else t.split(" ")
-            cut.append(words)
-            if words:
-                new.update(dict.fromkeys(w for w in words[1:] if w not in self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = dict.fromkeys(w for words in cut if words for w in words[1:])
-        self.known.update(zip(new, self._ids([f" {w}" for w in new])))
-        heads = self._ids([t if words is None else words[0] for t, words in zip(texts, cut)])
-        known = self.known
-        return [head if words is None else head + b"".join([known[w] for w in words[1:]]) for head, words in zip(heads, cut)]
+        whole = ["  " in t or t[-1:] == " " or any(s in t for s in self.special) for t in texts]
+        slow = iter([x.tobytes() for x in self._ids([t for t, w in zip(texts, whole) if w])])
+        fast = iter(self._words([t for t, w in zip(texts, whole) if not w]))
+        return [next(slow) if w else next(fast) for w in whole]
 
 
 @lru_cache(maxsize=2)
