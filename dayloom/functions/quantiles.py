@@ -113,34 +113,31 @@ def quantiles(
         .withColumn("_n", n)
         .withColumn("_want", F.transform(ranks, lambda r: F.struct(r.alias("rank"), r.alias("off"))))
     )
-    at1 = _hits(level1, parts, "_b1")
-    open1 = at1.where(F.col("_lo") < F.col("_hi")).select(
-        *parts, "_b1", "_n", "_want", F.col("_lo").alias("_l1"), F.col("_hi").alias("_h1"))
-
-    # only the counters meet the wanted ranks again, so that rows are hash-aggregated
-    rows2 = _narrowed(rows, open1, [*parts, "_b1"], few_groups).withColumn(
-        "_b2", linear_bucket(F.col("_v"), F.col("_l1"), F.col("_h1")))
-    counts2 = rows2.groupBy(*parts, "_b1", "_b2").agg(F.count("_v").alias("_c"), *span)
-    level2 = _narrowed(counts2, open1.drop("_l1", "_h1"), [*parts, "_b1"], few_groups)
-    at2 = _hits(level2, [*parts, "_b1"], "_b2")
-    open2 = at2.where(F.col("_lo") < F.col("_hi")).select(
-        *parts, "_b1", "_b2", "_n", "_want", F.col("_lo").alias("_l2"), F.col("_hi").alias("_h2"))
-
-    # buckets are disjoint intervals, so the ends of a part pick out exactly its rows
-    rows3 = _narrowed(rows, open2, [*parts, "_b1"], few_groups).where(F.col("_v").between(F.col("_l2"), F.col("_h2")))
-    counts3 = rows3.groupBy(*parts, "_b1", "_b2", "_v").agg(F.count("_v").alias("_c"))
-    level3 = _narrowed(counts3, open2.drop("_l2", "_h2"), [*parts, "_b1", "_b2"], few_groups)
-    at3 = _hits(level3, [*parts, "_b1", "_b2"], "_v")
-
     def settled(d: DataFrame, v: str) -> DataFrame:
         return d.select(*parts, "_n", F.explode("_want").alias("_w"), F.col(v).alias("_v")).select(
             *parts, "_n", F.col("_w.rank").alias("_r"), "_v")
 
-    found = (
-        settled(at1.where(F.col("_lo") == F.col("_hi")), "_lo")
-        .unionByName(settled(at2.where(F.col("_lo") == F.col("_hi")), "_lo"))
-        .unionByName(settled(at3, "_v"))
-    )
+    # the few counters of each pass are stored, so that no later part of the plan counts again
+    at1 = cut_lineage(_hits(level1, parts, "_b1"))
+    found = settled(at1.where(F.col("_lo") == F.col("_hi")), "_lo")
+    open1 = at1.where(F.col("_lo") < F.col("_hi")).select(
+        *parts, "_b1", "_n", "_want", F.col("_lo").alias("_l1"), F.col("_hi").alias("_h1"))
+    if not open1.isEmpty():
+        # only the counters meet the wanted ranks again, so that rows are hash-aggregated
+        rows2 = _narrowed(rows, open1, [*parts, "_b1"], few_groups).withColumn(
+            "_b2", linear_bucket(F.col("_v"), F.col("_l1"), F.col("_h1")))
+        counts2 = rows2.groupBy(*parts, "_b1", "_b2").agg(F.count("_v").alias("_c"), *span)
+        level2 = _narrowed(counts2, open1.drop("_l1", "_h1"), [*parts, "_b1"], few_groups)
+        at2 = cut_lineage(_hits(level2, [*parts, "_b1"], "_b2"))
+        found = found.unionByName(settled(at2.where(F.col("_lo") == F.col("_hi")), "_lo"))
+        open2 = at2.where(F.col("_lo") < F.col("_hi")).select(
+            *parts, "_b1", "_b2", "_n", "_want", F.col("_lo").alias("_l2"), F.col("_hi").alias("_h2"))
+        if not open2.isEmpty():
+            # buckets are disjoint intervals, so the ends of a part pick out exactly its rows
+            rows3 = _narrowed(rows, open2, [*parts, "_b1"], few_groups).where(F.col("_v").between(F.col("_l2"), F.col("_h2")))
+            counts3 = rows3.groupBy(*parts, "_b1", "_b2", "_v").agg(F.count("_v").alias("_c"))
+            level3 = _narrowed(counts3, open2.drop("_l2", "_h2"), [*parts, "_b1", "_b2"], few_groups)
+            found = found.unionByName(settled(_hits(level3, [*parts, "_b1", "_b2"], "_v"), "_v"))
     by_rank = found.groupBy(*parts).agg(
         F.first("_n").alias("n"),
         F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"))   # at most 2 per quantile
