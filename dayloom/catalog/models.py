@@ -66,11 +66,28 @@ MAHALANOBIS_SQL = """WITH m AS (SELECT avg(l_quantity) AS a, stddev_samp(l_quant
 z AS (SELECT l_orderkey, l_linenumber, (l_quantity - a) / sa AS x, (l_extendedprice - b) / sb AS y, r FROM lineitem, m),
 s AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, sqrt((x * x - 2 * r * x * y + y * y) / (1 - r * r)) AS score FROM z)
 SELECT *, CASE WHEN score > (SELECT quantile_cont(score, 0.9) FROM s) THEN -1 ELSE 1 END::BIGINT AS label FROM s"""
-PCA_SQL = f"""WITH {VECTORS_SQL}, m AS (SELECT avg(x0) AS ma, avg(x1) AS mb, covar_samp(x0, x1) AS c, var_samp(x0) AS va,
-  var_samp(x1) AS vb FROM v),
-t AS (SELECT *, cos(0.5 * atan2(2 * c, va - vb)) AS k, sin(0.5 * atan2(2 * c, va - vb)) AS s FROM m)
-SELECT vec_id, (k * (x0 - ma) + s * (x1 - mb)) * CASE WHEN abs(k) >= abs(s) THEN 1 ELSE sign(s) END AS pc1,
-  (-s * (x0 - ma) + k * (x1 - mb)) * CASE WHEN abs(k) >= abs(s) THEN 1 ELSE sign(-s) END AS pc2 FROM v, t"""
+
+
+def axis_sql(name: str, matrix: str) -> str:
+    """Leading unit eigenvector ``u`` of a symmetric matrix of lists: squared again and again, only its projector is left."""
+    return f"""{name}_p AS (SELECT 0 AS k, a FROM {matrix} UNION ALL
+  SELECT k + 1, list_transform(a, lambda r: list_transform(a, lambda s:
+    list_dot_product(r, s) / list_sum(list_transform(a, lambda t: list_dot_product(t, t))))) FROM {name}_p WHERE k < 14),
+{name}_r AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS u FROM (
+  SELECT unnest(a) AS r FROM {name}_p WHERE k = 14) ORDER BY list_dot_product(r, r) DESC LIMIT 1),
+{name} AS (SELECT CASE WHEN list_max(u) >= -list_min(u) THEN u ELSE list_transform(u, lambda x: -x) END AS u FROM {name}_r)"""
+
+
+PCA_SQL = f"""WITH RECURSIVE {VECTORS_SQL},
+c AS MATERIALIZED (SELECT vec_id, [{', '.join(f'{c} - avg({c}) OVER ()' for c in VECTOR)}] AS x FROM v),
+m1 AS MATERIALIZED (SELECT list(r ORDER BY i) AS a FROM (SELECT i, list(s ORDER BY j) AS r FROM (
+  SELECT i, j, sum(x[i] * x[j]) AS s FROM c, (SELECT unnest(range(1, {len(VECTOR) + 1})) AS i), (SELECT unnest(range(1, {len(VECTOR) + 1})) AS j)
+  GROUP BY 1, 2) GROUP BY 1)),
+{axis_sql('first', 'm1')},
+m2 AS MATERIALIZED (SELECT list_transform(a, lambda r, i: list_transform(r, lambda s, j: s - l * u[i] * u[j])) AS a FROM (
+  SELECT a, u, list_dot_product(u, list_transform(a, lambda r: list_dot_product(r, u))) AS l FROM m1, first)),
+{axis_sql('second', 'm2')}
+SELECT vec_id, list_dot_product(x, first.u) AS pc1, list_dot_product(x, second.u) AS pc2 FROM c, first, second"""
 PROFILE_SQL = f"WITH {VECTORS_SQL} " + " UNION ALL ".join(
     f"""SELECT CAST(label AS BIGINT) AS cluster, '{c}' AS "column", count(*) AS size, avg({c}) AS mean, stddev_samp({c}) AS std,
   min({c}) AS min, max({c}) AS max, quantile_cont({c}, 0.5) AS median,
@@ -103,7 +120,7 @@ QUERIES = [
     Query("ensemble_vote", votes),
     Query("detector_rates", lambda s, d: anomaly.detector_rates(
         votes(s, d), ["isolation_forest", "local_outlier_factor", "mahalanobis", "ensemble"])),
-    Query("pca2", lambda s, d: clustering.pca(vectors(s, d), ["x0", "x1"]).select("vec_id", "pc1", "pc2"), PCA_SQL, ("pc1", "pc2")),
+    Query("pca2", lambda s, d: clustering.pca(vectors(s, d), VECTOR).select("vec_id", "pc1", "pc2"), PCA_SQL, ("pc1", "pc2")),
     Query("label_profile", lambda s, d: clustering.cluster_profiles(labelled(s, d), VECTOR), PROFILE_SQL,
           ("mean", "std", "min", "max", "median", "pct")),
     Query("label_quality", lambda s, d: clustering.clustering_quality(labelled(s, d)), QUALITY_SQL,
