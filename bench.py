@@ -24,6 +24,8 @@ HEADLINE = (
     "period_of_day", "quantile_bins", "best_range", "corr_pairs", "feature_stats", "outliers_3iqr", "completeness",
     "iqr_filter_one_pass", "placeholder_clean", "duration_minutes", "impute_median", "ffill", "rolling_7_30", "ewm_decay",
     "display_names", "activity_calendar", "standardize", "robust_scale", "trend_line", "table_audit",
+    "master_daily_subject", "quality_score_subject", "exact_quantiles", "spearman", "iqr_filter", "corr_matrix", "isolation_forest",
+    "mahalanobis", "kmeans", "weekly_report", "stream_daily_stress", "stream_coverage",
 )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from dayloom.functions.quantiles import quantiles
 from dayloom.functions.temporal import duration_minutes
 from dayloom.operators.daily import numeric_columns
-from dayloom.operators.quality import column_quantiles, completeness, present
+from dayloom.operators.quality import column_quantiles, present
 
 # What stands for "no value" in raw exports.
 PLACEHOLDER_TEXT = ("", "NA", "null", "None")

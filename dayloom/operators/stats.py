@@ -63,7 +63,9 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     present = [F.when(~F.isnan(c), F.col(c)) for c in numbers.columns]
     centers = [m or 0.0 for m in numbers.agg(*[F.avg(c) for c in present]).first()]
-    sums = numbers.mapInArrow(_pair_sums(centers), PAIR_SUMS).groupBy("i", "j").agg(
+    none = df.sparkSession.createDataFrame(     # every pair has a row, also without input
+        [(i, j, *[0.0] * 6) for i in range(len(columns)) for j in range(i + 1, len(columns))], PAIR_SUMS)
+    sums = numbers.mapInArrow(_pair_sums(centers), PAIR_SUMS).union(none).groupBy("i", "j").agg(
         *[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
 
     n = F.when(F.col("n") > 0, F.col("n"))

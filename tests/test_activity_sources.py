@@ -148,3 +148,13 @@ def test_audit(spark):
         spark, {"ok": spark.range(3), "nulls": nulls, "empty": spark.range(0), "none": None}).collect()}
     assert got == {"ok": (3, "ok"), "nulls": (7, "all null or empty"), "empty": (0, "all null or empty"), "none": (None, "not found")}
     assert schema.preview(spark.range(9), ["id", "nope"]).count() == 3
+
+
+def test_audit_looks_at_all_rows(spark):
+    late = spark.createDataFrame([(None,)] * 5 + [(1,)] * 100, "x int").coalesce(1)
+    got = {r["table"]: (r["rows"], r["status"]) for r in schema.audit_tables(spark, {"late": late, "nulls": late.where("x is null")}).collect()}
+    assert got == {"late": (105, "ok"), "nulls": (5, "all null or empty")}
+
+
+def test_preview_in_order(spark):
+    assert [r["id"] for r in schema.preview(spark.range(50).orderBy("id", ascending=False), ["id", "no"], 3, order_by=["id"]).collect()] == [0, 1, 2]

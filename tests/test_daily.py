@@ -147,3 +147,13 @@ def test_master_with_daily_table_only(spark):
     out = build_master({"daily_summary": source_tables(spark)["daily_summary"].drop("steps")})
     r = out.first()
     assert r["steps"] is None and r["steps_avg_7d"] is None and r["missing_score"] and r["missing_training_effect"]
+
+
+def test_detail_of_subjects_with_the_same_session_ids(spark):
+    start = dt.datetime(2024, 1, 1, 8)
+    sessions = spark.createDataFrame([("a", "1", start), ("b", "1", start)], "subject string, activity_id string, start_time timestamp_ntz")
+    detail = spark.createDataFrame([("a", "1", 10.0), ("b", "1", 30.0)], "subject string, activity_id string, steps double")
+    got = {r["subject"]: r["steps_from_steps_activity"] for r in d.daily_activity_detail(detail, sessions, subject_cols=["subject"]).collect()}
+    assert got == {"a": 10.0, "b": 30.0}
+    shared = d.daily_activity_detail(detail.where("subject = 'a'").drop("subject"), sessions, subject_cols=["subject"]).collect()
+    assert {r["steps_from_steps_activity"] for r in shared} == {10.0}

@@ -29,15 +29,12 @@ def test_weekly_aggregates(two_weeks):
     assert weekly.weekly_aggregates(two_weeks, 1).count() == 1
 
 
-def test_weekly_delta_and_summary(two_weeks):
+def test_weekly_delta(two_weeks):
     weeks = weekly.weekly_aggregates(two_weeks)
     d = weekly.weekly_delta(weeks, "rhr_avg", "rhr_count", lower_is_better=True).orderBy("iso_week").collect()
     assert (d[0]["delta"], d[1]["delta"], d[1]["trend"]) == (None, -5.0, "+")
     s = weekly.weekly_delta(weeks, "stress_minutes_total", "stress_minutes_count", lower_is_better=True, whole=True)
     assert s.orderBy("iso_week").collect()[1]["trend"] == "-"
-    text = weekly.latest_week_summary(weeks).first()["summary"]
-    assert text == ("Sleep score averaged 80.0 (+10.0 vs prior week, up). Resting HR averaged 55.0 bpm (-5.0 bpm). "
-                    "Stress logged 2100 min total (+700 min)")
 
 
 def test_short_week_resets_comparison(spark):
@@ -46,7 +43,7 @@ def test_short_week_resets_comparison(spark):
     weeks = weekly.weekly_aggregates(spark.createDataFrame(rows, "day date, score double"))
     got = weekly.weekly_delta(weeks, "sleep_score_avg", "sleep_score_count").orderBy("iso_week").collect()
     assert [r["value"] is None for r in got] == [False, True, False] and all(r["delta"] is None for r in got)
-    assert weekly.latest_week_summary(weeks).first()["summary"] == ""
+    assert weekly.latest_week_summary(weeks).first()["sleep_score_change"] is None
 
 
 def test_resting_hr_falls_back(spark):
@@ -141,7 +138,7 @@ def test_correlations_match_pandas(spark):
     sdf = spark.createDataFrame([tuple(None if isinstance(x, float) and math.isnan(x) else float(x) for x in r)
                                  for r in pdf.itertuples(index=False)], "a double, b double, c double, d double, flat double")
     want = pdf.corr()
-    for r in stats.correlation_pairs(sdf, batch=3).collect():
+    for r in stats.correlation_pairs(sdf).collect():
         if "flat" in (r["a"], r["b"]):
             assert r["r"] is None
         else:
@@ -186,3 +183,19 @@ def test_trend_line_and_importance(spark):
     imp = spark.createDataFrame([("rhr", 2.0), ("steps", 1.0), ("stress_avg", 1.0)], "feature string, importance double")
     assert {r["category"]: r["share"] for r in stats.importance_by_category(imp).collect()} == {
         "heart_rate": 0.5, "activity": 0.25, "other": 0.25}
+
+
+def test_correlations_far_from_zero_constant_and_missing(spark):
+    rows = [(1e9 + i, 1e9 + 2.0 * i, 0.1, float("nan") if i % 2 else float(i), None) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(5)
+    got = {(r["a"], r["b"]): (r["n"], r["r"]) for r in stats.correlation_pairs(df).collect()}
+    assert len(got) == 10 and got["a", "b"][0] == 40 and abs(got["a", "b"][1] - 1) < 1e-9
+    assert got["a", "c"] == (40, None) and got["a", "e"] == (0, None)
+    assert got["a", "d"][0] == 20 and abs(got["a", "d"][1] - 1) < 1e-9
+    assert stats.correlation_pairs(df.select("a")).count() == 0
+    assert {r["r"] for r in stats.correlation_pairs(df.limit(0)).collect()} == {None}
+
+
+def test_latest_week_reports_numbers(two_weeks):
+    row = weekly.latest_week_summary(weekly.weekly_aggregates(two_weeks)).first()
+    assert (row["sleep_score_change"], row["sleep_score_sign"], row["rhr_sign"], row["stress_sign"]) == (10.0, 1, -1, 1)

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from dayloom.functions.quantiles import average_ranks, lookup_by_frequency, quantiles
+from dayloom.functions.quantiles import average_ranks, dense_number, lookup_by_frequency, quantiles
 
 PROBS = [0.0, 0.25, 0.5, 0.77, 1.0]
 
@@ -51,3 +51,16 @@ def test_lookup_by_frequency_keeps_every_row(spark):
     out = lookup_by_frequency(rows, table, ["k"], "n", heavy_share=0.01)
     assert out.count() == 4000
     assert out.where("looked <> k * 10").count() == 0
+
+
+def test_dense_numbers_do_not_depend_on_the_layout(spark):
+    values = spark.range(500).selectExpr("concat('k', lpad(id * 7 % 100, 3, '0')) AS name")
+    for parts in (1, 7):
+        got = {r["name"]: r["n"] for r in dense_number(values.repartition(parts), "name", "n").collect()}
+        assert got == {f"k{i:03d}": i for i in range(100)}
+    assert dense_number(values.limit(0), "name", "n").count() == 0
+
+
+def test_unknown_mode_is_refused(spark):
+    with pytest.raises(ValueError):
+        quantiles(spark.range(3), [], "id", [0.5], mode="auto")
