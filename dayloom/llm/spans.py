@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 _U = np.uint64
 #: Odd bases of the two rolling hashes, 3 modulo 8 so that few low bits are lost in powers.
@@ -58,7 +58,7 @@ def _powers_upto(base: int, size: int) -> np.ndarray:
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     """Powers 0 to n of an odd base modulo 2^64; only tables for whole slices are kept."""
-    return (_powers_upto(int(base), 2 * SLICE) if n <= 2 * SLICE else _powers_upto.__wrapped__(int(base), n))[: n + 1]
+    return (_powers_upto(int(base), SLICE) if n <= SLICE else _powers_upto.__wrapped__(int(base), n))[: n + 1]
 
 
 def _inverse(base: np.uint64) -> np.uint64:

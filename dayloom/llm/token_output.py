@@ -37,7 +37,8 @@ SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 32 << 10
 #: A shard is closed when its ids exceed this size.
 SHARD_BYTES = 128 << 20
 #: Words in each of the two tables of ids that a Python worker keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
+BATCH = 2048
 
 NOT_SPACE = _table([(0x20, 0x20)], False)
 
@@ -90,7 +91,9 @@ class Encoder:
         self.young, self.old = WordTable(), WordTable()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """In small batches: the library's encodings are many times larger than their ids."""
+        return [np.array(e.ids, "<u4") for lo in range(0, len(texts), BATCH)
+                for e in self.tokenizer.encode_batch(texts[lo:lo + BATCH], add_special_tokens=False)]
 
     def _encoded(self, words: list[str]) -> list[np.ndarray]:
         """Ids of a space and each word.  Letters and a mark behind them are pieces of their own."""
