@@ -3,6 +3,7 @@
 import datetime as dt
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
@@ -25,7 +26,7 @@ def test_entry_and_keys(spark):
 
 
 def plain(v):
-    if v is None or v != v or str(v) in ("NaT", "<NA>"):
+    if v is None or v is pd.NA or v != v or str(v) in ("NaT", "<NA>"):
         return "null"
     if isinstance(v, dt.date) or hasattr(v, "isoformat"):
         return str(v)[:10] if not hasattr(v, "hour") or (v.hour, v.minute, v.second) == (0, 0, 0) else str(v)
