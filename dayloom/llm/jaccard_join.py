@@ -41,7 +41,7 @@ PERCENT = 80
 RANGE = 0.3
 #: Bits of 64 that the nodes of a frequent shingle set: 20 bits are 24 nodes on average.
 HOT = 20
-BLOCK = 100_000
+BLOCK = 30_000
 
 _U = np.uint64
 
@@ -210,6 +210,7 @@ def _dense_links(heavy: DataFrame, posts: DataFrame, hots: DataFrame, tables: Ta
     members = heavy.join(clusters, "node").withColumn("band", band)
     sizes = members.groupBy("root", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     members = members.join(sizes, ["root", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.repartition("root", "band", "block")     # not by cluster: one may be large
     blocks = tables.keep(members.groupBy("root", "band", "block").agg(F.collect_list(F.struct("node", "n", "shingles")).alias("rows"))
                          .select("root", "band", "block", F.col("rows.node").alias("nodes"), F.col("rows.n").alias("sizes"),
                                  F.flatten("rows.shingles").alias("shingles")), "dense-blocks")
