@@ -12,7 +12,7 @@ from dayloom.llm.ann import nearest
 from dayloom.llm.decontamination import decontamination_digest
 from dayloom.llm.jaccard_join import jaccard_digest
 from dayloom.llm.langid import langid
-from dayloom.llm.line_dedup import line_dedup_digest
+from dayloom.llm.line_dedup import SHORT_WORDS, line_dedup_digest
 from dayloom.llm.mixing import mixing_digest
 from dayloom.llm.quality import quality
 from dayloom.llm.substring_dedup import substring_dedup_digest
@@ -40,6 +40,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+def short_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4 with repeated runs of fewer lines that are long in words or whole documents."""
+    return line_dedup_digest(_table(spark, sf_dir, "documents"), SHORT_WORDS)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -66,10 +71,12 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_langid, op4_line_dedup, op5_quality, op6_ann, op7_mixing, op8_jaccard_join, op9_decontamination, op10_token_output)}
+QUERIES["short_line_dedup"] = short_line_dedup
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": sql.SUBSTRING_DEDUP,
     "op4_line_dedup": sql.LINE_DEDUP,
+    "short_line_dedup": sql.SHORT_LINE_DEDUP,
     "op7_mixing": sql.MIXING,
     "op8_jaccard_join": sql.JACCARD,
     "op9_decontamination": sql.DECONTAMINATION,

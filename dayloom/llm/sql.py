@@ -45,6 +45,33 @@ SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)
 FROM documents AS d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+SHORT_LINE_DEDUP = r"""
+WITH a AS MATERIALIZED (
+    SELECT doc_id, generate_subscripts(ls, 1) AS r, unnest(ls) AS line
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+l AS MATERIALIZED (
+    SELECT doc_id, r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS i
+    FROM a WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id),
+g AS MATERIALIZED (
+    SELECT x.doc_id, x.i, k, list(y.line ORDER BY y.i) AS h, sum(y.w) AS words
+    FROM l AS x, (SELECT unnest([1, 2, 3]) AS k) JOIN l AS y ON y.doc_id = x.doc_id AND y.i >= x.i AND y.i < x.i + k
+    GROUP BY ALL HAVING count(*) = k),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first_doc, min(i) OVER (PARTITION BY h, doc_id) AS first_i FROM g),
+s AS (
+    SELECT doc_id, i, k FROM f JOIN n USING (doc_id)
+    WHERE (first_doc < doc_id OR first_i + k <= i) AND (k = 3 OR words > 50 OR n_lines = k)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i FROM s),
+kept AS (
+    SELECT a.doc_id, string_agg(a.line, chr(10) ORDER BY a.r) AS kept_text
+    FROM a LEFT JOIN l USING (doc_id, r) LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i
+    WHERE gone.i IS NULL GROUP BY a.doc_id),
+m AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM documents AS d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 DECONTAMINATION = r"""
 WITH w AS MATERIALIZED (
     SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS word

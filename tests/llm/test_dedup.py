@@ -126,6 +126,43 @@ def test_line_dedup(spark):
     assert line_dedup(frame(spark, [])).count() == 0
 
 
+def brute_short_lines(rows, short_words, k=3):
+    docs = [(i, None if t is None else t.split("\n")) for i, t in rows]
+    counted = [[j for j, x in enumerate(ls or []) if x.strip(" \t\n\v\f\r")] for _, ls in docs]
+    runs = [[(s, tuple(ls[j] for j in c[s:s + m])) for m in range(1, k + 1) for s in range(len(c) - m + 1)] for (_, ls), c in zip(docs, counted)]
+    first = {}
+    for (i, _), found in zip(docs, runs):
+        for _, w in found if i is not None else ():
+            first[w] = min(first.get(w, i), i)
+    out = []
+    for (i, ls), c, found in zip(docs, counted, runs):
+        gone, own = set(), {}
+        for s, w in found:
+            again = own.setdefault(w, s) + len(w) <= s
+            if (again or i is not None and first[w] < i) and (
+                    len(w) == k or len(w) == len(c) or len(WORD.findall(" ".join(w))) > short_words):
+                gone |= set(range(s, s + len(w)))
+        lines = {c[u] for u in gone}
+        out.append((i, len(c), len(gone), None if ls is None else "\n".join(x for j, x in enumerate(ls) if j not in lines)))
+    return out
+
+
+def test_short_line_dedup(spark):
+    rng = random.Random(4)
+    lines = ["alpha", "beta é of  six words or so", "  gamma with four words", "delta", "", " ", "epsilon and zeta and eta"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(7)))) for i in range(80)]
+    rows += [(90, None), (91, ""), (92, "only one"), (93, "only one"), (94, "x\nonly one\ny"), (95, "two lines\n\nof it"), (96, "two lines\nof it\n"),
+             (None, "only one"), (None, "a b c d e f\n\na b c d e f"), (97, "q r"), (97, "q r"), (97, "q r\ns"), (98, "q r")]
+    got = line_dedup(frame(spark, rows), short_words=4).collect()
+    assert order(map(tuple, got)) == order(brute_short_lines(rows, 4))
+    by = {r.doc_id: r.kept_text for r in got}
+    assert (by[92], by[93], by[94], by[96]) == ("only one", "", "x\nonly one\ny", "")
+    passage = prose(rng, 60)
+    got = {r.doc_id: r.kept_text for r in line_dedup(frame(spark, [(1, f"a\n{passage}"), (2, f"b\n{passage}\nc")]), short_words=50).collect()}
+    assert got == {1: f"a\n{passage}", 2: "b\nc"}
+    assert line_dedup(frame(spark, []), short_words=4).count() == 0
+
+
 def shingles(t):
     ws = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     return {tuple(ws[j:j + 5]) for j in range(max(1, len(ws) - 4))} if ws else set()
