@@ -24,8 +24,8 @@ from dayloom.llm.spans import LOWER, Words, _table, slices, words_of
 
 #: Labelled documents that the lexicon and the model are learned from, at most.
 SAMPLE_ROWS = 12_000
-#: Entries of the lexicon, and words with a context weight, at most.
-LEXICON, STEMS, CONTEXT = 200, 1000, 4096
+#: Words with a context weight, at most.
+CONTEXT = 4096
 CONTEXT_WORDS = 8
 FOLDS, HELD_OUT = 5, 0
 FUZZY_FROM, STEM_FROM, STEM_WORDS = 5, 4, 4
@@ -147,7 +147,7 @@ def branches(words: dict[str, int]) -> list[str]:
         for k in range(STEM_FROM, len(w)):
             below[w[:k]].append(w)
     found = [p for p, ws in below.items() if len(ws) >= STEM_WORDS and len({w[len(p)] for w in ws}) >= 3]
-    return sorted(found, key=lambda p: (-sum(words[w] for w in below[p]), p))[:STEMS]
+    return sorted(found, key=lambda p: (-sum(words[w] for w in below[p]), p))
 
 
 def propose(words: dict[str, int], stems: dict[str, int], least: int) -> list[tuple[str, bool, bool]]:
@@ -158,7 +158,7 @@ def propose(words: dict[str, int], stems: dict[str, int], least: int) -> list[tu
             top.append(p)
     whole = [w for w, t in words.items() if t >= least and not any(w.startswith(s) for s in top)]
     ranked = [(stems[p], p, True, False) for p in top] + [(words[w], w, False, len(w.encode()) >= FUZZY_FROM) for w in whole]
-    return [x[1:] for x in sorted(ranked, key=lambda x: (-x[0], x[1]))[:LEXICON]]
+    return [x[1:] for x in sorted(ranked, key=lambda x: (-x[0], x[1]))]
 
 
 def select(entries: list[tuple[str, bool, bool]], hits: list, n_other: int) -> list[tuple[str, bool, bool]]:
@@ -307,8 +307,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sam
                    doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Learn lexicon, context and weights from at most ``sample_rows`` labelled documents outside the held-out fold.
 
-    What comes to the driver is bounded: ``LEXICON`` and ``CONTEXT`` words, and
-    five numbers for each sampled document.
+    What comes to the driver is bounded by the sample: the words that toxic
+    documents of it have far more often, all of which are candidates, their
+    hits, ``CONTEXT`` words, and five numbers for each sampled document.
     """
     tables = Tables(docs.sparkSession)
     sample = tables.keep(labelled_sample(docs, labels, label, FOLDS, HELD_OUT, sample_rows, doc_id, text), "sample")
@@ -317,15 +318,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sam
                         .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")), "terms")
     odds = (F.log((F.col("toxic") + 0.5) / (totals[0] + 1)) - F.log((F.col("other") + 0.5) / (totals[1] + 1)))
     terms = terms.withColumn("odds", odds).withColumn("term", F.decode("term", "UTF-8"))
-    strong = terms.where("toxic >= 2 and odds > 2.5").orderBy(F.desc("toxic"), "term").limit(20 * LEXICON)
-    words = {r.term: r.toxic for r in strong.collect()}
+    strong = terms.where("toxic >= 2 and odds > 2.5")
+    words = {r.term: r.toxic for r in sorted(strong.collect(), key=lambda r: (-r.toxic, r.term))}
     # so many documents that no word of this corpus is expected to have only toxic ones by chance
     rate = (totals[0] + 1) / (sum(totals) + 2)
     least = max(3, int(np.ceil(np.log(100 * (terms.where("toxic + other >= 3").count() + 1)) / -np.log(rate))))
     begins = branches(words)
     beginning = F.explode(F.transform(F.sequence(F.lit(STEM_FROM), F.greatest(F.lit(STEM_FROM), F.length("term"))),
                                       lambda k: F.substring("term", F.lit(1), k)))
-    stems = (terms.where(F.length("term") >= STEM_FROM).select(beginning.alias("stem"), "toxic", "other").where(F.col("stem").isin(begins))
+    stems = (terms.where(F.length("term") >= STEM_FROM).select(beginning.alias("stem"), "toxic", "other")
+             .join(F.broadcast(docs.sparkSession.createDataFrame([(b,) for b in begins], "stem string")), "stem")
              .groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).collect()) if begins else []
     stems = {r.stem: r.toxic for r in stems if r.toxic >= least and r.other <= 0.1 * r.toxic}
     entries = propose(words, stems, least)

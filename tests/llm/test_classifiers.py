@@ -10,7 +10,7 @@ import pytest
 from conftest import SF_SMALL
 from dayloom.llm.langid import langid
 from dayloom.llm.quality import FEATURES, features, fit_forest, quality
-from dayloom.llm.toxicity import EXACT, FUZZY, STEM, Automaton, toxicity
+from dayloom.llm.toxicity import EXACT, FUZZY, STEM, Automaton, branches, propose, toxicity
 
 SF = SF_SMALL.replace("0.001", "0.01")
 ODD = [(9001, None), (9002, ""), (9003, " \n 123 !!"), (9004, "x" * 100_000), (None, "plain words"), (9005, "plain words"), (9005, "plain words")]
@@ -83,6 +83,13 @@ def test_toxicity_held_out_and_misspelled(spark):
     assert by[9002].held_out == (zlib.crc32(b"9002") % 5 == 0) and by[None].held_out
 
 
+def test_lexicon_has_no_cap():
+    words = {f"{a}{b}{c}{d}zz": 9 for a in "bcdfg" for b in "aeiou" for c in "klmn" for d in "rstv"}
+    assert {w for w, *_ in propose(words, {}, 3)} == set(words) and len(words) == 400
+    families = [f"{a}{b}{c}{d}" for a in "bcdfghjk" for b in "aeiou" for c in "klmnpq" for d in "aeiou"]
+    assert set(branches({f + tail: 2 for f in families for tail in ("x", "yy", "z", "w")})) == set(families) and len(families) == 1200
+
+
 def test_toxicity_of_the_tables(tables):
     docs, labels = tables
     got = toxicity(docs, labels)
