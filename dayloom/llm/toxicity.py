@@ -4,8 +4,10 @@ The lexicon is learned from labelled documents: whole words that toxic documents
 have far more often than others, and stems that many such words begin with.  A
 trie of it, run together with a Levenshtein automaton of one edit, becomes one
 deterministic automaton over bytes, which numpy steps for all different words of
-a slice at once.  Each hit counts by the words around it and by whether it
-stands in quotation marks; a logistic model over the sums gives the score.
+a slice at once.  A swap of neighbours is one edit too; in stems the edit lies
+before the last letter.  Words that one digit or mark cuts are run again as one.
+Each hit counts by the words around it and by whether it stands in quotation
+marks; a logistic model over the sums gives the score.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.llm.common import Tables, fold_of, labelled_sample, logistic
-from dayloom.llm.spans import LOWER, Words, _table, slices, words_of
+from dayloom.llm.spans import LOWER, SPACED, Words, _table, slices, words_of
 
 #: Labelled documents that the lexicon and the model are learned from, at most.
 SAMPLE_ROWS = 12_000
@@ -28,7 +30,7 @@ SAMPLE_ROWS = 12_000
 CONTEXT = 4096
 CONTEXT_WORDS = 8
 FOLDS, HELD_OUT = 5, 0
-FUZZY_FROM, STEM_FROM, STEM_WORDS = 5, 4, 4
+FUZZY_FROM, STEM_FROM, STEM_WORDS = 4, 4, 4
 EXACT, FUZZY, STEM = 1, 2, 3
 FUZZY_SHARE = 0.7
 
@@ -45,8 +47,14 @@ class Automaton:
     entry: np.ndarray
 
     @staticmethod
-    def of(lexicon: list[tuple[str, bool, bool]]) -> Automaton:
-        """From entries (word, is a stem, one edit allowed)."""
+    def of(lexicon: list[tuple[str, bool, bool]], swaps: bool = False) -> Automaton:
+        """From entries (word, is a stem, one edit allowed); ``swaps``: two neighbours that changed places are one edit.
+
+        States are sets of (node, e): no edit so far (0), one (1), one that led
+        to this end of a stem (LANDED), all that follows a misspelled stem
+        (INSIDE), or the byte still to come of a swap (SWAP + byte).
+        """
+        landed, inside, swap = 2, 3, 4
         children: list[dict[int, int]] = [{}]
         word_at: dict[int, int] = {}
         stem_at: dict[int, int] = {}
@@ -62,29 +70,40 @@ class Automaton:
                 node = children[node][b]
                 path.append(node)
             (stem_at if stem else word_at).setdefault(node, number)
-            if edit and not stem:
+            if edit:
                 for n in path:
                     fuzzy[n] = True
         letters = sorted({b for c in children for b in c})
         classes = np.zeros(256, np.int64)
         classes[letters] = np.arange(1, len(letters) + 1)
+        bent = {n for n, s in stem_at.items() if lexicon[s][2]}
+
+        def edited(node: int) -> set:
+            return {(c, landed if c in bent else 1) for c in children[node].values() if fuzzy[c]}
 
         def closed(states: set) -> frozenset:
             for node, e in list(states):        # a letter of the entry is missing
                 if e == 0 and fuzzy[node]:
-                    states |= {(c, 1) for c in children[node].values() if fuzzy[c]}
-            return frozenset(states)
+                    states |= edited(node)
+            return frozenset(states | {(n, inside) for n, e in states if e == 1 and n in bent})
 
         def after(states: frozenset, b: int) -> frozenset:
             out = set()
             for node, e in states:
-                if b in children[node]:
+                if e == inside:
+                    out.add((node, e))
+                elif e >= swap:
+                    if b == e - swap:
+                        out.add((node, 1))
+                elif b in children[node]:
                     child = children[node][b]
                     if e == 0 or fuzzy[child]:
-                        out.add((child, e))
+                        out.add((child, min(e, 1)))
                 if e == 0 and fuzzy[node]:
                     out.add((node, 1))          # a letter too many
-                    out |= {(c, 1) for c in children[node].values() if fuzzy[c]}
+                    out |= edited(node)
+                    if swaps:
+                        out |= {(d, swap + x) for x, c in children[node].items() if x != b and (d := children[c].get(b)) is not None and fuzzy[d]}
             return closed(out)
 
         start = closed({(0, 0)})
@@ -95,7 +114,8 @@ class Automaton:
             here, row = order[len(rows)], []
             stem = next((s for n, e in here if e == 0 and (s := stem_at.get(n)) is not None), None)
             exact = next((s for n, e in here if e == 0 and (s := word_at.get(n)) is not None), None)
-            near = min((s for n, e in here if e == 1 and (s := word_at.get(n)) is not None and lexicon[s][2]), default=None)
+            near = min((s for n, e in here for s in (word_at.get(n) if e in (1, landed) else stem_at[n] if e == inside else None,)
+                        if s is not None and lexicon[s][2]), default=None)
             kind.append(EXACT if exact is not None else STEM if stem is not None else FUZZY if near is not None else 0)
             entry.append(next((x for x in (exact, stem, near) if x is not None), -1))
             for b in [-1, *letters]:
@@ -151,13 +171,14 @@ def branches(words: dict[str, int]) -> list[str]:
 
 
 def propose(words: dict[str, int], stems: dict[str, int], least: int) -> list[tuple[str, bool, bool]]:
-    """Lexicon entries: the shortest of nested stems, and words of enough documents that no stem begins."""
+    """Lexicon entries: the shortest of nested stems, and words of enough documents; those that a stem begins are there for their misspellings."""
     top: list[str] = []
     for p in sorted(stems, key=len):
         if not any(p.startswith(s) for s in top):
             top.append(p)
-    whole = [w for w, t in words.items() if t >= least and not any(w.startswith(s) for s in top)]
-    ranked = [(stems[p], p, True, False) for p in top] + [(words[w], w, False, len(w.encode()) >= FUZZY_FROM) for w in whole]
+    whole = [w for w, t in words.items() if t >= least and w not in top]
+    ranked = [(n, w, stem, len(w.encode()) >= FUZZY_FROM)
+              for n, w, stem in [*((stems[p], p, True) for p in top), *((words[w], w, False) for w in whole)]]
     return [x[1:] for x in sorted(ranked, key=lambda x: (-x[0], x[1]))]
 
 
@@ -165,6 +186,7 @@ def select(entries: list[tuple[str, bool, bool]], hits: list, n_other: int) -> l
     """Entries that hit few other documents and are common, or explain toxic ones which those before them leave with one hit or none.
 
     The second rule leaves out words that merely come with the copies of one document.
+    Words that a kept stem begins stay as long as their misspellings hit few other documents.
     """
     per: dict[int, dict[int, dict[int, int]]] = defaultdict(lambda: defaultdict(dict))
     others: dict[tuple[int, int], int] = defaultdict(int)
@@ -174,10 +196,15 @@ def select(entries: list[tuple[str, bool, bool]], hits: list, n_other: int) -> l
         else:
             others[r.entry, r.kind] += r.n
     explained: dict[int, int] = defaultdict(int)
-    kept = []
+    kept, begun, top = [], [], {w for w, stem, _ in entries if stem}
     most = max((len(d) for kinds in per.values() for d in kinds.values()), default=0)
     for i, (word, stem, edit) in enumerate(entries):
         kind = STEM if stem else EXACT
+        near = edit and others[i, FUZZY] <= max(0.1 * len(per[i][FUZZY]), 1e-4 * n_other)
+        if not stem and (own_stem := next((word[:k] for k in range(1, len(word)) if word[:k] in top), None)):
+            if near:
+                begun.append((own_stem, (word, stem, edit)))
+            continue
         own = per[i][kind]
         if not own or others[i, kind] > 0.1 * len(own):
             continue
@@ -185,8 +212,9 @@ def select(entries: list[tuple[str, bool, bool]], hits: list, n_other: int) -> l
             continue
         for d, n in own.items():
             explained[d] += n
-        kept.append((word, stem, edit and others[i, FUZZY] <= max(0.1 * len(per[i][FUZZY]), 1e-4 * n_other)))
-    return kept
+        kept.append((word, stem, near))
+    left = {w for w, stem, _ in kept if stem}
+    return kept + [entry for own_stem, entry in begun if own_stem in left]
 
 
 @dataclass
@@ -200,6 +228,12 @@ class Lexicon:
         """Words that match, kind of the match, entry."""
         _, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
         state = self.automaton.run(words.raw, words.starts[first], words.ends[first])[inverse]
+        hit = self.automaton.kind[state] > 0
+        # two words around one digit or mark that is an edit; the hit is at the first
+        cut = (words.starts[1:] - words.ends[:-1] == 1) & (words.doc[1:] == words.doc[:-1]) & ~hit[1:] & ~hit[:-1]
+        cut = np.flatnonzero(cut)
+        cut = cut[SPACED[words.raw[words.ends[cut]]]]
+        state[cut] = self.automaton.run(words.raw, words.starts[cut], words.ends[cut + 1])
         at = np.flatnonzero(self.automaton.kind[state])
         return at, self.automaton.kind[state[at]], self.automaton.entry[state[at]]
 
@@ -331,16 +365,19 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sam
              .groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).collect()) if begins else []
     stems = {r.stem: r.toxic for r in stems if r.toxic >= least and r.other <= 0.1 * r.toxic}
     entries = propose(words, stems, least)
-    hits = (sample.mapInArrow(_entry_hits(Lexicon(entries, Automaton.of(entries))), "entry int, kind int, label int, doc long, n long")
-            .groupBy("entry", "kind", "label", "doc").agg(F.sum("n").alias("n"))).collect()
-    entries = select(entries, hits, totals[1])
+    judged = None
+    while judged != entries:        # what hit an entry that goes or loses its edit may hit another one then
+        judged = entries
+        hits = (sample.mapInArrow(_entry_hits(Lexicon(entries, Automaton.of(entries, swaps=True))), "entry int, kind int, label int, doc long, n long")
+                .groupBy("entry", "kind", "label", "doc").agg(F.sum("n").alias("n"))).collect()
+        entries = select(entries, hits, totals[1])
 
     around = terms.where("toxic + other >= 20").orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("toxic") + F.col("other"))), "term")
     context = {r.term: float(np.clip(r.odds, -2, 2)) for r in around.limit(CONTEXT).collect()}
     words = words_of(pa.array(list(context), pa.string()), LETTERS, LOWER)
     weights = np.array(list(context.values()))[words.doc] if context else np.zeros(0)
     order = np.argsort(words.hashes)
-    lexicon = Lexicon(entries, Automaton.of(entries), words.hashes[order], weights[order])
+    lexicon = Lexicon(entries, Automaton.of(entries, swaps=True), words.hashes[order], weights[order])
 
     rows = sample.select("text", "label").mapInArrow(_feature_rows(lexicon), "x array<double>, label int").collect()
     tables.drop("sample", "terms")

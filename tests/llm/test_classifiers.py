@@ -83,6 +83,45 @@ def test_toxicity_held_out_and_misspelled(spark):
     assert by[9002].held_out == (zlib.crc32(b"9002") % 5 == 0) and by[None].held_out
 
 
+def swapped(w):
+    return {w[:k] + w[k + 1] + w[k] + w[k + 2:] for k in range(len(w) - 1)}
+
+
+def test_automaton_with_swaps_and_edits_in_stems():
+    rng = random.Random(8)
+    entries = [("idiot", True, True), ("idiots", False, True), ("scum", False, True), ("moro", True, False), ("morons", False, True)]
+    automaton = Automaton.of(entries, swaps=True)
+    words = {"".join(rng.choice("idotscumrn") for _ in range(rng.randrange(1, 9))) for _ in range(3000)}
+    for w in ("idiot", "idiots", "scum", "morons"):
+        for k in range(len(w) + 1):
+            words |= {w[:k] + w[k + 1:], *(w[:k] + c + w[k + j:] + tail for c in "ix" for j in (0, 1) for tail in ("", "ic"))} | swapped(w)
+    for w in sorted(words - {""}):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        kind = automaton.kind[automaton.run(raw, np.array([0]), np.array([len(raw)]))[0]]
+        near = {x for x in ("idiots", "scum", "morons") if distance(w, x) <= 1 or w in swapped(x)}
+        # a misspelled stem begins the word, and the edit is not at its last letter
+        stem = any(w[:k] in swapped("idiot") or w[k - 1] == "t" and distance(w[:k - 1], "idio") == 1 for k in range(4, min(len(w), 6) + 1))
+        want = STEM if w.startswith(("idiot", "moro")) else EXACT if w == "scum" else FUZZY if near or stem else 0
+        assert kind == want, w
+
+
+def test_toxicity_of_misspelled_stems_swaps_and_marks(spark):
+    rng = random.Random(6)
+    bad = ["scum", *(f"idiot{tail}" for tail in ("s", "ic", "ry", "er", "like")), "worthless"]
+    rows, labels = [], []
+    for i in range(1500):
+        words = [f"{rng.choice('bdfgkmp')}{rng.choice('aeiou')}{rng.choice('lnrst')}{rng.choice('aeiou')}" for _ in range(30)]
+        for _ in range(2 * (i % 5 == 0)):
+            words[rng.randrange(30)] = rng.choice(bad)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0), 1, "clash"))
+    planted = ["such idoitic idotry", "sucm and scm", "you id1ots and w0rthless", "wortlhess idioxs", "sc*m, wor-thless", "worht1ess scvm idiiotry"]
+    clean = ["some plain words", "bana-lora di,fa", "12 3 scale worth idea"]
+    rows += [(3000 + k, t) for k, t in enumerate(planted + clean)]
+    by = {r.doc_id: r.predicted for r in toxicity(docs_of(spark, rows), labels_of(spark, labels), "toxic").collect()}
+    assert [by[3000 + k] for k in range(len(planted + clean))] == [1] * len(planted) + [0] * len(clean)
+
+
 def test_lexicon_has_no_cap():
     words = {f"{a}{b}{c}{d}zz": 9 for a in "bcdfg" for b in "aeiou" for c in "klmn" for d in "rstv"}
     assert {w for w, *_ in propose(words, {}, 3)} == set(words) and len(words) == 400
