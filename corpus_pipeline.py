@@ -37,13 +37,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates; documents without words or id stay.
 
-    Of several rows with the least id those with the least check of the text stay.
+    Of several texts of a group with the least id that with the least check stays, and of equal rows one.
     """
-    joined = Tables(spark).keep(jaccard_join(docs).select("doc_id", "tk", "component_id", "n_shingles"), "joined")
-    linked = joined.where("n_shingles > 0 and doc_id = component_id")
-    chosen = linked.groupBy("doc_id").agg(F.min("tk").alias("tk"))
+    tables = Tables(spark)
+    joined = tables.keep(jaccard_join(docs).select("doc_id", "tk", "component_id", "root", "n_shingles"), "joined")
+    linked = joined.where("n_shingles > 0 and doc_id = component_id").groupBy("root", "doc_id", "tk").agg(F.count("*").alias("n"))
+    chosen = linked.groupBy("root", "doc_id").agg(F.min("tk").alias("tk"), F.min_by("n", "tk").alias("n"))
+    chosen = tables.keep(chosen.select("doc_id", "tk", "n"), "chosen")
+    many = chosen.where("n > 1").select("doc_id", "tk").distinct()
     free = joined.where("n_shingles = 0 or doc_id is null").select("doc_id", "tk").distinct()
-    return _of_rows(docs, chosen.union(free), F.lit(True))
+    rows = _of_rows(docs, chosen.where("n = 1").select("doc_id", "tk").union(free), F.lit(True))
+    return rows if many.isEmpty() else rows.union(_of_rows(docs, many, F.lit(True)).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -226,12 +226,13 @@ def _dense_links(heavy: DataFrame, posts: DataFrame, hots: DataFrame, tables: Ta
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, tk (check of the text), n_shingles, component_id.
+    """One row per row of ``docs``: doc_id, tk (check of the text), n_shingles, component_id, root.
 
     After A-Z became a-z, words are runs of other than ASCII white space, and a
     text's set are its distinct shingles of ``words`` words; a text of fewer words
     is one shingle.  Two texts link if 100 * |intersection| >= percent * |union|.
-    component_id is the least id that links lead to.
+    component_id is the least id that links lead to; root tells components apart,
+    also those of one least id, and is null for rows without shingles or id.
 
     Null texts and texts without words have no shingles and are linked with
     nothing, as are rows without id (component_id null).  Rows of one id are nodes
@@ -277,13 +278,14 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
                         .mapInArrow(_linked(percent), "a long, b long"), "links")
     roots = components(links.union(dense), tables, "components")
     least = roots.join(nodes, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = tables.keep(roots.join(least, "root").select("node", "component_id"), "named")
+    named = tables.keep(roots.join(least, "root").select("node", "component_id", "root"), "named")
     alone = nodes.select("node", F.col("doc_id").alias("own"))
-    known = alone.join(named, "node", "left").select("node", F.coalesce("component_id", "own").alias("component_id"))
+    known = alone.join(named, "node", "left").select(
+        "node", F.coalesce("component_id", "own").alias("component_id"), F.coalesce("root", "node").alias("root"))
     out = every.join(known, "node", "left")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return out.select("doc_id", "tk", F.col("n").cast("long").alias("n_shingles"),
-                      F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+                      F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.col("root")).alias("root"))
 
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Registered queries against their SQL, and the pipeline stage by stage."""
 
+import random
 import tempfile
 
 import duckdb
@@ -10,7 +11,7 @@ import corpus_pipeline
 from conftest import SF_SMALL
 from dayloom.llm import catalog
 from test_benchmark_tokens import brute_hits
-from test_dedup import brute_jaccard
+from test_dedup import brute_jaccard, edited, prose
 
 TABLES = ("documents", "embeddings", "benchmark", "labels")
 
@@ -66,3 +67,22 @@ def test_run_survives_empty_and_null_rows(spark):
         for t in ("labels", "benchmark"):
             spark.read.parquet(f"{SF_SMALL}/{t}.parquet").limit(0).write.parquet(f"{base}/{name}/{t}.parquet")
         assert corpus_pipeline.run(spark, f"{base}/{name}").count() == (0 if name == "none" else corpus_pipeline.run(spark, f"{base}/{name}").count())
+
+
+def test_one_of_each_group_with_clashing_ids(spark):
+    rng = random.Random(12)
+    base = [prose(rng, 80, 500) for _ in range(6)]
+    rows = [(rng.randrange(1, 9), edited(rng, base[g].split(), 1)) for g in range(6) for _ in range(4)]
+    rows += [(1, base[0]), (1, base[1]), (1, base[2]), (20, "alone here"), (20, "alone here"), (20, "other text"), (21, None), (21, None), (None, base[0])]
+    # with ids of their own, brute force tells which rows are one group
+    groups = {}
+    for (i, t), (_, n, c) in zip(rows, brute_jaccard([(k, t) for k, (_, t) in enumerate(rows)])):
+        if i is not None and n:
+            groups.setdefault(c, []).append((i, t))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, SF_SMALL).collect()]
+    assert sorted((x for x in got if x[0] is None or x[1] is None), key=repr) == [(21, None), (21, None), (None, base[0])]
+    left = [x for x in got if x[0] is not None and x[1] is not None]
+    assert len(left) == len(groups)
+    for own in groups.values():
+        assert len([x for x in left if x in own]) == 1 and min(i for i, _ in own) == next(i for i, t in left if (i, t) in own)
