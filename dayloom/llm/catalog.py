@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from dayloom.llm import sql
 from dayloom.llm.ann import nearest
+from dayloom.llm.conversation_repair import conversation_digest
 from dayloom.llm.decontamination import decontamination_digest
+from dayloom.llm.filter_audit import filter_audit
 from dayloom.llm.jaccard_join import jaccard_digest
 from dayloom.llm.langid import langid
 from dayloom.llm.line_dedup import SHORT_WORDS, line_dedup_digest
 from dayloom.llm.mixing import mixing_digest
 from dayloom.llm.quality import quality
+from dayloom.llm.quality_rules import quality_rules_digest
 from dayloom.llm.substring_dedup import substring_dedup_digest
 from dayloom.llm.token_output import token_digest
 from dayloom.llm.toxicity import toxicity
@@ -69,8 +72,21 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_digest(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_langid, op4_line_dedup, op5_quality, op6_ann, op7_mixing, op8_jaccard_join, op9_decontamination, op10_token_output)}
+    f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_langid, op4_line_dedup, op5_quality, op6_ann, op7_mixing, op8_jaccard_join, op9_decontamination, op10_token_output,
+                              op11_filter_audit, op12_quality_rules, op13_conversation_repair)}
 QUERIES["short_line_dedup"] = short_line_dedup
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {
@@ -80,4 +96,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": sql.MIXING,
     "op8_jaccard_join": sql.JACCARD,
     "op9_decontamination": sql.DECONTAMINATION,
+    "op11_filter_audit": sql.FILTER_AUDIT,
+    "op12_quality_rules": sql.QUALITY_RULES,
+    "op13_conversation_repair": sql.CONVERSATION_REPAIR,
 }

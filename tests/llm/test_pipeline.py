@@ -13,7 +13,7 @@ from dayloom.llm import catalog
 from test_benchmark_tokens import brute_hits
 from test_dedup import brute_jaccard, edited, prose
 
-TABLES = ("documents", "embeddings", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "benchmark", "labels", "conversations")
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
@@ -29,7 +29,7 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in catalog.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in catalog.QUERIES
     assert set(catalog.QUERIES) <= set(driver.queries())
 
 
