@@ -67,21 +67,37 @@ def bounded_sample(df: DataFrame, keys: list[str], rows: int, seed: str) -> Data
     return df.orderBy(order, *keys).limit(rows)
 
 
+def one_row_of_each(rows: DataFrame, ids: DataFrame, further: list[str]) -> DataFrame:
+    """Of ``rows`` (doc_id, text, ``further`` columns) one for each of few ``ids``: least check of the text, then least ``further``.
+
+    Checks are made of the rows of these ids only, and reduced to one for each id
+    before texts are taken; an id may have any number of rows.
+    """
+    met = rows.join(F.broadcast(ids.select("doc_id")), "doc_id").withColumn("tk", text_check("text"))
+    least = met.groupBy("doc_id").agg(F.min("tk").alias("tk"))
+    met = met.join(F.broadcast(least), ["doc_id", "tk"])
+    if further:
+        order = met.groupBy("doc_id", "tk").agg(F.min(F.struct(*further)).alias("f")).select("doc_id", "tk", "f.*")
+        met = met.join(F.broadcast(order), ["doc_id", "tk", *further])
+    return met.dropDuplicates(["doc_id"]).drop("tk")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, rows: int,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(text, label) of at most ``rows`` documents that may be learned from.
 
     Those are documents with a non-null label whose fold, crc32 of the id modulo
     ``parts``, is not ``held_out``.  Of several labels of a document the largest
-    counts.  The chosen ids are at most ``rows``, so they are broadcast.
+    counts, of several texts of an id that with the least check.  The chosen ids
+    are at most ``rows``, so they are broadcast.
     """
     ids = F.col(doc_id).cast("long")
     known = (labels.select(ids.alias("doc_id"), F.col(label).cast("int").alias("label"))
              .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (fold_of("doc_id", parts) != held_out))
              .groupBy("doc_id").agg(F.max("label").alias("label")))
     chosen = bounded_sample(known, ["doc_id"], rows, label)
-    return (docs.select(ids.alias("doc_id"), F.col(text).cast("string").alias("text"))
-            .join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label"))
+    texts = docs.select(ids.alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return one_row_of_each(texts, chosen, []).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
 
 def logistic(z):

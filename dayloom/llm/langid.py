@@ -20,20 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import Tables, bounded_sample, fold_of
+from dayloom.llm.common import Tables, bounded_sample, fold_of, one_row_of_each
 from dayloom.llm.spans import slices
 
-#: Labelled documents that are learned from, and landmarks among them, at most.
+#: Labelled documents that are learned from, at most; landmarks among them, or one for each language if these are more.
 SAMPLE_ROWS, LANDMARKS = 3000, 128
-#: Symbols: 0 other than a letter, 1 to 62 the most frequent letters of the sample, 63 any other letter.
-SYMBOLS = 64
 RIDGE = 1e-3
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
 #: Factor of the decision values in the softmax that gives the score.
 SHARPNESS = 5.0
-_BASES = (0, SYMBOLS, SYMBOLS + SYMBOLS**2, SYMBOLS + SYMBOLS**2 + SYMBOLS**3)
-_ROWS = 512     # texts in one presence matrix
+_CELLS = 1 << 23        # of one presence matrix, at most, but for the n-grams of a single text
 
 
 @lru_cache(maxsize=1)
@@ -49,49 +46,73 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(points: np.ndarray, offsets: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and code of every n-gram that holds a letter; ``letters``: sorted frequent letters."""
+    """Text number and 64-bit code of every n-gram that holds a letter.
+
+    ``letters`` are the sorted letters of the sample, each with a symbol of its
+    own; 0 stands for other than a letter, the last symbol for letters that the
+    sample has not.  Symbols are fewer than 2^20, so three of them fit a code.
+    """
+    symbols = len(letters) + 2
     place = np.minimum(np.searchsorted(letters, points), max(0, len(letters) - 1))
     known = letters[place] == points if len(letters) else np.zeros(len(points), bool)
-    symbol = np.where(known, place + 1, np.where(_is_letter()[points], SYMBOLS - 1, 0)).astype(np.int64)
+    symbol = np.where(known, place + 1, np.where(_is_letter()[points], symbols - 1, 0)).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    docs, codes, code = [], [], np.zeros(len(symbol), np.int64)
+    docs, codes, code, base = [], [], np.zeros(len(symbol), np.int64), 0
     for n in (1, 2, 3):
         m = max(0, len(symbol) - n + 1)
-        code = code[:m] * SYMBOLS + symbol[n - 1:]
+        code = code[:m] * symbols + symbol[n - 1:]
         ok = (code > 0) & (text[:m] == text[n - 1:])
         docs.append(text[:m][ok])
-        codes.append(code[ok] + _BASES[n - 1])
+        codes.append(code[ok] + base)
+        base += symbols**n
     return np.concatenate(docs), np.concatenate(codes)
 
 
 @dataclass
 class Landmarks:
     letters: np.ndarray
-    vocabulary: np.ndarray      # n-gram code -> column, -1 for n-grams that no landmark has
+    vocabulary: np.ndarray      # sorted codes of the n-grams that some landmark has
     columns: np.ndarray         # normalised presence, n-grams x landmarks
 
     @staticmethod
     def of(letters: np.ndarray, codes: list[np.ndarray]) -> Landmarks:
         every = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]))
-        vocabulary = np.full(_BASES[3], -1, np.int32)
-        vocabulary[every] = np.arange(len(every))
         columns = np.zeros((len(every), len(codes)), np.float32)
         for j, own in enumerate(codes):
-            columns[vocabulary[own], j] = 1 / np.sqrt(max(1, len(own)))
-        return Landmarks(letters, vocabulary, columns)
+            columns[np.searchsorted(every, own), j] = 1 / np.sqrt(max(1, len(own)))
+        return Landmarks(letters, every, columns)
+
+    def _present(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Different (text, row of ``columns``) of some texts."""
+        text, code = grams(points, offsets, self.letters)
+        row = np.minimum(np.searchsorted(self.vocabulary, code), max(0, len(self.vocabulary) - 1))
+        ok = self.vocabulary[row] == code if len(self.vocabulary) else np.zeros(len(code), bool)
+        pair = np.unique(text[ok] * np.int64(max(1, len(self.vocabulary))) + row[ok])
+        return pair // max(1, len(self.vocabulary)), pair % max(1, len(self.vocabulary))
 
     def kernel(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Kernel of each text with each landmark, and which texts have letters."""
+        """Kernel of each text with each landmark, and which texts have letters.
+
+        Texts are taken in runs; a run is a presence matrix over the n-grams that
+        it has, times those rows of the landmarks' matrix.
+        """
         points, offsets = code_points(texts)
         out = np.zeros((len(texts), self.columns.shape[1]), np.float32)
         letter = np.concatenate([[0], np.cumsum(_is_letter()[points])])
-        for lo in range(0, len(texts), _ROWS):
-            hi = min(lo + _ROWS, len(texts))
-            text, code = grams(points[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], self.letters)
-            column = self.vocabulary[code]
-            own = np.zeros((hi - lo, self.columns.shape[0]), np.float32)
-            own[text[column >= 0], column[column >= 0]] = 1
-            out[lo:hi] = own @ self.columns / np.sqrt(np.maximum(1, own.sum(axis=1)))[:, None]
+        text, row = self._present(points, offsets)
+        counts = np.bincount(text, minlength=len(texts))
+        ends, lo = np.cumsum(counts), 0
+        while lo < len(texts):
+            # a run of t texts with p pairs has at most p different n-grams
+            before = ends[lo] - counts[lo]
+            span = np.arange(1, len(texts) - lo + 1) * np.minimum(ends[lo:] - before, len(self.vocabulary))
+            hi = lo + max(1, int(np.searchsorted(span, _CELLS, side="right")))
+            part = slice(int(before), int(ends[hi - 1]))
+            used, column = np.unique(row[part], return_inverse=True)
+            own = np.zeros((hi - lo, len(used)), np.float32)
+            own[text[part] - lo, column] = 1
+            out[lo:hi] = own @ self.columns[used] / np.sqrt(np.maximum(1, counts[lo:hi]))[:, None]
+            lo = hi
         return out, letter[offsets[1:]] > letter[offsets[:-1]]
 
 
@@ -117,9 +138,8 @@ class LanguageModel:
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            points, n = np.unique(code_points(part.column("text"))[0], return_counts=True)
-            ok = _is_letter()[points]
-            yield pa.record_batch({"letter": pa.array(points[ok].astype(np.int32)), "n": pa.array(n[ok].astype(np.int64))})
+            points = np.unique(code_points(part.column("text"))[0])
+            yield pa.record_batch({"letter": pa.array(points[_is_letter()[points]].astype(np.int32))})
 
 
 def _codes(letters: np.ndarray):
@@ -127,8 +147,8 @@ def _codes(letters: np.ndarray):
         for batch in batches:
             for row in range(batch.num_rows):
                 points, offsets = code_points(batch.column("text").slice(row, 1))
-                own = np.unique(grams(points, offsets, letters)[1]).astype(np.int32)
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(row, 1), "codes": pa.array([own], pa.list_(pa.int32()))})
+                own = np.unique(grams(points, offsets, letters)[1])
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(row, 1), "codes": pa.array([own], pa.list_(pa.int64()))})
 
     return run
 
@@ -148,25 +168,25 @@ def train_langid(docs: DataFrame, lang: str = "lang", sample_rows: int = SAMPLE_
                  doc_id: str = "doc_id", text: str = "text") -> LanguageModel:
     """Learn from at most ``sample_rows`` documents with a language outside the held-out fold.
 
-    Landmarks are taken from the languages in turn.  To the driver come 62
-    letters, the n-grams of the landmarks and one kernel row per sampled text.
+    Of several rows of an id that with the least text check counts, then the first
+    language.  Landmarks are taken from the languages in turn, at least one of
+    each.  To the driver come the letters of the sample, the n-grams of the
+    landmarks and one kernel row per sampled text.
     """
     tables = Tables(docs.sparkSession)
     known = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"),
                         F.col(text).cast("string").alias("text"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold_of("doc_id", FOLDS) != HELD_OUT))
     ids = bounded_sample(known.select("doc_id").distinct(), ["doc_id"], sample_rows, "langid")
-    sample = tables.keep(known.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sample")
-    found = (sample.select("text").mapInArrow(_letters, "letter int, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-             .orderBy(F.desc("n"), "letter").limit(SYMBOLS - 2)).collect()
-    letters = np.sort(np.array([r.letter for r in found], np.uint32))
+    sample = tables.keep(one_row_of_each(known, ids, ["lang"]), "sample")
+    letters = np.sort(np.array([r.letter for r in sample.select("text").mapInArrow(_letters, "letter int").distinct().collect()], np.uint32))
     order: dict[str, int] = {}
     chosen = []
     for r in sorted(sample.select("doc_id", "lang").collect(), key=lambda r: r.doc_id):
         order[r.lang] = order.get(r.lang, 0) + 1
         chosen.append((order[r.lang], r.lang, r.doc_id))
-    marks = [x[2] for x in sorted(chosen)[:landmarks]]
-    rows = sample.where(F.col("doc_id").isin(marks)).select("doc_id", "text").mapInArrow(_codes(letters), "doc_id long, codes array<int>")
+    marks = [x[2] for x in sorted(chosen)[:max(landmarks, len(order))]]
+    rows = sample.where(F.col("doc_id").isin(marks)).select("doc_id", "text").mapInArrow(_codes(letters), "doc_id long, codes array<long>")
     codes = [np.array(r.codes, np.int64) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
     model = Landmarks.of(letters, codes)
     rows = sample.select("text", "lang").mapInArrow(_kernel_rows(model), "k array<float>, lang string").collect() if codes else []
@@ -206,7 +226,8 @@ def langid(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     fold (crc32 of the id modulo 3 is 1); rows without id count as held out.
     Texts that are null or have no letters are ``und`` with score 0, and so is
     every text if there is nothing to learn from.  Of equally good languages the
-    first by name is taken.  Equal texts get equal results.
+    first by name is taken.  Equal texts get equal results.  Of rows with clashing
+    ids one is learned from (see :func:`train_langid`) and all are predicted.
     """
     model = docs.sparkSession.sparkContext.broadcast(train_langid(docs, lang, doc_id=doc_id, text=text))
     held = F.coalesce(fold_of(doc_id, FOLDS) == HELD_OUT, F.lit(True))
