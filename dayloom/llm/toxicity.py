@@ -26,8 +26,6 @@ from dayloom.llm.spans import LOWER, SPACED, Words, _table, slices, words_of
 
 #: Labelled documents that the lexicon and the model are learned from, at most.
 SAMPLE_ROWS = 12_000
-#: Words with a context weight, at most.
-CONTEXT = 4096
 CONTEXT_WORDS = 8
 FOLDS, HELD_OUT = 5, 0
 FUZZY_FROM, STEM_FROM, STEM_WORDS = 4, 4, 4
@@ -147,13 +145,11 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             words = words_of(part.column("text"), LETTERS, LOWER)
             toxic = part.column("label").to_numpy(zero_copy_only=False) > 0
-            size = words.ends - words.starts
-            some = np.flatnonzero((size >= 3) & (size <= 40))
-            _, first, inverse = np.unique(words.hashes[some], return_index=True, return_inverse=True)
-            pair = np.unique(inverse * part.num_rows + words.doc[some])
+            _, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+            pair = np.unique(inverse * part.num_rows + words.doc)
             term, doc = pair // part.num_rows, pair % part.num_rows
             body = words.raw.tobytes()
-            names = [body[words.starts[i]:words.ends[i]] for i in some[first]]
+            names = [body[words.starts[i]:words.ends[i]] for i in first]
             yield pa.record_batch({
                 "term": pa.array(names, pa.binary()),
                 "toxic": pa.array(np.bincount(term[toxic[doc]], minlength=len(first)), pa.int64()),
@@ -331,6 +327,30 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int
     return w
 
 
+def judge(sample: DataFrame, words: dict[str, int], stems: dict[str, int], least: int, n_other: int) -> list[tuple[str, bool, bool]]:
+    """Entries that pass :func:`select`.
+
+    A stem counts by its words, but is judged by its documents.  When one does not
+    pass, all starts again without it: its words, itself if it is one, and longer
+    stems stand for themselves then.
+    """
+    stems = dict(stems)
+    while True:
+        entries, judged = propose(words, stems, least), None
+        begun = {w for w, stem, _ in entries if stem}
+        lost: set[str] = set()
+        while judged != entries and not lost:       # what hit an entry that goes or loses its edit may hit another one then
+            judged = entries
+            hits = (sample.mapInArrow(_entry_hits(Lexicon(entries, Automaton.of(entries, swaps=True))), "entry int, kind int, label int, doc long, n long")
+                    .groupBy("entry", "kind", "label", "doc").agg(F.sum("n").alias("n"))).collect()
+            entries = select(entries, hits, n_other)
+            lost = begun - {w for w, stem, _ in entries if stem}
+        if not lost:
+            return entries
+        for stem in lost:
+            del stems[stem]
+
+
 @dataclass
 class ToxicityModel:
     lexicon: Lexicon
@@ -343,7 +363,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sam
 
     What comes to the driver is bounded by the sample: the words that toxic
     documents of it have far more often, all of which are candidates, their
-    hits, ``CONTEXT`` words, and five numbers for each sampled document.
+    hits, words of 20 of its documents or more, and five numbers for each document.
     """
     tables = Tables(docs.sparkSession)
     sample = tables.keep(labelled_sample(docs, labels, label, FOLDS, HELD_OUT, sample_rows, doc_id, text), "sample")
@@ -364,16 +384,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sam
              .join(F.broadcast(docs.sparkSession.createDataFrame([(b,) for b in begins], "stem string")), "stem")
              .groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).collect()) if begins else []
     stems = {r.stem: r.toxic for r in stems if r.toxic >= least and r.other <= 0.1 * r.toxic}
-    entries = propose(words, stems, least)
-    judged = None
-    while judged != entries:        # what hit an entry that goes or loses its edit may hit another one then
-        judged = entries
-        hits = (sample.mapInArrow(_entry_hits(Lexicon(entries, Automaton.of(entries, swaps=True))), "entry int, kind int, label int, doc long, n long")
-                .groupBy("entry", "kind", "label", "doc").agg(F.sum("n").alias("n"))).collect()
-        entries = select(entries, hits, totals[1])
+    entries = judge(sample, words, stems, least, totals[1])
 
     around = terms.where("toxic + other >= 20").orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("toxic") + F.col("other"))), "term")
-    context = {r.term: float(np.clip(r.odds, -2, 2)) for r in around.limit(CONTEXT).collect()}
+    context = {r.term: float(np.clip(r.odds, -2, 2)) for r in around.collect()}
     words = words_of(pa.array(list(context), pa.string()), LETTERS, LOWER)
     weights = np.array(list(context.values()))[words.doc] if context else np.zeros(0)
     order = np.argsort(words.hashes)

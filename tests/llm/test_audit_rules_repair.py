@@ -115,7 +115,8 @@ def rule_rows():
     own = [prose, prose.replace(" ", "$ "), " ".join("1234567" for _ in range(12)) + " " + prose, prose.upper(), "\n".join(["same line here"] * 4 + words[:30]),
            "\n".join(f"- {w} a" for w in words[:20]), "\n".join(f"* {w}" for w in words[:20]), "\n".join(f"{w} and..." for w in words[:20]),
            " ".join("x" * 40 + w for w in words[:20]), " ".join("abcdefghijk"[i % 11] for i in range(11)), prose + " été ... ..\n..\n...", "日本 " * 3 + prose,
-           " ".join(f"{w} == =+" for w in words[:30]), None, "", " \n\t ", "one", prose + " " + prose, " ".join(f"v{i}" for i in range(30_000))]
+           " ".join(f"{w} == =+" for w in words[:30]), "\n".join(f"-{w} aab" for w in words[:20]),
+           "\n".join(f"{words[i]} {words[i + 1]} {words[i + 2]}\nagain" for i in range(0, 60, 3)), None, "", " \n\t ", "one", prose + " " + prose, " ".join(f"v{i}" for i in range(30_000))]
     return [(i, t, "s") for i, t in enumerate(own + texts(9, 40))] + [(0, prose, "s"), (None, prose, None), (None, None, None)]
 
 

@@ -8,9 +8,10 @@ import pyarrow as pa
 import pytest
 
 from conftest import SF_SMALL
-from dayloom.llm.langid import langid
+from dayloom.llm.common import labelled_sample
+from dayloom.llm.langid import Landmarks, code_points, grams, langid, train_langid
 from dayloom.llm.quality import FEATURES, features, fit_forest, quality
-from dayloom.llm.toxicity import EXACT, FUZZY, STEM, Automaton, branches, propose, toxicity
+from dayloom.llm.toxicity import EXACT, FUZZY, STEM, Automaton, branches, propose, toxicity, train_toxicity
 
 SF = SF_SMALL.replace("0.001", "0.01")
 ODD = [(9001, None), (9002, ""), (9003, " \n 123 !!"), (9004, "x" * 100_000), (None, "plain words"), (9005, "plain words"), (9005, "plain words")]
@@ -129,6 +130,37 @@ def test_lexicon_has_no_cap():
     assert set(branches({f + tail: 2 for f in families for tail in ("x", "yy", "z", "w")})) == set(families) and len(families) == 1200
 
 
+def test_words_of_a_rejected_stem_come_back(spark):
+    """A stem that also begins words of other documents goes; its words, and a longer stem, stay."""
+    rng = random.Random(12)
+    tails = {"mer": 15, "my": 14, "bag": 13, "lord": 15, "bagger": 12, "bagful": 12, "bagged": 12, "bagpipe": 12}
+    bad = [f"scum{tail}" for tail, n in tails.items() for _ in range(n)] + ["worthless"] * 30
+    rows, labels = [], []
+
+    def add(i, word, toxic):
+        words = [f"{rng.choice('bdfgkmp')}{rng.choice('aeiou')}{rng.choice('lnrst')}{rng.choice('aeiou')}" for _ in range(12)]
+        rows.append((i, " ".join([*words, word] if word else words)))
+        labels.append((i, int(toxic), 1, "clash"))
+
+    learned = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5]
+    for i, word in zip(learned, bad):
+        add(i, word, True)
+    for i, word in zip(learned[len(bad):], [f"scumble{x}" for x in "abcdefghijklmnopqrst"] + [""] * 800):
+        add(i, word, False)
+    entries = train_toxicity(docs_of(spark, rows), labels_of(spark, labels)).lexicon.entries
+    found = {w for w, stem, _ in entries}
+    assert ("scum", True) not in {(w, stem) for w, stem, _ in entries} and "worthless" in found
+    assert {"scummer", "scummy", "scumlord"} <= found and ("scumbag", True) in {(w, stem) for w, stem, _ in entries}
+
+
+def test_samples_take_one_row_of_an_id(spark):
+    texts = [f"text {i % 7}" for i in range(20_000)]
+    docs = docs_of(spark, [(4, t) for t in texts] + [(6, "b"), (6, "a"), (8, None)])
+    got = labelled_sample(docs, labels_of(spark, [(4, 1, 0, None), (6, 0, 1, None), (6, 1, 1, None), (8, 1, 1, None)]), "toxic", 1, 9, 100).collect()
+    least = min(set(texts), key=lambda t: zlib.crc32(t.encode()))
+    assert sorted((r.doc_id, r.text, r.label) for r in got) == [(4, least, 1), (6, min("ab", key=lambda t: zlib.crc32(t.encode())), 1), (8, None, 1)]
+
+
 def test_toxicity_of_the_tables(tables):
     docs, labels = tables
     got = toxicity(docs, labels)
@@ -161,6 +193,62 @@ def test_langid(spark, tables):
     assert by[9001].held_out == (zlib.crc32(b"9001") % 3 == 1)
 
 
+# First and last letter of eight alphabets.
+ALPHABETS = ("az", "ая", "αω", "את", "აჰ", "ադ", "कह", "กฮ")
+
+
+def alphabet_rows(rng, per_language):
+    """Documents of two languages of each alphabet, each with letters of its own and some that both have."""
+    rows = []
+    for a, (low, high) in enumerate(ALPHABETS):
+        letters = [chr(c) for c in range(ord(low), ord(high) + 1) if chr(c).isalpha()]
+        third = len(letters) // 3
+        for k, own in enumerate((letters[:2 * third], letters[third:])):
+            for _ in range(per_language):
+                rows.append((f"l{a}{k}", " ".join("".join(rng.choice(own) for _ in range(rng.randrange(2, 7))) for _ in range(12))))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_langid_of_many_alphabets(spark):
+    rows = alphabet_rows(random.Random(3), 150)
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid(docs).collect()}
+    for name in {lang for lang, _ in rows}:
+        told = [got[i].lang_pred == name for i, (lang, _) in enumerate(rows) if lang == name and got[i].held_out]
+        assert len(told) > 20 and np.mean(told) > 0.95, name
+
+
+def test_kernel_against_sets_of_grams():
+    rows = [t for _, t in alphabet_rows(random.Random(4), 3)] + ["", "12 !", "a", "日本語 日本 abc" * 30]
+    letters = np.unique(code_points(pa.array(rows[:40]))[0])
+    letters = letters[[chr(c).isalpha() for c in letters]]
+    known = {chr(c) for c in letters}
+
+    def own(t):
+        symbols = [c if c in known else "?" if c.isalpha() else " " for c in t.lower()]
+        return {tuple(symbols[i:i + n]) for n in (1, 2, 3) for i in range(len(symbols) - n + 1) if any(c != " " for c in symbols[i:i + n])}
+
+    marks = rows[:10] + rows[-1:]
+    model = Landmarks.of(letters, [np.unique(grams(*code_points(pa.array([t])), letters)[1]) for t in marks])
+    every = set().union(*map(own, marks))
+    want = [[len(own(t) & own(m)) / max(1, len(own(t) & every) * len(own(m))) ** 0.5 for m in marks] for t in rows]
+    got, lettered = model.kernel(pa.array([*rows, None]))
+    assert np.allclose(got[:-1], want, atol=1e-6) and not got[-1].any()
+    assert lettered.tolist() == [any(c.isalpha() for c in t) for t in rows] + [False]
+
+
+def test_every_language_has_a_landmark_and_clashing_ids_are_settled(spark):
+    rows = [(100 * k + j, f"word{chr(0x561 + k) * 3} {chr(0x561 + k)}{j}", f"l{k}") for k in range(30) for j in range(9)]
+    schema = "doc_id long, text string, lang string"
+    model = train_langid(spark.createDataFrame(rows, schema), landmarks=7)
+    assert len(model.languages) == 30 and model.landmarks.columns.shape[1] == 30
+    clash = rows + [(i, t + " other", "l0") for i, t, _ in rows] + [(i, t, "l1") for i, t, _ in rows]
+    one = train_langid(spark.createDataFrame(clash, schema).repartition(3))
+    two = train_langid(spark.createDataFrame(clash[::-1], schema).repartition(5))
+    assert one.languages == two.languages and np.array_equal(one.weights, two.weights)
+
+
 def test_quality(tables):
     docs, labels = tables
     got = quality(docs, labels)
