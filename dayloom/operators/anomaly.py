@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -10,28 +11,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.functions.quantiles import lookup_by_frequency, quantiles
+from dayloom.functions.sums import summed
 from dayloom.operators.neighbors import BLOCK_ROWS, as_array, build_cells, distinct_vectors, local_outlier_factor
 from dayloom.session import cut_lineage
 
 
-def _uniform(*cols: Column) -> Column:
-    """Repeatable number in [0, 1) out of the row itself."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
+#: Draws are 28 bits of an MD5, so that other engines can repeat them.
+_DRAW_BITS, _DRAW_PRIME = 28, 268_435_399
+
+
+def _bits(text: Column, first: int) -> Column:
+    return F.conv(F.substring(F.md5(text), first, _DRAW_BITS // 4), 16, 10).cast("long")
 
 
 def draw_samples(df: DataFrame, id_cols: Sequence[str], vec: str, trees: int, size: int, seed: int) -> DataFrame:
     """``tree``, ``vec``: a sample of ``size`` rows per tree, repeatable on any layout.
 
-    A row enters each tree by its own draw.  Rows are thinned before they are
-    sorted into trees, so the trim to ``size`` sees a few hundred rows per tree.
+    One hash of the row gives two numbers a and b; its draw for tree t is
+    (a + (t + 1) b) modulo a prime, and the rows with the least draws are taken.
+    Rows with larger draws are thinned out before they are sorted into trees, so
+    the trim to ``size`` sees a few hundred rows per tree.
     """
     n = df.count()
     rate = min(1.0, (size + 8 * size ** 0.5) / max(n, 1))
-    ids = [F.col(c) for c in id_cols]
-    into = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _uniform(F.lit(seed), t, *ids) < rate)
-    picked = df.withColumn("tree", F.explode(into))
-    chosen = F.slice(F.array_sort(F.collect_list(F.struct(
-        _uniform(F.lit(seed + 2), F.col("tree"), *ids).alias("u"), F.col(vec).alias("vec")))), 1, size)
+    key = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_cols])
+    drawn = df.select(F.col(vec).alias("vec"), _bits(key, 1).alias("_a"), _bits(key, 9).alias("_b"))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree"), ((F.col("_a") + (t + 1) * F.col("_b")) % _DRAW_PRIME).alias("u")))
+    low = F.filter(draws, lambda d: d["u"] < F.lit(int(rate * _DRAW_PRIME) + 1))
+    picked = drawn.select("vec", F.explode(low).alias("d")).select("d.tree", "d.u", "vec")
+    chosen = F.slice(F.array_sort(F.collect_list(F.struct("u", "vec"))), 1, size)
     return picked.groupBy("tree").agg(chosen.alias("s")).select("tree", F.explode("s.vec").alias("vec"))
 
 
@@ -46,48 +55,62 @@ def _average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, deep, np.where(n == 2, 1.0, 0.0))
 
 
+def _node_draws(seed: int, tree: int, node: int) -> tuple[float, float]:
+    digest = hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()
+    return int(digest[:7], 16) / 2**_DRAW_BITS, int(digest[8:15], 16) / 2**_DRAW_BITS
+
+
 def grow_trees(samples: DataFrame, size: int, seed: int) -> DataFrame:
-    """One random isolation tree per sample, as node rows."""
+    """One random isolation tree per sample, as node rows; the children of node i are 2 i and 2 i + 1.
+
+    Feature and cut of a node come from the MD5 of seed, tree and node: one of the
+    features that vary in it, and a point between its least and largest value.
+    """
     limit = int(np.ceil(np.log2(max(size, 2))))
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["vec"].to_numpy()).astype(float)
-        rng = np.random.default_rng([seed, int(key[0])])
-        nodes, todo = [None], [(0, np.arange(len(x)), 0)]
+        tree, nodes, todo = int(key[0]), [], [(1, np.arange(len(x)), 0)]
         while todo:
             at, rows, depth = todo.pop()
             low, high = x[rows].min(0), x[rows].max(0)
-            usable = np.flatnonzero(high > low)
-            if depth >= limit or len(rows) <= 1 or not len(usable):
-                nodes[at] = (-1, 0.0, -1, -1, depth + float(_average_path(len(rows))))
+            varying = np.flatnonzero(high > low)
+            if depth >= limit or len(rows) <= 1 or not len(varying):
+                nodes.append((tree, at, -1, 0.0, -1, -1, depth + float(_average_path(len(rows)))))
                 continue
-            f = int(rng.choice(usable))
-            cut = float(rng.uniform(low[f], high[f]))
+            which, where = _node_draws(seed, tree, at)
+            f = int(varying[int(which * len(varying))])
+            cut = float(low[f] + where * (high[f] - low[f]))
             left = x[rows, f] <= cut
-            nodes += [None, None]
-            nodes[at] = (f, cut, len(nodes) - 2, len(nodes) - 1, 0.0)
-            todo += [(len(nodes) - 2, rows[left], depth + 1), (len(nodes) - 1, rows[~left], depth + 1)]
-        out = pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "depth"])
-        out.insert(0, "node", range(len(out)))
-        out.insert(0, "tree", int(key[0]))
-        return out
+            nodes.append((tree, at, f, cut, 2 * at, 2 * at + 1, 0.0))
+            todo += [(2 * at, rows[left], depth + 1), (2 * at + 1, rows[~left], depth + 1)]
+        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "left", "right", "depth"])
 
     return samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
+def isolation_nodes(df: DataFrame, id_cols: Sequence[str], features: Sequence[str], *, trees: int = 100, sample_size: int = 256,
+                    seed: int = 42) -> DataFrame:
+    """The forest as a table of nodes."""
+    rows = as_array(df, features, "_vec")
+    return grow_trees(draw_samples(rows, id_cols, "_vec", trees, sample_size, seed), sample_size, seed)
+
+
 def isolation_scores(df: DataFrame, id_cols: Sequence[str], features: Sequence[str], *, trees: int = 100,
                      sample_size: int = 256, seed: int = 42) -> DataFrame:
     """Anomaly score in (0, 1] per row; larger is more isolated.
 
     The forest is at most ``trees * (2 * sample_size - 1)`` nodes whatever the
-    number of rows, so it is sent to every task.
+    number of rows, so it is sent to every task, where all rows walk it.
     """
     rows = cut_lineage(as_array(df, features, "_vec"))      # read for the count, the samples and the scores
     drawn = rows.count()
     nodes = grow_trees(draw_samples(rows, id_cols, "_vec", trees, sample_size, seed), sample_size, seed).toPandas()
-    forest = [g.sort_values("node") for _, g in nodes.groupby("tree")]
-    forest = [(g["feature"].to_numpy(), g["cut"].to_numpy(), g["left"].to_numpy(), g["right"].to_numpy(),
-               g["depth"].to_numpy()) for g in forest]
+    forest = []
+    for _, g in nodes.sort_values(["tree", "node"]).groupby("tree"):
+        place = {n: i for i, n in enumerate(g["node"])}
+        to = lambda c: np.array([place.get(n, -1) for n in c])
+        forest.append((g["feature"].to_numpy(), g["cut"].to_numpy(), to(g["left"]), to(g["right"]), g["depth"].to_numpy()))
     shared = df.sparkSession.sparkContext.broadcast(forest)
     norm = max(float(_average_path(min(sample_size, drawn))), 1e-12)
 
@@ -123,11 +146,12 @@ def isolation_forest(df: DataFrame, id_cols: Sequence[str], features: Sequence[s
 
 
 def lof(df: DataFrame, id_cols: Sequence[str], features: Sequence[str], *, k: int = 20, contamination: float = 0.05,
-        block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Local outlier factor per row."""
+        block_rows: int = BLOCK_ROWS, nearest_blocks: int | None = None) -> DataFrame:
+    """Local outlier factor per row; exact unless ``nearest_blocks`` limits the search."""
     rows = as_array(df, features, "_vec").select(*id_cols, "_vec")
     cells = build_cells(distinct_vectors(rows, "_vec"), block_rows=block_rows)
-    scored = cells.points.select("id", "vec", "weight").join(local_outlier_factor(cells, k, block_rows=block_rows), "id")
+    scored = cells.points.select("id", "vec", "weight").join(local_outlier_factor(
+        cells, k, block_rows=block_rows, nearest_blocks=nearest_blocks), "id")
     table = scored.select(F.col("vec").alias("_vec"), "weight", F.col("lof").alias("score"))
     back = lookup_by_frequency(rows, cut_lineage(table), ["_vec"], "weight").drop("_vec")
     return label_by_share(cut_lineage(back), "score", contamination)
@@ -136,25 +160,31 @@ def lof(df: DataFrame, id_cols: Sequence[str], features: Sequence[str], *, k: in
 def mahalanobis(df: DataFrame, id_cols: Sequence[str], features: Sequence[str], *, share: float = 0.1) -> DataFrame:
     """Distance from the mean in units of the covariance, over rows that have all features.
 
-    Means and co-moments are one aggregate; the distance is the length of the
-    centred row after it was multiplied by a root of the inverse covariance.
+    Two scans: means, and products of the centred features as one matrix per task.
+    The distance is the length of the centred row after it was multiplied by a
+    root of the inverse covariance; directions without spread do not count.
     """
-    columns = [F.col(c).cast("double") for c in features]
-    d = len(features)
-    row = df.na.drop(subset=list(features)).agg(
-        F.array(*[F.avg(c) for c in columns]).alias("mean"),
-        F.array(*[F.covar_samp(a, b) for i, a in enumerate(columns) for b in columns[i:]]).alias("co")).first()
-    covariance = np.zeros((d, d))
-    covariance[np.triu_indices(d)] = np.nan_to_num(np.array(row["co"], dtype=float))
-    covariance = covariance + covariance.T - np.diag(np.diag(covariance))
+    whole = df.na.drop(subset=list(features))
+    numbers, d = whole.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)]), len(features)
+    first = summed(numbers, lambda x: np.concatenate([[len(x)], x.sum(0)]), d + 1)
+    n, mean = first[0], first[1:] / max(first[0], 1.0)
+
+    def products(x: np.ndarray) -> np.ndarray:
+        z = x - mean
+        return (z.T @ z).ravel()
+
+    covariance = summed(numbers, products, d * d).reshape(d, d) / max(n - 1.0, 1.0)
     scale = np.sqrt(np.where(np.diag(covariance) > 0, np.diag(covariance), 1.0))
     value, vector = np.linalg.eigh(covariance / np.outer(scale, scale))
     kept = value > 1e-12 * max(value.max(), 1e-300)
     root = (vector[:, kept] / np.sqrt(value[kept])) / scale[:, None]
-    mean = [0.0 if m is None else m for m in row["mean"]]
-    centred = [c - F.lit(m) for c, m in zip(columns, mean)]
-    parts = [sum((x * F.lit(float(w)) for x, w in zip(centred, axis)), F.lit(0.0)) for axis in root.T]
-    scored = df.na.drop(subset=list(features)).select(*id_cols, F.sqrt(sum((p * p for p in parts), F.lit(0.0))).alias("score"))
+
+    @F.pandas_udf("double")
+    def distance(*columns: pd.Series) -> pd.Series:
+        z = (np.stack([c.to_numpy(dtype=float) for c in columns], axis=1) - mean) @ root
+        return pd.Series(np.sqrt((z * z).sum(1)))
+
+    scored = whole.select(*id_cols, distance(*[F.col(c).cast("double") for c in features]).alias("score"))
     return label_by_share(cut_lineage(scored), "score", share)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +13,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.functions.quantiles import dense_number, lookup_by_frequency
+from dayloom.functions.quantiles import lookup_by_frequency
+from dayloom.operators import lloyd, mixture
 from dayloom.operators.neighbors import BLOCK_ROWS, as_array, build_cells, distinct_vectors
 from dayloom.operators.neighbors import dbscan as dbscan_cells
 from dayloom.operators.profiles import with_median
@@ -36,14 +37,18 @@ def pca(df: DataFrame, features: Sequence[str], k: int = 2) -> DataFrame:
     return out.withColumns({f"pc{i + 1}": F.col("_p")[i] * flip[i] for i in range(k)}).drop("_raw", "_c", "_pc", "_p")
 
 
-def kmeans(df: DataFrame, features: Sequence[str], k: int = 3, *, seed: int = 42) -> DataFrame:
-    rows = assemble(df, features)
-    return KMeans(k=k, seed=seed, predictionCol="cluster").fit(rows).transform(rows)
+def kmeans(df: DataFrame, features: Sequence[str], k: int = 3) -> DataFrame:
+    """Clusters numbered in the order of their first centres (see ``operators/lloyd.py``)."""
+    found = lloyd.fit_all(df, features, [k]).centers
+    if k not in found:
+        raise ValueError(f"fewer than {k} different rows")
+    return lloyd.assigned(assemble(df, features), features, found[k])
 
 
-def gaussian_mixture(df: DataFrame, features: Sequence[str], k: int = 3, *, seed: int = 42) -> DataFrame:
-    rows = assemble(df, features)
-    return GaussianMixture(k=k, seed=seed, predictionCol="cluster").fit(rows).transform(rows).drop("probability")
+def gaussian_mixture(df: DataFrame, features: Sequence[str], k: int = 3, *, kind: str = "full", rounds: int = 100) -> DataFrame:
+    """Parts of a Gaussian mixture whose covariances are of a ``kind`` (see ``operators/mixture.py``)."""
+    model = mixture.fit_mixtures(df, features, k, [kind], rounds=rounds)[kind]
+    return mixture.assigned(assemble(df, features), features, model)
 
 
 def hierarchical(df: DataFrame, features: Sequence[str], k: int = 3, *, seed: int = 42) -> DataFrame:
@@ -54,15 +59,12 @@ def hierarchical(df: DataFrame, features: Sequence[str], k: int = 3, *, seed: in
 
 def dbscan(df: DataFrame, features: Sequence[str], *, eps: float = 0.5, min_samples: int = 10,
            block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Density clusters numbered from 0 by their lowest member; noise is -1."""
+    """Density clusters numbered from 0 by their least core vector; noise is -1."""
     rows = as_array(assemble(df, features), features, "_vec")
     cells = build_cells(distinct_vectors(rows, "_vec"), block_rows=block_rows)
     found = cut_lineage(dbscan_cells(cells, eps, min_samples, block_rows=block_rows))
-    names = found.where(F.col("label").isNotNull()).select("label").distinct()
-    numbers = cut_lineage(dense_number(names, "label", "cluster"))
-    labels = cells.points.select("id", "vec", "weight").join(found, "id").join(numbers, "label", "left")
-    table = labels.select(F.col("vec").alias("_vec"), "weight",
-                          F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
+    table = cells.points.select("id", "vec", "weight").join(found, "id").select(
+        F.col("vec").alias("_vec"), "weight", F.coalesce("label", F.lit(-1)).cast("long").alias("cluster"))
     return lookup_by_frequency(rows, cut_lineage(table), ["_vec"], "weight").drop("_vec")
 
 
@@ -100,16 +102,14 @@ def clustering_quality(clustered: DataFrame, *, features: str = "features", clus
     return spark.createDataFrame([(float(silhouette), float(calinski), float(np.mean(worst)), k)], ddl)
 
 
-def choose_k(df: DataFrame, features: Sequence[str], *, max_k: int = 10, seed: int = 42) -> DataFrame:
-    """Quality and inertia of k-means for k = 2..max_k, and which k each measure prefers."""
-    rows = assemble(df, features).cache()
-    max_k = min(max_k, rows.count() // 2)
-    table = []
-    for k in range(2, max_k + 1):
-        model = KMeans(k=k, seed=seed, predictionCol="cluster").fit(rows)
-        q = clustering_quality(model.transform(rows)).first()
-        table.append((k, q["silhouette"], q["calinski_harabasz"], q["davies_bouldin"], float(model.summary.trainingCost)))
-    rows.unpersist()
+def choose_k(df: DataFrame, features: Sequence[str], *, max_k: int = 10) -> DataFrame:
+    """Quality and inertia of k-means for k = 2..max_k, and which k each measure prefers.
+
+    All k share the scans of each round.  Tables of fewer than 2 max_k rows stop at half their rows.
+    """
+    top = min(max_k, df.count() // 2)
+    model = lloyd.fit_all(df, features, range(2, top + 1))
+    table = [(k, s, c, d, model.inertia[k]) for k, s, c, d in lloyd.qualities(df, features, model.centers)]
     best = {
         "silhouette": max(table, key=lambda r: r[1])[0] if table else None,
         "calinski_harabasz": max(table, key=lambda r: r[2])[0] if table else None,

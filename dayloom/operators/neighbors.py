@@ -1,15 +1,20 @@
 """Distances between rows of a feature table, exactly and in bounded tasks.
 
-Rows belong to the cell of their nearest pivot.  A row can only have a
-neighbour within ``radius`` in a cell whose bisecting hyperplane and outer
-sphere are within that radius, so it visits just those cells.  Cells and their
-visitors are cut into blocks of about ``block_rows`` rows each; a task holds one
-data block and one visitor block, and returns results per visitor, never pairs
-of all rows.  Copies of a vector are one row with a weight.
-
-Cost: cells follow the density of the data because pivots are sampled from it.
-Rows that have most of the table within their radius have to be compared with
-most of it, whatever the layout.
+Recursive median splits of a sample make at most ``CELLS`` cells; each cell is
+split on in its own task, down to blocks of about ``block_rows`` rows.  Every
+block and cell has the box of its rows.  A row can only have a neighbour within
+``radius`` in a block whose box is within that radius, so it visits just those
+blocks, and inside them it is compared with the rows of those leaves (``LEAF``
+rows, again with their boxes) that are near enough.  Nearest neighbours take
+three steps with ever smaller radius: the row's own group, the few blocks that
+are nearest, the rest within reach.  A task holds one block and one part of its
+visitors.  Copies of a vector are one row with a weight.
+
+Cost: in few dimensions a row is compared with its surroundings only (the tests
+state shares); in many, or where most of the table is within the radius, exact
+results need most of the table, whatever the layout.  ``nearest_blocks`` bounds
+the work there: neighbours are then those of that many blocks, and recall is
+what the tests measure.
 """
 
 from __future__ import annotations
@@ -19,15 +24,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dayloom.functions.quantiles import lookup_by_frequency
+from dayloom.functions.quantiles import dense_number, lookup_by_frequency
 from dayloom.session import cut_lineage
 
-MAX_PIVOTS = 512
-BLOCK_ROWS = 2048
+#: Cells, and sampled rows per cell, that the first splits are made of on the driver, at most.
+CELLS, SAMPLE_PER_CELL = 2048, 32
+BLOCK_ROWS, LEAF = 256, 4
+#: Blocks that a row visits before its radius is settled.
+FIRST_BLOCKS = 4
+_CHUNK = 2_000_000      # numbers in one array of differences
 
 
 def as_array(df: DataFrame, features: Sequence[str], out: str = "vec") -> DataFrame:
@@ -35,95 +44,202 @@ def as_array(df: DataFrame, features: Sequence[str], out: str = "vec") -> DataFr
 
 
 def distinct_vectors(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """``id``, ``vec``, ``weight``: copies of a vector as one row, counted with map-side combine.
+    """``vec``, ``weight``: copies of a vector as one row, counted with map-side combine."""
+    return df.groupBy(F.col(vec).alias("vec")).agg(F.count("*").alias("weight"))
+
+
+def median_splits(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """Rows of ``x`` in groups of at most ``most``: halved at the median of the column that varies most, again and again."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most:
+            if len(rows):
+                out.append(rows)
+            continue
+        column = x[rows].var(0).argmax()
+        rows = rows[np.argsort(x[rows, column], kind="stable")]
+        todo += [rows[len(rows) // 2:], rows[:len(rows) // 2]]
+    return out
 
-    The id is a digest of the vector, so it is the same on every attempt.
-    """
-    return (
-        df.groupBy(vec).agg(F.count("*").alias("weight"))
-        .select(F.sha2(F.to_json(F.struct(F.col(vec).alias("v"))), 256).alias("id"), F.col(vec).alias("vec"), "weight")
-    )
+
+@dataclass
+class Router:
+    """Splits of the sample as arrays; a leaf has feature -1 and its cell in ``left``."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    @staticmethod
+    def of(x: np.ndarray, cells: int) -> Router:
+        nodes: list[list] = [[-1, 0.0, 0, 0]]
+        leaves, todo = 0, [(0, np.arange(len(x)), cells)]
+        while todo:
+            at, rows, share = todo.pop()
+            column = x[rows].var(0).argmax() if len(rows) else 0
+            cut = np.median(x[rows, column]) if len(rows) else 0.0
+            low = x[rows, column] <= cut
+            if share < 2 or low.all() or not low.any():
+                nodes[at] = [-1, 0.0, leaves, 0]
+                leaves += 1
+                continue
+            nodes[at] = [int(column), float(cut), len(nodes), len(nodes) + 1]
+            todo += [(len(nodes) + 1, rows[~low], share - share // 2), (len(nodes), rows[low], share // 2)]
+            nodes += [[-1, 0.0, 0, 0], [-1, 0.0, 0, 0]]
+        columns = list(zip(*nodes))
+        return Router(np.array(columns[0]), np.array(columns[1]), np.array(columns[2]), np.array(columns[3]))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), int)
+        open_ = np.flatnonzero(self.feature[at] >= 0)
+        while len(open_):
+            node = at[open_]
+            at[open_] = np.where(x[open_, self.feature[node]] <= self.cut[node], self.left[node], self.right[node])
+            open_ = open_[self.feature[at[open_]] >= 0]
+        return self.left[at]
 
 
 @dataclass
 class Cells:
-    pivots: np.ndarray          # at most MAX_PIVOTS rows
-    between: np.ndarray         # distances of pivots
-    reach: np.ndarray           # largest distance of a member from its pivot
-    blocks: np.ndarray          # data blocks per cell
+    low: np.ndarray             # boxes of the cells
+    high: np.ndarray
+    weight: np.ndarray          # rows of each cell, copies counted
     points: DataFrame           # id, vec, weight, cell, block
-
-
-def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(d2, 0.0))
+    blocks: DataFrame           # cell, block, low, high: boxes of the blocks
 
 
 def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances without the cancellation of the product form; equal rows are at exactly 0."""
     out = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, len(b) * a.shape[1]))
+    step = max(1, _CHUNK // max(1, len(b) * a.shape[1]))
     for i in range(0, len(a), step):
         diff = a[i:i + step, None, :] - b[None, :, :]
         out[i:i + step] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
     return out
 
 
-def build_cells(points: DataFrame, *, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS, seed: int = 42) -> Cells:
-    """Assign every distinct vector to its nearest pivot and to a block of that cell."""
+def box_distance(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least distance of each row from any point of each box."""
+    total = np.zeros((len(x), len(low)))
+    for j in range(x.shape[1]):
+        gap = np.maximum(np.maximum(low[:, j][None] - x[:, j][:, None], x[:, j][:, None] - high[:, j][None]), 0.0)
+        total += gap * gap
+    return np.sqrt(total)
+
+
+def _far_corner(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    total = np.zeros((len(x), len(low)))
+    for j in range(x.shape[1]):
+        total += np.maximum(np.abs(x[:, j][:, None] - low[:, j][None]), np.abs(high[:, j][None] - x[:, j][:, None])) ** 2
+    return np.sqrt(total)
+
+
+def _wide(radius: np.ndarray) -> np.ndarray:
+    """A radius with room for rounding."""
+    return radius * (1 + 1e-9) + 1e-9
+
+
+def build_cells(points: DataFrame, *, block_rows: int = BLOCK_ROWS, cells: int = CELLS, seed: int = 42) -> Cells:
+    """Every distinct vector with an id, its cell and its block.
+
+    Cells are joined with their neighbours until each has half a block of rows;
+    a cell has about a ``cells``-th of the rows and is split on in one task.
+    """
     points = cut_lineage(points)
     n = points.count()
-    wanted = int(min(max_pivots, max(1, -(-n // block_rows))))
-    sampled = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(wanted).select("vec").collect()
-    pivots = np.array([r["vec"] for r in sampled], dtype=float)
-
-    @F.pandas_udf("cell int, away double")
-    def nearest(vec: pd.Series) -> pd.DataFrame:
-        d = pairwise(np.stack(vec.to_numpy()).astype(float), pivots)
-        best = d.argmin(1)
-        return pd.DataFrame({"cell": best.astype("int32"), "away": d[np.arange(len(d)), best]})
-
-    placed = cut_lineage(points.withColumn("_c", nearest("vec")).select("id", "vec", "weight", "_c.cell", "_c.away"))
-    stats = {r["cell"]: r for r in placed.groupBy("cell").agg(
-        F.max("away").alias("reach"), F.count("*").alias("rows")).collect()}      # one row per pivot
-    reach = np.array([stats[i]["reach"] if i in stats else -np.inf for i in range(len(pivots))])
-    blocks = np.array([-(-stats[i]["rows"] // block_rows) if i in stats else 0 for i in range(len(pivots))])
-    per_cell = F.element_at(F.array(*[F.lit(int(max(b, 1))) for b in blocks]), F.col("cell") + 1)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), per_cell).cast("int")).drop("away")
-    return Cells(pivots, pairwise(pivots, pivots), reach, blocks, placed)
+    wanted = int(min(cells, max(1, -(-n // block_rows))))
+    order = F.xxhash64(F.lit(seed), "vec")
+    rate = min(1.0, 2.0 * wanted * SAMPLE_PER_CELL / max(n, 1))
+    thinned = points.select("vec").where(F.pmod(order, F.lit(1 << 30)) < int(rate * (1 << 30)))
+    sampled = thinned.orderBy(order, "vec").limit(wanted * SAMPLE_PER_CELL).collect() if wanted > 1 else []
+    router = Router.of(np.array([r["vec"] for r in sampled], dtype=float) if sampled else np.zeros((0, 1)), wanted if sampled else 1)
+
+    @F.pandas_udf("int")
+    def route(vec: pd.Series) -> pd.Series:
+        return pd.Series(router(np.stack(vec.to_numpy()).astype(float)).astype("int32"))
+
+    placed = cut_lineage(points.select("vec", "weight", route("vec").alias("_leaf")))
+    counts = {r["_leaf"]: r["count"] for r in placed.groupBy("_leaf").count().collect()}      # one row per leaf
+    cell_of, held, cell = [], 0, 0
+    for leaf in range(int(router.left[router.feature < 0].max()) + 1):
+        if held >= max(1, block_rows // 2):
+            cell, held = cell + 1, 0
+        cell_of.append(cell)
+        held += counts.get(leaf, 0)
+    if held < block_rows // 2 and cell:         # the last one has too few
+        cell_of = [min(c, cell - 1) for c in cell_of]
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, at = np.stack(pdf["vec"].to_numpy()).astype(float), int(pdf["_leaf"].iloc[0])
+        pdf = pdf.iloc[np.lexsort(x.T[::-1])]       # the same whatever order the rows come in
+        x = np.stack(pdf["vec"].to_numpy()).astype(float)
+        groups = median_splits(x, block_rows)
+        rows = np.concatenate(groups)
+        block = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+        return pd.DataFrame({"id": (at << 32) + np.arange(len(rows)), "vec": pdf["vec"].to_numpy()[rows],
+                             "weight": pdf["weight"].to_numpy()[rows], "cell": np.full(len(rows), at, "int32"), "block": block.astype("int32")})
+
+    number = F.element_at(F.lit(cell_of), F.col("_leaf") + 1).cast("int")
+    points = cut_lineage(placed.withColumn("_leaf", number).groupBy("_leaf").applyInPandas(
+        split, "id long, vec array<double>, weight long, cell int, block int"))
+
+    def boxes(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for block, group in pdf.groupby("block"):
+            x = _matrix(group)
+            parts.append((int(group["cell"].iloc[0]), int(block), x.min(0).tolist(), x.max(0).tolist(), int(group["weight"].sum())))
+        return pd.DataFrame(parts, columns=["cell", "block", "low", "high", "weight"])
+
+    blocks = cut_lineage(points.groupBy("cell").applyInPandas(boxes, "cell int, block int, low array<double>, high array<double>, weight long"))
+    ends = blocks.groupBy("cell").applyInPandas(lambda g: pd.DataFrame({
+        "cell": [int(g["cell"].iloc[0])], "low": [np.stack(g["low"].to_numpy()).min(0).tolist()],
+        "high": [np.stack(g["high"].to_numpy()).max(0).tolist()], "weight": [int(g["weight"].sum())]}),
+        "cell int, low array<double>, high array<double>, weight long").collect()       # one row per cell
+    ends = sorted(ends, key=lambda r: r["cell"])
+    width = len(ends[0]["low"]) if ends else 0
+    return Cells(np.array([r["low"] for r in ends], dtype=float).reshape(-1, width), np.array([r["high"] for r in ends], dtype=float).reshape(-1, width),
+                 np.array([r["weight"] for r in ends], dtype=np.int64), points, blocks.drop("weight"))
+
+
+def _box_column() -> Column:
+    """Distance of ``vec`` from the box ``low``, ``high`` of its row."""
+    outside = F.zip_with(F.zip_with("low", "vec", lambda a, v: a - v), F.zip_with("vec", "high", lambda v, b: v - b),
+                         lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    return F.sqrt(F.aggregate(outside, F.lit(0.0), lambda acc, g: acc + g * g))
 
 
 def visit(
     cells: Cells, visitors: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-    *, data: DataFrame | None = None, block_rows: int = BLOCK_ROWS,
+    *, data: DataFrame | None = None, block_rows: int = BLOCK_ROWS, first: int = 0, last: int | None = None,
 ) -> DataFrame:
     """Run ``kernel(visitors, data)`` on every block a visitor may have neighbours in.
 
-    ``visitors`` has id, vec, weight, cell and ``radius``; ``data`` defaults to
-    all points.  A row's own block is visited too.
+    ``visitors`` has id, vec, weight and ``radius``; ``data`` defaults to all
+    points.  Of the cells within its radius, nearest first, a row visits those
+    from number ``first`` to before ``last``.
     """
-    pivots, between, reach, blocks = cells.pivots, cells.between, cells.reach, cells.blocks
+    low, high = cells.low, cells.high
     data = cells.points if data is None else data
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def reachable(vec: pd.Series, cell: pd.Series, radius: pd.Series) -> pd.Series:
-        d = pairwise(np.stack(vec.to_numpy()).astype(float), pivots)
-        home = cell.to_numpy()
-        r = radius.to_numpy(dtype=float)[:, None] * (1 + 1e-9) + 1e-9
-        gap = between[home]
-        own = d[np.arange(len(d)), home][:, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = np.where(gap > 0, (d * d - own * own) / (2 * gap), 0.0)
-        near = (plane <= r) & (d - reach[None, :] <= r) & (blocks[None, :] > 0)
-        return pd.Series([np.flatnonzero(x).astype("int32").tolist() for x in near])
-
-    per_cell = F.element_at(F.array(*[F.lit(int(max(b, 1))) for b in blocks]), F.col("cell") + 1)
+    def reachable(vec: pd.Series, radius: pd.Series) -> pd.Series:
+        out, x, r = [], np.stack(vec.to_numpy()).astype(float), _wide(radius.to_numpy(dtype=float))
+        step = max(1, _CHUNK // max(1, len(low)))
+        for i in range(0, len(x), step):
+            d = box_distance(x[i:i + step], low, high)
+            order = np.argsort(d, axis=1, kind="stable")
+            near = np.take_along_axis(d, order, 1) <= r[i:i + step, None]
+            out += [o[n][first:last].astype("int32").tolist() for o, n in zip(order, near)]
+        return pd.Series(out, dtype=object)
+
     asking = (
-        visitors.withColumn("cell", F.explode(reachable("vec", "cell", "radius")))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), per_cell - 1)))
+        visitors.select("id", "vec", "weight", "radius").withColumn("cell", F.explode(reachable("vec", "radius")))
+        .join(cells.blocks, "cell").where(_box_column() <= F.col("radius") * (1 + 1e-9) + 1e-9).drop("low", "high")
     )
     # how many parts the visitors of a block are cut into
-    parts = asking.groupBy("cell", "block").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+    parts = asking.groupBy("cell", "block").agg(F.ceil(F.count("*") / (4 * block_rows)).cast("int").alias("parts"))
     asking = asking.join(parts, ["cell", "block"]).withColumn(
         "part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts").withColumn("_asks", F.lit(True))
     held = data.join(parts, ["cell", "block"]).withColumn(
@@ -140,59 +256,151 @@ def _matrix(rows: pd.DataFrame) -> np.ndarray:
     return np.stack(rows["vec"].to_numpy()).astype(float)
 
 
+@dataclass
+class Close:
+    """Pairs of a visitor and a data row that are near enough, and how many pairs had to be measured for each visitor."""
+
+    visitor: np.ndarray
+    row: np.ndarray
+    distance: np.ndarray
+    measured: np.ndarray
+
+
+def close_pairs(x: np.ndarray, y: np.ndarray, radius: np.ndarray) -> Close:
+    """All pairs within the visitors' radius; only leaves whose box is within it are measured."""
+    leaves = median_splits(y, LEAF)
+    order = np.concatenate(leaves)
+    size = np.array([len(g) for g in leaves])
+    start = np.cumsum(size) - size
+    sorted_ = y[order]
+    low, high = np.minimum.reduceat(sorted_, start), np.maximum.reduceat(sorted_, start)
+    found, measured = [], np.zeros(len(x), np.int64)
+    step = max(1, _CHUNK // max(1, len(leaves)))
+    for i in range(0, len(x), step):
+        v, leaf = np.nonzero(box_distance(x[i:i + step], low, high) <= _wide(radius[i:i + step])[:, None])
+        at = np.repeat(start[leaf] - np.cumsum(size[leaf]) + size[leaf], size[leaf]) + np.arange(size[leaf].sum())
+        v = np.repeat(v, size[leaf]) + i
+        measured += np.bincount(v, minlength=len(x))
+        for j in range(0, len(v), max(1, _CHUNK // x.shape[1])):
+            some = slice(j, j + max(1, _CHUNK // x.shape[1]))
+            diff = x[v[some]] - sorted_[at[some]]
+            d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+            near = d <= radius[v[some]]
+            found.append((v[some][near], order[at[some][near]], d[near]))
+    if not found:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    return Close(*(np.concatenate(c) for c in zip(*found)), measured)
+
+
 def _nearest(visitors: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The nearest data rows of each visitor until their weights reach ``k``; its own copies count once less."""
-    out = []
-    if len(visitors) and len(data):
-        ids, weight = data["id"].to_numpy(), data["weight"].to_numpy()
-        d = exact_distances(_matrix(visitors), _matrix(data))
-        for i, me in enumerate(visitors["id"].to_numpy()):
-            order = np.lexsort((ids, d[i])) if len(ids) <= k + 1 else None
-            if order is None:
-                limit = np.partition(d[i], k)[k]
-                close = np.flatnonzero(d[i] <= limit)
-                order = close[np.lexsort((ids[close], d[i][close]))]
-            w = np.where(ids[order] == me, weight[order] - 1, weight[order])
-            order, w = order[w > 0], w[w > 0]
-            need = np.searchsorted(np.cumsum(w), k) + 1
-            for j, x in zip(order[:need], w[:need]):
-                out.append((me, ids[j], float(d[i, j]), int(x)))
-    return pd.DataFrame(out, columns=["id", "other", "distance", "weight"])
-
-
-NEIGHBOR_SCHEMA = "id string, other string, distance double, weight long"
-
-
-def nearest_neighbors(cells: Cells, k: int, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact k nearest rows of every distinct vector: ``id, other, distance, weight``.
-
-    A row's own block gives an upper bound of its k-distance; only cells within
-    that bound are visited then.
+    """The nearest data rows of each visitor within its radius until their weights reach ``k``; its own copies count once less."""
+    if not len(visitors) or not len(data):
+        return pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "distance": pd.Series(dtype=float),
+                             "weight": pd.Series(dtype="int64")})
+    me, ids = visitors["id"].to_numpy(dtype=np.int64), data["id"].to_numpy(dtype=np.int64)
+    radius = visitors["radius"].to_numpy(dtype=float)
+    found = close_pairs(_matrix(visitors), _matrix(data), np.where(np.isinf(radius), radius, _wide(radius)))
+    v, other = found.visitor, ids[found.row]
+    weight = data["weight"].to_numpy(dtype=np.int64)[found.row] - (other == me[v])
+    order = np.lexsort((other, found.distance, v))
+    order = order[weight[order] > 0]
+    v, other, d, weight = v[order], other[order], found.distance[order], weight[order]
+    before = np.cumsum(weight) - weight
+    starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+    before -= np.repeat(before[starts], np.diff(np.append(starts, len(v)))) if len(v) else 0
+    keep = before < k
+    return pd.DataFrame({"id": me[v[keep]], "other": other[keep], "distance": d[keep], "weight": weight[keep]})
+
+
+NEIGHBOR_SCHEMA = "id long, other long, distance double, weight long"
+
+
+def _own_bound(k: int):
+    """Distance within which each row of a block has ``k`` others: that of its group of a few times ``k`` neighbours in the splits."""
+    def kernel(block: pd.DataFrame) -> pd.DataFrame:
+        x, ids, weight = _matrix(block), block["id"].to_numpy(dtype=np.int64), block["weight"].to_numpy(dtype=np.int64)
+        out = np.full(len(x), np.inf)
+        for rows in median_splits(x, 4 * (k + 1)):
+            d = exact_distances(x[rows], x[rows])
+            order = np.argsort(d, axis=1)
+            total = np.cumsum(weight[rows][order], axis=1)
+            enough = total >= k + 1                     # the row itself is one
+            at = enough.argmax(1)
+            bound = np.take_along_axis(np.take_along_axis(d, order, 1), at[:, None], 1)[:, 0]
+            out[rows] = np.where(enough.any(1), bound, np.inf)
+        return pd.DataFrame({"id": ids, "radius": out})
+    return kernel
+
+
+def bounded_radius(cells: Cells, k: int) -> DataFrame:
+    """The points with a ``radius`` that holds ``k`` other rows, or infinity if the table has not so many.
+
+    Rows whose group is too small take the far corners of the nearest cells that have enough.
     """
-    own = cells.points.groupBy("cell", "block").applyInPandas(
-        lambda g: _nearest(g, g, k).groupby("id", as_index=False).agg(
-            radius=("distance", "max"), got=("weight", "sum")) if len(g) else
-        pd.DataFrame(columns=["id", "radius", "got"]), "id string, radius double, got long")
-    bound = F.when(F.col("got") >= k, F.col("radius")).otherwise(F.lit(float("inf")))
-    visitors = cells.points.drop("block").join(own, "id", "left").withColumn(
-        "radius", F.coalesce(bound, F.lit(float("inf")))).drop("got")
-    found = visit(cells, visitors, lambda v, d: _nearest(v, d, k), NEIGHBOR_SCHEMA, block_rows=block_rows)
-    # at most k rows per visited block; the k nearest of them by running weight
-    ordered = F.array_sort(F.collect_list(F.struct("distance", "other", "weight")))
-    merged = found.groupBy("id").agg(ordered.alias("n"))
-    running = F.aggregate(
-        "n", F.struct(F.lit(0).cast("long").alias("w"), F.expr("cast(array() as array<struct<distance:double,other:string,weight:long>>)").alias("keep")),
-        lambda acc, x: F.when(acc["w"] < k, F.struct(
-            (acc["w"] + x["weight"]).alias("w"),
-            F.concat(acc["keep"], F.array(F.struct(
-                x["distance"].alias("distance"), x["other"].alias("other"),
-                F.least(x["weight"], F.lit(k) - acc["w"]).alias("weight")))).alias("keep"))).otherwise(acc))
-    return merged.select("id", F.explode(running["keep"]).alias("x")).select("id", "x.other", "x.distance", "x.weight")
-
-
-def local_outlier_factor(cells: Cells, k: int = 20, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    low, high, held = cells.low, cells.high, cells.weight
+
+    @F.pandas_udf("double")
+    def reach(vec: pd.Series) -> pd.Series:
+        x = np.stack(vec.to_numpy()).astype(float)
+        out = np.empty(len(x))
+        for i, row in enumerate(x):
+            far = _far_corner(row[None], low, high)[0]
+            order = np.argsort(far)
+            total = np.cumsum(held[order])
+            out[i] = far[order[np.searchsorted(total, k + 1)]] if total[-1] > k else np.inf
+        return pd.Series(out)
+
+    own = cells.points.groupBy("cell", "block").applyInPandas(_own_bound(k), "id long, radius double")
+    met = cut_lineage(cells.points.join(own, "id"))
+    few = met.where(F.col("radius") == float("inf"))
+    return met.where(F.col("radius") < float("inf")).unionByName(few.withColumn("radius", reach("vec")))
+
+
+def _first_k(found: DataFrame, k: int) -> DataFrame:
+    """Of (id, other, distance, weight) the nearest until weights reach ``k``; ranks are limited before and after the shuffle."""
+    order = Window.partitionBy("id").orderBy("distance", "other")
+    near = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    before = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return (near.withColumn("_before", before).where(F.col("_before") < k)
+            .select("id", "other", "distance", F.least("weight", F.lit(k) - F.col("_before")).cast("long").alias("weight")))
+
+
+def nearest_neighbors(cells: Cells, k: int, *, block_rows: int = BLOCK_ROWS, nearest_blocks: int | None = None) -> DataFrame:
+    """k nearest rows of every distinct vector: ``id, other, distance, weight``.
+
+    Exact, unless ``nearest_blocks`` limits the cells that a row visits to that many.
+    """
+    visitors = bounded_radius(cells, k)
+    kernel = lambda v, d: _nearest(v, d, k)
+    first = min(FIRST_BLOCKS, nearest_blocks or FIRST_BLOCKS)
+    found = cut_lineage(_first_k(visit(cells, visitors, kernel, NEIGHBOR_SCHEMA, block_rows=block_rows, last=first), k))
+    if len(cells.low) <= first or nearest_blocks == first:
+        return found
+    settled = found.groupBy("id").agg(F.max("distance").alias("_far"), F.sum("weight").alias("_got"))
+    again = visitors.join(settled, "id", "left").withColumn(
+        "radius", F.when(F.col("_got") >= k, F.least("radius", "_far")).otherwise(F.col("radius"))).drop("_far", "_got")
+    rest = visit(cells, again, kernel, NEIGHBOR_SCHEMA, block_rows=block_rows, first=first, last=nearest_blocks)
+    return _first_k(found.unionByName(rest), k)
+
+
+def measured_pairs(cells: Cells, k: int, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``id``, ``n``: pairs whose distance the exact search makes for each row, by step."""
+    def kernel(v: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        radius = v["radius"].to_numpy(dtype=float)
+        n = close_pairs(_matrix(v), _matrix(d), radius).measured if len(v) and len(d) else np.zeros(len(v), np.int64)
+        return pd.DataFrame({"id": v["id"].to_numpy(dtype=np.int64), "n": n})
+
+    visitors = bounded_radius(cells, k)
+    far = nearest_neighbors(cells, k, block_rows=block_rows, nearest_blocks=FIRST_BLOCKS).groupBy("id").agg(F.max("distance").alias("_far"), F.sum("weight").alias("_got"))
+    again = visitors.join(far, "id", "left").withColumn("radius", F.when(F.col("_got") >= k, F.least("radius", "_far")).otherwise(F.col("radius")))
+    own = cells.points.select("id", F.lit(4 * (k + 1)).cast("long").alias("n"))
+    return own.unionByName(visit(cells, visitors, kernel, "id long, n long", block_rows=block_rows, last=FIRST_BLOCKS)).unionByName(
+        visit(cells, again, kernel, "id long, n long", block_rows=block_rows, first=FIRST_BLOCKS)).groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def local_outlier_factor(cells: Cells, k: int = 20, *, block_rows: int = BLOCK_ROWS, nearest_blocks: int | None = None) -> DataFrame:
     """``id``, ``lof``: density of the neighbours over the row's own density."""
-    near = cut_lineage(nearest_neighbors(cells, k, block_rows=block_rows))
+    near = cut_lineage(nearest_neighbors(cells, k, block_rows=block_rows, nearest_blocks=nearest_blocks))
     k_distance = near.groupBy("id").agg(F.max("distance").alias("k_distance"))
     reached = near.join(k_distance.withColumnRenamed("id", "other"), "other").withColumn(
         "reach", F.greatest("distance", "k_distance"))
@@ -204,51 +412,51 @@ def local_outlier_factor(cells: Cells, k: int = 20, *, block_rows: int = BLOCK_R
     return mean.join(density, "id").select("id", (F.col("_mean") / F.col("lrd")).alias("lof"))
 
 
+def _within(visitors: pd.DataFrame, data: pd.DataFrame, eps: float) -> Close:
+    if not len(visitors) or not len(data):
+        return Close(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(len(visitors), np.int64))
+    return close_pairs(_matrix(visitors), _matrix(data), np.full(len(visitors), eps))
+
+
 def _count_within(eps: float):
     def kernel(visitors: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        if not len(visitors) or not len(data):
-            return pd.DataFrame({"id": pd.Series(dtype=object), "n": pd.Series(dtype="int64")})
-        near = exact_distances(_matrix(visitors), _matrix(data)) <= eps
-        return pd.DataFrame({"id": visitors["id"].to_numpy(), "n": near @ data["weight"].to_numpy(dtype="int64")})
+        found = _within(visitors, data, eps)
+        n = np.bincount(found.visitor, data["weight"].to_numpy(dtype=np.int64)[found.row], len(visitors))
+        return pd.DataFrame({"id": visitors["id"].to_numpy(dtype=np.int64), "n": n.astype(np.int64)})
     return kernel
 
 
 def _components(eps: float):
-    """Connected parts of one block: ``group`` (unique per block) and the core rows in it."""
+    """Connected parts of one block and its visitors: ``group`` (unique per block) and the core rows in it."""
     def kernel(visitors: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"group": pd.Series(dtype=object), "id": pd.Series(dtype=object)})
-        if not len(visitors) or not len(data):
-            return empty
-        near = exact_distances(_matrix(visitors), _matrix(data)) <= eps
-        v_ids, d_ids = visitors["id"].to_numpy(), data["id"].to_numpy()
-        label_v, label_d = np.arange(len(v_ids)), np.full(len(d_ids), len(v_ids))
-        touched = near.any(0)
+        found = _within(visitors, data, eps)
+        if not len(found.visitor):
+            return pd.DataFrame({"group": pd.Series(dtype=object), "id": pd.Series(dtype="int64")})
+        v_ids, d_ids = visitors["id"].to_numpy(dtype=np.int64), data["id"].to_numpy(dtype=np.int64)
+        ids, both = np.unique(np.concatenate([v_ids[found.visitor], d_ids[found.row]]), return_inverse=True)
+        a, b = both[:len(found.visitor)], both[len(found.visitor):]
+        label = np.arange(len(ids))
         while True:
-            spread = np.where(near, label_v[:, None], len(v_ids)).min(0)
-            label_d = np.minimum(label_d, spread)
-            back = np.where(near, label_d[None, :], len(v_ids)).min(1)
-            new = np.minimum(label_v, back)
-            new = np.minimum(new, new[new])
-            if (new == label_v).all():
+            new = label.copy()
+            np.minimum.at(new, a, label[b])
+            np.minimum.at(new, b, label[a])
+            np.minimum.at(new, label, new.copy())       # a hook for the whole part
+            new = new[new]
+            if (new == label).all():
                 break
-            label_v = new
+            label = new
         block = "-".join(str(data[c].iloc[0]) for c in ("cell", "block", "part"))
-        groups = np.concatenate([label_v, label_d[touched]])
-        return pd.DataFrame({"group": [f"{block}-{g}" for g in groups],
-                             "id": np.concatenate([v_ids, d_ids[touched]])}).drop_duplicates()
+        return pd.DataFrame({"group": [f"{block}-{g}" for g in label], "id": ids})
     return kernel
 
 
-def _lowest_label(eps: float):
+def _lowest_number(eps: float):
     def kernel(visitors: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(visitors) and len(data):
-            near = exact_distances(_matrix(visitors), _matrix(data)) <= eps
-            labels = data["label"].to_numpy()
-            for me, row in zip(visitors["id"].to_numpy(), near):
-                if row.any():
-                    out.append((me, labels[row].min()))
-        return pd.DataFrame(out, columns=["id", "label"])
+        found = _within(visitors, data, eps)
+        lowest = np.full(len(visitors), np.iinfo(np.int64).max)
+        np.minimum.at(lowest, found.visitor, data["label"].to_numpy(dtype=np.int64)[found.row] if len(found.row) else np.zeros(0, np.int64))
+        some = lowest < np.iinfo(np.int64).max
+        return pd.DataFrame({"id": visitors["id"].to_numpy(dtype=np.int64)[some], "label": lowest[some]})
     return kernel
 
 
@@ -288,19 +496,25 @@ def _follow(hooks: DataFrame, max_rounds: int) -> DataFrame:
 
 
 def dbscan(cells: Cells, eps: float = 0.5, min_samples: int = 10, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``id``, ``label`` (lowest core id of the cluster, null for noise), ``is_core``."""
-    asking = cells.points.drop("block").withColumn("radius", F.lit(float(eps)))
-    counts = visit(cells, asking, _count_within(eps), "id string, n long", block_rows=block_rows)
+    """``id``, ``label`` (null for noise), ``is_core``.
+
+    Clusters are numbered from 0 in the order of their least core vectors; a row
+    that is near cores of several belongs to the first.
+    """
+    asking = cells.points.drop("block", "cell").withColumn("radius", F.lit(float(eps)))
+    counts = visit(cells, asking, _count_within(eps), "id long, n long", block_rows=block_rows)
     core = counts.groupBy("id").agg((F.sum("n") >= min_samples).alias("is_core"))
     marked = cut_lineage(cells.points.join(core, "id"))
     core_points = marked.where("is_core").drop("is_core")
-    members = visit(cells, core_points.drop("block").withColumn("radius", F.lit(float(eps))), _components(eps),
-                    "group string, id string", data=core_points, block_rows=block_rows)
-    labels = merge_groups(members)
-    labelled = cut_lineage(core_points.join(labels, "id"))
-    border = visit(cells, marked.where(~F.col("is_core")).drop("is_core", "block").withColumn("radius", F.lit(float(eps))),
-                   _lowest_label(eps), "id string, label string", data=labelled, block_rows=block_rows)
+    members = visit(cells, core_points.drop("block", "cell").withColumn("radius", F.lit(float(eps))), _components(eps),
+                    "group string, id long", data=core_points, block_rows=block_rows)
+    linked = cut_lineage(core_points.join(merge_groups(members), "id"))
+    least = linked.groupBy("label").agg(F.min("vec").alias("vec"), F.count("*").alias("_n"))
+    numbered = cut_lineage(least.join(dense_number(least, "vec", "number"), "vec").select("label", "_n", F.col("number").cast("long").alias("number")))
+    labelled = cut_lineage(lookup_by_frequency(linked, numbered, ["label"], "_n").drop("label").withColumnRenamed("number", "label"))
+    border = visit(cells, marked.where(~F.col("is_core")).drop("is_core", "block", "cell").withColumn("radius", F.lit(float(eps))),
+                   _lowest_number(eps), "id long, label long", data=labelled, block_rows=block_rows)
     border = border.groupBy("id").agg(F.min("label").alias("label"))
-    known = labels.withColumn("is_core", F.lit(True)).unionByName(border.withColumn("is_core", F.lit(False)))
+    known = labelled.select("id", "label").withColumn("is_core", F.lit(True)).unionByName(border.withColumn("is_core", F.lit(False)))
     return cells.points.select("id").join(known, "id", "left").select(
         "id", "label", F.coalesce("is_core", F.lit(False)).alias("is_core"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from dayloom.functions.temporal import duration_minutes
 from dayloom.operators.daily import rolling_mean, subject_window
+from dayloom.operators.linear import PENALTIES, expanding_models
 from dayloom.operators.prep import interactions, select_features
 from dayloom.operators.stats import chronological_split, expanding_folds
 from dayloom.session import cut_lineage
@@ -104,9 +105,11 @@ DEEP_MODELS: Mapping[str, ModelFactory] = {
     "random_forest_deep": lambda y, n: random_forest(y, depth=20, min_rows=1),
     "gradient_boosting_deep": lambda y, n: gradient_boosting(y, depth=6),
 }
-LINEAR_MODELS = ("linear", "ridge", "lasso", "elastic_net")
+ALL_MODELS: Mapping[str, ModelFactory] = {**MODELS, **DEEP_MODELS}
+LINEAR_MODELS = tuple(PENALTIES)
+TREE_MODELS = tuple(m for m in ALL_MODELS if m not in PENALTIES)
 
-# Grids of the tuned models.
+# Grids of the tuned models; the least size of a node that is split is left out, as Spark has no such limit.
 FOREST_GRID = {"trees": (100, 200), "depth": (10, 20, 30), "min_rows": (1, 2)}     # 30 is the deepest that Spark grows
 BOOSTING_GRID = {"rounds": (100, 200), "rate": (0.01, 0.1), "depth": (3, 6)}
 
@@ -170,22 +173,31 @@ def train_models(
     """Fit on the first 80 % of each subject's days, test on the rest.
 
     Returns the result table, with ``best`` at the highest test R2, and the
-    importance of every feature in every model.
+    importance of every feature in every model.  Linear models on standardised
+    features take their folds from one scan of moments (``operators/linear.py``);
+    trees, and linear models on robustly scaled features, are Spark ML pipelines.
     """
+    unknown = [m for m in models if m not in ALL_MODELS]
+    if unknown:
+        raise ValueError(f"no models {unknown}")
     split = chronological_split(usable(frame, features, target, impute), day=day, subject_cols=subject_cols)
-    split = cut_lineage(split.select(*subject_cols, day, *features, target, "is_train"))
-    train = expanding_folds(split.where("is_train"), folds, day=day, subject_cols=subject_cols).cache()
-    test = split.where(~F.col("is_train")).cache()
-    n = train.count()
+    split = split.select(*subject_cols, day, *features, target, "is_train")
+    folded = expanding_folds(split.where("is_train"), folds, day=day, subject_cols=subject_cols)
+    data = cut_lineage(folded.unionByName(split.where(~F.col("is_train")).withColumn("fold", F.lit(-1))))
+    by_moments = [m for m in models if m in PENALTIES] if scale == "standard" else []
     results, weights = [], []
-    for name in models:
-        fitted = pipeline(features, MODELS[name](target, n), impute=impute, scale=scale).fit(train)
-        a, b = scores(fitted.transform(train), target), scores(fitted.transform(test), target)
-        cv = cross_validate(train, features, target, MODELS[name], folds=folds, impute=impute, scale=scale)
+    if by_moments:
+        results, fitted = expanding_models(data, features, target, by_moments, folds=folds, impute=impute)
+        weights = [(name, f, float(abs(w))) for name, model in fitted.items() for f, w in zip(features, model.standard)]
+    train, test = data.where("fold >= 0"), data.where("fold < 0")
+    pipelines = [m for m in models if m not in by_moments]
+    n = train.count() if pipelines else 0
+    for name in pipelines:
+        model = pipeline(features, ALL_MODELS[name](target, n), impute=impute, scale=scale).fit(train)
+        a, b = scores(model.transform(train), target), scores(model.transform(test), target)
+        cv = cross_validate(train, features, target, ALL_MODELS[name], folds=folds, impute=impute, scale=scale)
         results.append((name, a["mse"], a["mae"], a["r2"], b["mse"], b["rmse"], b["mae"], b["r2"], cv["cv_mse"], cv["cv_std"]))
-        weights += [(name, f, w) for f, w in zip(features, feature_importance(fitted, features))]
-    train.unpersist()
-    test.unpersist()
+        weights += [(name, f, w) for f, w in zip(features, feature_importance(model, features))]
     spark = frame.sparkSession
     table = spark.createDataFrame(results, RESULT_DDL)
     best = table.agg(F.max_by("model", "test_r2")).scalar()
@@ -213,3 +225,14 @@ def grid_search(
     table = frame.sparkSession.createDataFrame(rows, "params map<string,string>, cv_mse double, cv_std double")
     lowest = table.agg(F.min("cv_mse")).scalar()
     return table.withColumn("best", F.col("cv_mse") == lowest)
+
+
+GRIDS: Mapping[str, tuple[Callable[..., Estimator], Mapping[str, Sequence]]] = {
+    "random_forest": (random_forest, FOREST_GRID), "gradient_boosting": (gradient_boosting, BOOSTING_GRID)}
+
+
+def tuned(frame: DataFrame, features: Sequence[str], target: str, family: str, *, grid: Mapping[str, Sequence] | None = None,
+          day: str = "day", subject_cols: Sequence[str] = (), folds: int = 3) -> DataFrame:
+    """``grid_search`` of a tree family over its fixed grid, or over part of it."""
+    build, whole = GRIDS[family]
+    return grid_search(frame, features, target, build, grid or whole, day=day, subject_cols=subject_cols, folds=folds)

@@ -71,12 +71,49 @@ def test_nearest_neighbors_are_exact(spark, blobs, block_rows):
     points = neighbors.distinct_vectors(neighbors.as_array(spark.createDataFrame(distinct), XY))
     cells = neighbors.build_cells(points, block_rows=block_rows)
     near = neighbors.nearest_neighbors(cells, 5, block_rows=block_rows)
-    got = near.groupBy("id").agg(F.array_sort(F.collect_list("distance")).alias("d")).join(points, "id").toPandas()
+    got = near.groupBy("id").agg(F.array_sort(F.collect_list("distance")).alias("d")).join(cells.points, "id").toPandas()
     p = np.stack(got["vec"])
     d = np.sort(np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)), axis=1)[:, 1:6]
     np.testing.assert_allclose(np.stack(got["d"]), d, rtol=1e-12)
 
 
+@pytest.mark.parametrize("spread, most", [(None, 0.13), (6.0, 0.07)])
+def test_pairs_measured_in_eight_dimensions(spark, spread, most):
+    """Share of all pairs that the exact search measures: uniform rows, and rows in twenty clusters."""
+    rng = np.random.default_rng(5)
+    x = rng.random((8000, 8)) if spread is None else rng.normal(size=(8000, 8)) + spread * rng.normal(size=(20, 8))[rng.integers(0, 20, 8000)]
+    columns = [f"x{i}" for i in range(8)]
+    cells = neighbors.build_cells(neighbors.distinct_vectors(neighbors.as_array(spark.createDataFrame(pd.DataFrame(x, columns=columns)), columns)))
+    share = neighbors.measured_pairs(cells, 20).agg(F.sum("n")).first()[0] / 8000**2
+    assert share < most
+    got = neighbors.nearest_neighbors(cells, 20).groupBy("id").agg(F.max("distance").alias("d")).join(cells.points, "id").limit(200).toPandas()
+    p = np.stack(got["vec"])
+    want = np.sort(np.sqrt(((p[:, None] - x[None]) ** 2).sum(-1)), axis=1)[:, 20]
+    np.testing.assert_allclose(got["d"], want, rtol=1e-9)
+
+
+def test_recall_of_a_limited_search(spark):
+    """In 64 dimensions an exact search compares everything; few blocks find most neighbours of clustered rows."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64)) + 2 * rng.normal(size=(30, 64))[rng.integers(0, 30, 3000)]
+    columns = [f"x{i}" for i in range(64)]
+    cells = neighbors.build_cells(neighbors.distinct_vectors(neighbors.as_array(spark.createDataFrame(pd.DataFrame(x, columns=columns)), columns)), block_rows=128)
+    near = neighbors.nearest_neighbors(cells, 10, block_rows=128, nearest_blocks=6).toPandas()
+    p = np.stack(cells.points.orderBy("id").toPandas()["vec"])
+    ids = cells.points.orderBy("id").toPandas()["id"].to_numpy()
+    d = neighbors.exact_distances(p, p)
+    np.fill_diagonal(d, np.inf)
+    true = {(ids[i], ids[j]) for i in range(len(p)) for j in np.argsort(d[i])[:10]}
+    found = set(zip(near["id"], near["other"]))
+    assert len(found) == 30_000 and len(found & true) / len(true) > 0.9
+
+
+def test_too_few_rows_for_k(spark):
+    rows = spark.createDataFrame([(i, float(i), 0.0) for i in range(4)], "id long, x double, y double")
+    cells = neighbors.build_cells(neighbors.distinct_vectors(neighbors.as_array(rows, XY)), block_rows=2)
+    assert neighbors.nearest_neighbors(cells, 20, block_rows=2).count() == 12
+
+
 @pytest.mark.parametrize("block_rows", [30, 5000])
 def test_dbscan_equals_brute_force(spark, blobs, block_rows):
     got = clustering.dbscan(spark.createDataFrame(blobs), XY, eps=0.6, min_samples=8, block_rows=block_rows).toPandas().sort_values("id")
