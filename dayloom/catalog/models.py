@@ -341,7 +341,7 @@ QUERIES = [
     Query("kmeans", lambda s, d: clustering.kmeans(days(s, d), DAILY_FEATURES).select("subject", "day", "cluster"), KMEANS_SQL),
     Query("kmeans_profile", kmeans_profile, KMEANS_PROFILE_SQL, ("mean", "std", "min", "max", "median", "pct")),
     Query("cluster_importance", lambda s, d: clustering.cluster_importance(kmeans_profile(s, d)), IMPORTANCE_SQL, ("importance",)),
-    Query("gaussian_mixture", lambda s, d: clustering.gaussian_mixture(days(s, d), DAILY_FEATURES, kind="diag", rounds=MIXTURE_ROUNDS).select(
+    Query("gaussian_mixture", lambda s, d: clustering.gaussian_mixture(days(s, d), DAILY_FEATURES, kind="diag", rounds=MIXTURE_ROUNDS, tol=0.0).select(
         "subject", "day", "cluster"), MIXTURE_SQL),
     Query("mixture_covariances", lambda s, d: mixture.mixture_of_labels(vectors(s, d), VECTOR, "label", vectors(s, d).agg(F.max("label")).first()[0] + 1),
           MIXTURE_COVARIANCE_SQL, ("covariance",)),

@@ -54,14 +54,14 @@ def _narrowed(source: DataFrame, target: DataFrame, on: Sequence[str], few: bool
     return source.join(F.broadcast(right) if few else right, cond).drop(*[f"_t{c}" for c in on])
 
 
-def _hits(counts: DataFrame, part: Sequence[str], order: str) -> DataFrame:
-    """Keep the counter rows that contain a wanted rank, with the rank made local."""
+def _hits(counts: DataFrame, part: Sequence[str], order: str, *, keep_all: bool = False) -> DataFrame:
+    """Keep the counter rows that contain a wanted rank, with the rank made local; ``keep_all`` keeps the others without ranks."""
     upto = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         counts.withColumn("_end", F.sum("_c").over(upto))
         .withColumn("_beg", F.col("_end") - F.col("_c"))
         .withColumn("_want", F.filter("_want", lambda w: (w["off"] >= F.col("_beg")) & (w["off"] < F.col("_end"))))
-        .where(F.size("_want") > 0)
+        .where(F.lit(keep_all) | (F.size("_want") > 0))
         .withColumn("_want", F.transform(
             "_want", lambda w: F.struct(w["rank"].alias("rank"), (w["off"] - F.col("_beg")).alias("off"))))
         .drop("_end", "_beg")
@@ -76,15 +76,23 @@ def quantiles(
     *,
     mode: str = "exact",
     few_groups: bool = False,
+    moments: bool = False,
+    store: bool = False,
 ) -> DataFrame:
     """Linearly interpolated quantiles: ``group_cols``, ``n``, ``q`` (array in the order of ``probs``).
 
+    ``moments`` adds ``mean``, ``std`` (of a sample), ``min`` and ``max`` from the
+    counters of the first pass, so that they cost no scan of their own.  ``store``
+    writes groups and values once, for sources that are dearer to make than to
+    read again.
+
     ``mode="exact"`` has no group-size limit; ``"bounded"`` uses the built-in
     aggregate and may be named for groups the calendar bounds, such as the days
     of one subject; ``"approx"`` uses the mergeable sketch.  Nothing is chosen by
     the size of the input.  ``few_groups`` states that
     the number of groups is fixed by construction (hours, weekdays, columns), so
-    the wanted buckets may be broadcast.  ``df`` is read once per pass.
+    the wanted buckets may be broadcast.  ``df`` is read once per pass, or once
+    in all with ``store``.
     """
     probs = [float(p) for p in probs]
     keys = list(group_cols)
@@ -95,8 +103,11 @@ def quantiles(
     if mode != "exact":
         wanted = F.array(*[F.lit(p) for p in probs])
         agg = F.percentile("_v", wanted) if mode == "bounded" else F.percentile_approx("_v", probs, 10_000)
-        return rows.groupBy(*keys).agg(F.count("_v").alias("n"), agg.alias("q"))
+        further = [F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max")]
+        return rows.groupBy(*keys).agg(F.count("_v").alias("n"), agg.alias("q"), *(further if moments else []))
 
+    if store:
+        rows = cut_lineage(rows)
     parts = keys or ["_all"]
     few_groups = few_groups or not keys
     if not keys:
@@ -108,8 +119,9 @@ def quantiles(
     ranks = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor((n - 1) * F.lit(p)).cast("bigint"), F.ceil((n - 1) * F.lit(p)).cast("bigint"))
         for p in probs])))
+    inner = [F.avg("_v").alias("_m"), F.var_pop("_v").alias("_s")] if moments else []
     level1 = (
-        rows.groupBy(*parts, "_b1").agg(F.count("_v").alias("_c"), *span)
+        rows.groupBy(*parts, "_b1").agg(F.count("_v").alias("_c"), *span, *inner)
         .withColumn("_n", n)
         .withColumn("_want", F.transform(ranks, lambda r: F.struct(r.alias("rank"), r.alias("off"))))
     )
@@ -118,7 +130,8 @@ def quantiles(
             *parts, "_n", F.col("_w.rank").alias("_r"), "_v")
 
     # the few counters of each pass are stored, so that no later part of the plan counts again
-    at1 = cut_lineage(_hits(level1, parts, "_b1"))
+    all1 = cut_lineage(_hits(level1, parts, "_b1", keep_all=moments))
+    at1 = all1.where(F.size("_want") > 0)
     found = settled(at1.where(F.col("_lo") == F.col("_hi")), "_lo")
     open1 = at1.where(F.col("_lo") < F.col("_hi")).select(
         *parts, "_b1", "_n", "_want", F.col("_lo").alias("_l1"), F.col("_hi").alias("_h1"))
@@ -148,7 +161,15 @@ def quantiles(
         high = F.element_at("_m", F.ceil(h).cast("bigint"))
         return F.when(low == high, low).otherwise(low + (high - low) * (h - F.floor(h)))
 
-    return by_rank.select(*keys, "n", F.array(*[interpolated(p) for p in probs]).alias("q"))
+    out = by_rank.select(*parts, "n", F.array(*[interpolated(p) for p in probs]).alias("q"))
+    if moments:
+        mean = F.sum(F.col("_c") * F.col("_m")).over(Window.partitionBy(*parts)) / F.col("_n")
+        around = F.sum(F.col("_c") * (F.col("_s") + F.pow(F.col("_m") - F.col("_mean"), 2)))
+        own = all1.withColumn("_mean", mean).groupBy(*parts).agg(
+            F.first("_mean").alias("mean"), F.when(F.first("_n") > 1, F.sqrt(around / (F.first("_n") - 1))).alias("std"),
+            F.min("_lo").alias("min"), F.max("_hi").alias("max"))
+        out = _narrowed(out, own, parts, few_groups)
+    return out.select(*keys, "n", "q", *(["mean", "std", "min", "max"] if moments else []))
 
 
 def average_ranks(df: DataFrame, group_cols: Sequence[str], value_col: str) -> DataFrame:

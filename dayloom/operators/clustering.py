@@ -45,9 +45,9 @@ def kmeans(df: DataFrame, features: Sequence[str], k: int = 3) -> DataFrame:
     return lloyd.assigned(assemble(df, features), features, found[k])
 
 
-def gaussian_mixture(df: DataFrame, features: Sequence[str], k: int = 3, *, kind: str = "full", rounds: int = 100) -> DataFrame:
+def gaussian_mixture(df: DataFrame, features: Sequence[str], k: int = 3, *, kind: str = "full", rounds: int = 100, tol: float = 1e-3) -> DataFrame:
     """Parts of a Gaussian mixture whose covariances are of a ``kind`` (see ``operators/mixture.py``)."""
-    model = mixture.fit_mixtures(df, features, k, [kind], rounds=rounds)[kind]
+    model = mixture.fit_mixtures(df, features, k, [kind], rounds=rounds, tol=tol)[kind]
     return mixture.assigned(assemble(df, features), features, model)
 
 

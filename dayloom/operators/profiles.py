@@ -38,7 +38,10 @@ def weekday_profile(
     daily: DataFrame, metrics: Mapping[str, str] = WEEKDAY_METRICS, *, day: str = "day",
     subject_cols: Sequence[str] = (), mode: str = "exact",
 ) -> DataFrame:
-    """Mean, median, deviation and count per metric and weekday; one scan for all metrics."""
+    """Mean, median, deviation and count per metric and weekday.
+
+    The days are made once for all metrics; moments come from the counters of the medians.
+    """
     present = {m: c for m, c in metrics.items() if c in daily.columns}
     wide = daily.select(
         *subject_cols, weekday_name(day).alias("day_of_week"), weekday_number(day).alias("day_of_week_num"),
@@ -47,9 +50,8 @@ def weekday_profile(
     long = wide.unpivot(
         [*subject_cols, "day_of_week", "day_of_week_num"], list(present), "metric", "value",
     ).where(F.col("value").isNotNull())
-    stats = long.groupBy(*keys).agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("value").alias("count"))
-    out = with_median(long, keys, "value", stats, mode=mode, few_groups=not subject_cols)
+    out = quantiles(long, keys, "value", [0.5], mode=mode, few_groups=not subject_cols, moments=True, store=True)
+    out = out.withColumns({"median": F.col("q")[0], "count": F.col("n")})
     source = F.element_at(F.create_map(*[F.lit(x) for kv in present.items() for x in kv]), F.col("metric"))
     return out.select(*subject_cols, "metric", source.alias("column"), "day_of_week", "day_of_week_num",
                       "mean", "median", "std", "count")

@@ -186,9 +186,9 @@ def dataset_profile(df: DataFrame, *, day: str | None = None, approximate_days:
     )
 
 
-def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], *, mode: str = "exact") -> DataFrame:
-    """Quantiles of many numeric columns of one table: ``column``, ``n``, ``q``."""
-    return quantiles(long_values(df, columns), ["column"], "value", probs, mode=mode, few_groups=True)
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], *, mode: str = "exact", moments: bool = False) -> DataFrame:
+    """Quantiles of many numeric columns of one table: ``column``, ``n``, ``q``, and moments if wanted."""
+    return quantiles(long_values(df, columns), ["column"], "value", probs, mode=mode, few_groups=True, moments=moments)
 
 
 def long_values(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from dayloom.functions.quantiles import quantiles
 from dayloom.operators.prep import intensity_minutes
+from dayloom.session import cut_lineage
 
 
-def _edges(df: DataFrame, value: str, bins: int, subject_cols: Sequence[str], mode: str) -> DataFrame:
-    probs = [i / bins for i in range(bins + 1)]
-    q = quantiles(df, subject_cols, value, probs, mode=mode)
-    return q.select(*subject_cols, "n", F.array_distinct("q").alias("edges"))
+def _edges(df: DataFrame, value: str, bins: int, subject_cols: Sequence[str], mode: str, few_groups: bool = False) -> DataFrame:
+    """Inner quantiles, and the least and largest value from the counters."""
+    probs = [i / bins for i in range(1, bins)]
+    q = quantiles(df, subject_cols, value, probs, mode=mode, moments=True, few_groups=few_groups)
+    return q.select(*subject_cols, "n", F.array_distinct(F.concat(F.array("min"), "q", F.array("max"))).alias("edges"))
 
 
 def with_bin(df: DataFrame, value: str, edges: DataFrame, subject_cols: Sequence[str]) -> DataFrame:
@@ -34,12 +36,13 @@ def with_bin(df: DataFrame, value: str, edges: DataFrame, subject_cols: Sequence
 
 def quantile_bins(
     daily: DataFrame, value: str, score: str = "score", *, bins: int = 5, min_samples: int = 3,
-    subject_cols: Sequence[str] = (), mode: str = "exact",
+    subject_cols: Sequence[str] = (), mode: str = "exact", few_groups: bool = False,
 ) -> DataFrame:
-    """Mean, count and deviation of the score per quantile bin of the value."""
+    """Mean, count and deviation of the score per quantile bin of the value; the pairs of both are made once."""
     valid = daily.select(*subject_cols, F.col(value).cast("double").alias("_v"), F.col(score).alias("_s")).na.drop(
         subset=["_v", "_s"])
-    edges = _edges(valid, "_v", bins, subject_cols, mode).where(F.col("n") >= min_samples).drop("n")
+    valid = cut_lineage(valid)
+    edges = _edges(valid, "_v", bins, subject_cols, mode, few_groups).where(F.col("n") >= min_samples).drop("n")
     return (
         with_bin(valid, "_v", edges, subject_cols)
         .groupBy(*subject_cols, "bin", "bin_low", "bin_high")
@@ -61,23 +64,20 @@ def optimal_ranges(
     daily: DataFrame, *, score: str = "score", steps: str = "steps", bins: int = 5, min_samples: int = 3,
     subject_cols: Sequence[str] = (), mode: str = "exact",
 ) -> DataFrame:
-    """Best steps range and best intensity-minutes range with a message each."""
-    out = None
+    """Best steps range and best intensity-minutes range with a message each; both habits share the passes."""
     intensity = intensity_minutes(daily)
     habits: dict[str, Column] = {}
     if steps in daily.columns:
         habits["steps"] = F.col(steps)
     if intensity is not None:
         habits["intensity"] = intensity
-    for habit, expr in habits.items():
-        frame = daily.select(*subject_cols, expr.alias("_habit"), F.col(score))
-        best = best_range(
-            quantile_bins(frame, "_habit", score, bins=bins, min_samples=min_samples,
-                          subject_cols=subject_cols, mode=mode),
-            min_samples=min_samples, subject_cols=subject_cols).withColumn("habit", F.lit(habit))
-        out = best if out is None else out.unionByName(best)
-    if out is None:
+    if not habits:
         raise ValueError("neither steps nor intensity columns in the table")
+    pairs = daily.select(*subject_cols, F.col(score), F.explode(F.create_map(*[
+        x for h, e in habits.items() for x in (F.lit(h), e.cast("double"))])).alias("habit", "_habit"))
+    keys = [*subject_cols, "habit"]
+    binned = quantile_bins(pairs, "_habit", score, bins=bins, min_samples=min_samples, subject_cols=keys, mode=mode, few_groups=not subject_cols)
+    out = best_range(binned, min_samples=min_samples, subject_cols=keys)
     low, high = F.bround("low").cast("long"), F.bround("high").cast("long")
     label = F.when(F.col("habit") == "steps", "steps").otherwise("intensity minutes")
     text = F.format_string("Your best sleep occurs when %s are between %s–%s", label,

@@ -115,21 +115,16 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def feature_stats(df: DataFrame, columns: Sequence[str] | None = None, *, mode: str = "exact") -> DataFrame:
     """Count, mean, deviation, variance, extremes, median and missing percent per numeric column."""
     columns = list(columns or numeric_columns(df))
-    aggs = [F.count("*").alias("_rows")]
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"count#{i}"), F.avg(x).alias(f"mean#{i}"), F.stddev_samp(x).alias(f"std#{i}"),
-                 F.var_samp(x).alias(f"variance#{i}"), F.min(x).alias(f"min#{i}"), F.max(x).alias(f"max#{i}")]
-    row = df.agg(*aggs)
-    row = row.withColumns({f"rows#{i}": F.col("_rows") for i in range(len(columns))})
-    fields = {"rows": "long", "count": "long", "mean": "double", "std": "double", "variance": "double",
-              "min": "double", "max": "double"}
-    medians = column_quantiles(df, columns, [0.5], mode=mode).select("column", F.col("q")[0].alias("median"))
-    return (
-        melt_row(row, columns, fields).join(F.broadcast(medians), "column", "left")     # one row per column
-        .withColumn("missing_pct", F.when(F.col("rows") > 0, (F.col("rows") - F.col("count")) / F.col("rows") * 100))
-        .drop("rows", "position")
-    )
+    spark, fields = df.sparkSession, ("mean", "std", "min", "max")
+    names = spark.createDataFrame([(c,) for c in columns], "column string")
+    found = column_quantiles(df, columns, [0.5], mode=mode, moments=True)
+    found = found.select(F.col("column").alias("_c"), "n", F.col("q")[0].alias("median"), *fields)
+    rows = df.agg(F.count("*").alias("rows"))
+    out = names.join(F.broadcast(found), F.col("column") == F.col("_c"), "left").join(F.broadcast(rows))     # one row; one per column
+    count = F.coalesce("n", F.lit(0)).cast("long")
+    missing = F.when(F.col("rows") > 0, (F.col("rows") - count) / F.col("rows") * 100)
+    return out.select("column", count.alias("count"), "mean", "std", F.pow("std", 2).alias("variance"), "min", "max", "median",
+                      missing.alias("missing_pct"))
 
 
 def volatility(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10) -> DataFrame:
