@@ -269,9 +269,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     dictionary = train_dictionary([bytes(r.ids) for r in sample.limit(2 * SAMPLE_DOCS).collect()])
     with fs.open_output_stream(f"{base}/dictionary") as out:
         out.write(dictionary)
-    order = [F.col("doc_id").asc_nulls_last()]
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tk").asc()]       # rows of one id, or of none, are many tasks
     shards = tables.keep(
-        source.repartitionByRange(*order).sortWithinPartitions(*order, "tk").mapInArrow(
+        source.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
             _written(root, dictionary, tokenizer, end_id, level), "part int, seq int, shard string, n_docs long, n_ids long"),
         "shards")
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("ids"))
