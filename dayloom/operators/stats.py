@@ -102,14 +102,21 @@ def strongest_correlations(pairs: DataFrame, n: int = 10) -> DataFrame:
 
 
 def spearman_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rank correlation over rows that have all columns, with average ranks for ties."""
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    ranked = rows
-    for i, c in enumerate(columns):
-        # one row per distinct value, stored because heavy and light values are both looked up in it
-        ranks = cut_lineage(average_ranks(rows, [], c)).withColumnRenamed("rank", f"_rank{i}")
-        ranked = lookup_by_frequency(ranked, ranks, [c], "n_equal")
-    return correlation_pairs(ranked.select(*[F.col(f"_rank{i}").alias(c) for i, c in enumerate(columns)]), columns)
+    """Rank correlation over rows that have all columns, with average ranks for ties.
+
+    Rows are numbered once and handled as (row, column, value), so that one pass
+    ranks all columns, one join brings the ranks back and one group per row puts
+    them side by side, whatever the number of columns.
+    """
+    columns = list(columns)
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).na.drop()
+    rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    long = rows.select("_row", F.posexplode(F.array(*[F.col(f"c{i}") for i in range(len(columns))])).alias("_at", "_v"))
+    # one row per column and distinct value, stored because heavy and light values are both looked up in it
+    ranks = cut_lineage(average_ranks(long, ["_at"], "_v"))
+    ranked = lookup_by_frequency(long, ranks, ["_at", "_v"], "n_equal")
+    wide = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("_at") == i, F.col("rank"))).alias(c) for i, c in enumerate(columns)])
+    return correlation_pairs(cut_lineage(wide), columns)
 
 
 def feature_stats(df: DataFrame, columns: Sequence[str] | None = None, *, mode: str = "exact") -> DataFrame:

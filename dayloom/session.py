@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,12 +18,29 @@ SETTINGS = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of all executors; nodes that have it installed use the same code."""
+    sc = spark.sparkContext
+    if getattr(sc, "_dayloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")      # on the driver; Spark hands the file out
+    archive = f"{folder}/dayloom_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    sc.addPyFile(archive)
+    sc._dayloom_shipped = True
+
+
 def build_session(app_name: str = "dayloom", **extra: str) -> SparkSession:
     """Session for jobs; master and memory come from spark-submit."""
     builder = SparkSession.builder.appName(app_name)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -30,7 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and not sc.master.startswith("local"):
+    cluster = not sc.master.startswith("local")
+    if configured is None and cluster:
         raise ValueError("set spark.checkpoint.dir to a shared folder before iterative jobs")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 

@@ -69,14 +69,19 @@ def read_quality(spark: SparkSession, path: str, *, subject_cols: Sequence[str]
         "key_metrics_count int, key_metrics_total int"))
 
 
+def is_stored(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has been finished: its job leaves a marker, a broken one does not."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
 def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The stored master, or the freshly built one after storing it."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    build().write.parquet(path)
+    """The stored master, or the freshly built one after storing it.
+
+    What a broken build has left is written over, never read.
+    """
+    if not is_stored(spark, path):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
