@@ -48,9 +48,9 @@ def linear_models(spark, sf):
 
 
 def sleep_models(spark, sf):
-    """All models of the sleep score, the deep ones too."""
+    """The six models of the sleep score; one fold, since each boosting takes a hundred rounds of jobs."""
     frame, features = prediction.sleep_features(inputs.subject_daily(spark, sf), subject_cols=("subject",))
-    return prediction.train_models(frame, features, models=tuple(prediction.ALL_MODELS), subject_cols=("subject",))
+    return prediction.train_models(frame, features, models=tuple(prediction.MODELS), subject_cols=("subject",), folds=1)[0]
 
 
 def sleep_forest(spark, sf):
@@ -356,8 +356,7 @@ QUERIES = [
           ("silhouette", "calinski_harabasz", "davies_bouldin", "inertia")),
     Query("linear_models", linear_models, linear_sql(), ("train_mse", "train_mae", "train_r2", "test_mse", "test_rmse", "test_mae", "test_r2",
                                                          "cv_mse", "cv_std")),
-    Query("sleep_models", lambda s, d: sleep_models(s, d)[0]),
-    Query("sleep_model_importance", lambda s, d: sleep_models(s, d)[1]),
+    Query("sleep_models", sleep_models),
     Query("sleep_forest_importance", sleep_forest),
     Query("trend_summary_missing", lambda s, d: reports.trend_summary(inputs.subject_daily(s, d))["missing"],
           f"WITH {inputs.SUBJECT_DAILY_SQL} SELECT * FROM (" + " UNION ALL ".join(

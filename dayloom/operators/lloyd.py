@@ -66,7 +66,7 @@ def farthest_first(rows: DataFrame, mean: np.ndarray, k: int) -> np.ndarray:
         if not top or chosen and top[0]["d"] == 0:
             break
         chosen.append(np.array(top[0]["x"]))
-    return np.array(chosen).reshape(len(chosen), -1)
+    return np.array(chosen) if chosen else np.zeros((0, len(mean)))
 
 
 def fit_all(df: DataFrame, features: Sequence[str], ks: Sequence[int], *, rounds: int = MAX_ROUNDS) -> Centers:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dayloom.functions.temporal import duration_minutes
@@ -236,3 +236,35 @@ def tuned(frame: DataFrame, features: Sequence[str], target: str, family: str, *
     """``grid_search`` of a tree family over its fixed grid, or over part of it."""
     build, whole = GRIDS[family]
     return grid_search(frame, features, target, build, grid or whole, day=day, subject_cols=subject_cols, folds=folds)
+
+
+def tree_nodes(model, path: str) -> DataFrame:
+    """A fitted forest or boosting as rows: ``tree, node, feature, cut, left, right, prediction, gain, rows, weight``.
+
+    The model is written to ``path`` (a folder that all executors reach) in the
+    format of Spark ML and read back; leaves have feature -1.  Rows go left where
+    the feature is at most ``cut``.  ``weight`` is the tree's share in the sum.
+    """
+    model.write().overwrite().save(path)
+    spark = SparkSession.active()
+    weights = spark.createDataFrame([(i, float(w)) for i, w in enumerate(model.treeWeights)], "tree int, weight double")
+    n = "nodeData." if "nodeData" in spark.read.parquet(f"{path}/data").columns else ""
+    nodes = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), F.col(f"{n}id").alias("node"), F.col(f"{n}split.featureIndex").alias("feature"),
+        F.get(F.col(f"{n}split.leftCategoriesOrThreshold"), F.lit(0)).alias("cut"), F.col(f"{n}leftChild").alias("left"), F.col(f"{n}rightChild").alias("right"),
+        F.col(f"{n}prediction").alias("prediction"), F.col(f"{n}gain").alias("gain"), F.col(f"{n}rawCount").alias("rows"))
+    return nodes.join(F.broadcast(weights), "tree")
+
+
+def importance_of_nodes(nodes: DataFrame, features: Sequence[str], *, per_tree: bool = True) -> DataFrame:
+    """``feature, importance``: gains times rows of the nodes that split by a feature, scaled to 1.
+
+    ``per_tree`` scales each tree before, as forests do and boosting does not.
+    """
+    gains = nodes.where("feature >= 0").groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("rows")).alias("g"))
+    whole = gains.groupBy("tree").agg(F.sum("g").alias("t"))
+    scaled = F.when(F.col("t") > 0, F.col("g") / F.col("t")) if per_tree else F.col("g")
+    share = gains.join(whole, "tree").groupBy("feature").agg(F.sum(scaled).alias("s"))
+    names = nodes.sparkSession.createDataFrame([(i, f) for i, f in enumerate(features)], "at int, name string")
+    out = names.join(share, F.col("at") == F.col("feature"), "left").select(F.col("name").alias("feature"), F.coalesce("s", F.lit(0.0)).alias("s"))
+    return out.withColumn("importance", F.try_divide("s", F.sum("s").over(Window.partitionBy()))).drop("s")     # one row per feature
