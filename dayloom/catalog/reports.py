@@ -77,7 +77,7 @@ def stored_quality(spark, sf):
     daily, path = inputs.subject_daily(spark, sf), stored(spark)
     sinks.write_quality(daily, path, subject_cols=SUBJECT)
     return sinks.join_quality(daily, tables.read_quality(spark, path, subject_cols=SUBJECT), subject_cols=SUBJECT).select(
-        "subject", "day", "steps", "key_metrics_count", "key_metrics_total")
+        "subject", "day", "steps", "data_quality_score", "coverage_score", "completeness_score", "key_metrics_count", "key_metrics_total")
 
 
 def built_once(spark, sf):
@@ -120,10 +120,10 @@ QUERIES = [
           f"{MANY} SELECT * FROM (" + " UNION ALL ".join(
               f"""SELECT '{c}' AS "column", stddev_samp({c}) AS std FROM daily""" for c in NUMBERS) + ") WHERE std IS NOT NULL", ("std",)),
     Query("trend_summary_correlations",
-          lambda s, d: reports.trend_summary(inputs.subject_daily(s, d), NUMBERS[:5], threshold=0.02)["correlations"],
+          lambda s, d: reports.trend_summary(inputs.subject_daily(s, d), NUMBERS, threshold=0.02)["correlations"],
           f"{MANY} SELECT * FROM (" + " UNION ALL ".join(
               f"""SELECT '{a}' AS a, '{b}' AS b, count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n, corr({a}, {b}) AS r FROM daily"""
-              for i, a in enumerate(NUMBERS[:5]) for b in NUMBERS[i + 1:5]) + ") WHERE abs(r) >= 0.02", ("r",)),
+              for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1:]) + ") WHERE abs(r) >= 0.02 ORDER BY abs(r) DESC, a, b LIMIT 20", ("r",)),
     Query("vote_of_given_labels", given_votes, f"WITH {VOTES_SQL} SELECT * FROM votes"),
     Query("rates_of_given_labels", given_rates, f"WITH {VOTES_SQL} {RATES_SQL}", ("anomaly_rate",)),
     Query("label_importance", lambda s, d: clustering.cluster_importance(clustering.cluster_profiles(labelled(s, d), VECTOR)),
@@ -141,8 +141,10 @@ UNION ALL SELECT CASE WHEN silhouette < 0.2 THEN 'clusters_overlap' ELSE 'cluste
           ("value",)),
     Query("csv_round_trip", csv_round_trip, "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer", ("c_acctbal",)),
     Query("stored_quality", stored_quality,
-          f"""{MANY} SELECT subject, day, steps, ({' + '.join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in METRICS)})::BIGINT
-  AS key_metrics_count, {len(METRICS)}::BIGINT AS key_metrics_total FROM daily""", ("steps",)),
+          f"""{MANY}, f AS (SELECT subject, day, steps, ({' + '.join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in METRICS)})::BIGINT AS n FROM daily)
+SELECT subject, day, steps, round_even(25 + 0.5 * n / {len(METRICS)} * 100, 1)::DOUBLE AS data_quality_score, 50.0::DOUBLE AS coverage_score,
+  round_even(n::DOUBLE / {len(METRICS)} * 100, 1)::DOUBLE AS completeness_score, n AS key_metrics_count, {len(METRICS)}::BIGINT AS key_metrics_total FROM f""",
+          ("steps", "data_quality_score", "coverage_score", "completeness_score")),
     Query("built_once", built_once, f"WITH {inputs.DAILY_SQL} SELECT day, steps FROM daily", ("steps",)),
     Query("published", published, f"WITH {inputs.DAILY_SQL} SELECT count(*) AS days, avg(steps) AS mean_steps FROM daily", ("mean_steps",)),
     Query("stored_results", stored_results, "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region"),

@@ -17,7 +17,8 @@ QUICK = ("daily_coverage", "subject_coverage", "coverage_filter", "daily_stress"
          "corr_pairs", "impute_median", "iqr_filter", "duration_minutes", "schema_drift", "mahalanobis",
          "master_daily_subject", "quality_score_subject", "activity_detail_clashing_ids", "latest_week", "weekly_report",
          "modeling_recommendations", "rates_of_given_labels", "csv_round_trip", "stored_quality", "bundle", "pca2",
-         "stream_hourly_large_mean", "trend_summary_correlations", "table_audit")
+         "stream_hourly_large_mean", "trend_summary_correlations", "table_audit", "kmeans", "gaussian_mixture", "mahalanobis_vectors",
+         "zoned_coverage", "exported_master", "mapping_file", "repaired_days", "looked_back", "intensity_fallbacks", "spearman")
 
 
 def test_entry_and_keys(spark):

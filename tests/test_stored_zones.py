@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from dayloom.catalog import QUERIES
 from dayloom.operators import zones
+from dayloom.session import cut_lineage, scratch
 from dayloom.sources import sinks, tables
 
 UTC = dt.timezone.utc
@@ -85,3 +86,12 @@ def test_workers_get_the_package():
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=folder(), env=env, capture_output=True, text=True, timeout=300)
     assert "settled [4.5, 14.5]" in out.stdout, out.stderr[-2000:]
+
+
+def test_scratch_removes_what_was_stored_inside(spark):
+    kept = cut_lineage(spark.range(3))
+    with scratch(spark):
+        inside = cut_lineage(spark.range(4))
+        (path,) = inside.inputFiles()[:1]
+        assert inside.count() == 4 and os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(os.path.dirname(path.removeprefix("file://"))) and kept.count() == 3
