@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dayloom.functions.quantiles import lookup_by_frequency
 from dayloom.llm.common import Tables, text_check
 from dayloom.llm.components import components
 from dayloom.llm.spans import LOWER, SPACED, as_long, mix, slices, words_of
@@ -242,7 +243,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), text_check(text).alias("tk"))
     every = tables.keep(source.mapInArrow(_described(words, False), "doc_id long, tk int, node long, key long, n int, r int"), "docs")
     live = source.where("doc_id is not null and text is not null")
-    nodes = every.where("doc_id is not null and n > 0").groupBy("node", "key", "n", "r").agg(F.min("doc_id").alias("doc_id"))
+    nodes = every.where("doc_id is not null and n > 0").groupBy("node", "key", "n", "r").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     nodes = tables.keep(nodes, "nodes")
 
     rows = live.select("text").mapInArrow(_described(words, True), "h long, key long, n int, r int, bit long")
@@ -279,13 +280,13 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     roots = components(links.union(dense), tables, "components")
     least = roots.join(nodes, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = tables.keep(roots.join(least, "root").select("node", "component_id", "root"), "named")
-    alone = nodes.select("node", F.col("doc_id").alias("own"))
-    known = alone.join(named, "node", "left").select(
-        "node", F.coalesce("component_id", "own").alias("component_id"), F.coalesce("root", "node").alias("root"))
-    out = every.join(known, "node", "left")
-    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return out.select("doc_id", "tk", F.col("n").cast("long").alias("n_shingles"),
-                      F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linked, F.col("root")).alias("root"))
+    known = tables.keep(nodes.join(named, "node", "left").select(
+        "node", "copies", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("root", "node").alias("root")), "known")
+    # nodes of very many equal texts come back by broadcast
+    linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    found = lookup_by_frequency(every.where(linked).select("doc_id", "tk", "n", "node"), known, ["node"], "copies").drop("node")
+    rest = every.where(~linked).select("doc_id", "tk", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    return found.union(rest).select("doc_id", "tk", F.col("n").cast("long").alias("n_shingles"), "component_id", "root")
 
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:

@@ -221,3 +221,23 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), Tables(spark), "c").collect()))
     assert got == {**dict.fromkeys((1, 2, 3), 1), 4: 4, 5: 4, **dict.fromkeys(range(10, 15), 10), **dict.fromkeys(range(20, 60), 20)}
     assert components(spark.createDataFrame([], "a long, b long"), Tables(spark), "none").count() == 0
+
+
+def test_components_of_a_hub_and_many_equal_texts(spark):
+    edges = [(5000, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(6000, 6040)] + [(2999, 6040)] + [(9000, 9001)] * 3
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), Tables(spark), "hub").collect()))
+    assert got == {**{n: 1 for e in edges[:-3] for n in e}, 9000: 9000, 9001: 9000}
+
+    same = "one text that very many rows have and one id has beside another text"
+    rows = [(i, same) for i in range(10, 2010)] + [(i, " ") for i in range(3000, 3400)] + [(None, same)] * 300
+    rows += [(5, "alone"), (6, None), (4, "other words of id four"), (4, same)]
+    frame_ = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = jaccard_join(frame_).collect()
+    assert len(out) == len(rows)
+    by_id = {}
+    for r in out:
+        by_id.setdefault(r.doc_id, []).append(r)
+    assert {r.component_id for i in range(10, 2010) for r in by_id[i]} == {4}
+    assert all(r.component_id == r.doc_id and r.root is None for i in range(3000, 3400) for r in by_id[i])
+    assert len(by_id[None]) == 300 and {r.component_id for r in by_id[None]} == {None}
+    assert len({r.root for r in by_id[4]}) == 2 and by_id[5][0].component_id == 5 and by_id[6][0].root is None
