@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dayloom.catalog import daily, models, reports, samples, stored, streams, tables
+from dayloom.catalog import daily, forests, models, reports, samples, stored, streams, tables
 from dayloom.catalog.base import Query
 
 QUERIES: dict[str, Query] = {}
-for _module in (samples, daily, tables, models, streams, reports, stored):
+for _module in (samples, daily, tables, models, forests, streams, reports, stored):
     for _q in _module.QUERIES:
         if _q.name in QUERIES:
             raise ValueError(f"query {_q.name} registered twice")

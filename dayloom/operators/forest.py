@@ -201,13 +201,13 @@ NODE_DDL = "tree int, node long, feature int, cut double, rows long, mean double
 
 
 def forest_nodes(spark: SparkSession, forest: Forest) -> DataFrame:
-    """The forest of all training rows as a table; ``feature`` is -1, ``cut`` and ``gain`` null in leaves."""
+    """The forest of all training rows as a table; ``feature`` is -1, ``cut`` and ``gain`` null in leaves; gains are in squared units of the target."""
     rows = []
     for t, tree in enumerate(forest.trees[0]):
         for i in np.flatnonzero(tree.rows > 0):
             f = int(tree.feature[i])
             rows.append((t, int(tree.node[i]), f, float(forest.cuts[f][tree.bin[i]]) if f >= 0 else None, int(tree.rows[i]),
-                         int(tree.total[i]) / int(tree.rows[i]) / SCALE, float(tree.gain[i]) if f >= 0 else None))
+                         int(tree.total[i]) / int(tree.rows[i]) / SCALE, float(tree.gain[i]) / SCALE**2 if f >= 0 else None))
     return spark.createDataFrame(rows, NODE_DDL)
 
 
