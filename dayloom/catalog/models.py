@@ -228,6 +228,10 @@ km AS MATERIALIZED (SELECT k, c FROM rounds WHERE r = {rounds})"""
 
 DAYS = (f"days AS (SELECT subject, day, {', '.join(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}' for c in DAILY_FEATURES)} "
         f"FROM daily WHERE {' AND '.join(f'{c} IS NOT NULL' for c in DAILY_FEATURES)})")
+#: The same, with 0 in columns without spread, as ``impute.standardize`` has it.
+FLAT_DAYS = ("days AS (SELECT subject, day, " + ", ".join(
+    f"CASE WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END AS {c}" for c in DAILY_FEATURES)
+    + f" FROM daily WHERE {' AND '.join(f'{c} IS NOT NULL' for c in DAILY_FEATURES)})")
 DAY_X = "[" + ", ".join(DAILY_FEATURES) + "]"
 KMEANS_SQL = f"""WITH RECURSIVE {inputs.SUBJECT_DAILY_SQL}, {DAYS}, pts AS MATERIALIZED (SELECT subject, day, {DAY_X} AS x FROM days),
 {lloyd_sql(DAILY_FEATURES, 3)}
@@ -261,13 +265,14 @@ profiles AS (""" + " UNION ALL ".join(
 KMEANS_PROFILE_SQL = _PROFILES + " SELECT * FROM profiles"
 IMPORTANCE_SQL = _PROFILES + """, i AS (SELECT "column", var_pop(mean) AS variance FROM profiles GROUP BY 1)
 SELECT "column", variance / max(variance) OVER () AS importance FROM i"""
-DBSCAN_SQL = f"""WITH RECURSIVE {inputs.SUBJECT_DAILY_SQL}, {DAYS}, pts AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {DAY_X}, subject, day) AS id, subject, day, {DAY_X} AS x FROM days),
+DBSCAN_SQL = f"""WITH RECURSIVE {inputs.SUBJECT_DAILY_SQL}, {FLAT_DAYS}, pts AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {DAY_X}, subject, day) AS id, subject, day, {DAY_X} AS x FROM days),
 near AS MATERIALIZED (SELECT a.id, b.id AS o FROM pts AS a JOIN pts AS b ON list_distance(a.x, b.x) <= 0.5),
 core AS MATERIALIZED (SELECT id FROM near GROUP BY id HAVING count(*) >= 10),
 e AS MATERIALIZED (SELECT near.id, near.o FROM near JOIN core AS a ON a.id = near.id JOIN core AS b ON b.id = near.o),
-r AS (SELECT id, id AS root, 0 AS k FROM core UNION ALL
-  SELECT e.id, min(r.root), any_value(k) + 1 FROM e JOIN r ON r.id = e.o WHERE k < 60 GROUP BY e.id),
-c AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM r WHERE k = 60),
+r AS (SELECT id, id AS root, 0 AS k, true AS moved FROM core UNION ALL
+  SELECT id, root, k, bool_or(root < own) OVER () FROM (
+    SELECT e.id, min(r.root) AS root, min(r.root) FILTER (e.o = e.id) AS own, any_value(k) + 1 AS k FROM e JOIN r ON r.id = e.o WHERE moved GROUP BY e.id)),
+c AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM r WHERE k = (SELECT max(k) FROM r)),
 b AS (SELECT near.id, min(cluster) AS cluster FROM near JOIN c ON c.id = near.o WHERE near.id NOT IN (SELECT id FROM core) GROUP BY 1)
 SELECT subject, day, coalesce(c.cluster, b.cluster, -1) AS cluster FROM pts LEFT JOIN c USING (id) LEFT JOIN b USING (id)"""
 
