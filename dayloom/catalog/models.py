@@ -293,7 +293,7 @@ RATES_SQL = f"""SELECT detector, count(*) FILTER (label = -1) AS n_anomalies, co
 _D = len(DAILY_FEATURES)
 #: Rounds of expectation-maximisation with diagonal covariances from the clusters of k-means, in SQL.
 MIXTURE_ROUNDS = 12
-MIXTURE_SQL = f"""WITH RECURSIVE {inputs.SUBJECT_DAILY_SQL}, {DAYS}, pts AS MATERIALIZED (SELECT subject, day, {DAY_X} AS x FROM days),
+MIXTURE_SQL = f"""WITH RECURSIVE {inputs.SUBJECT_DAILY_SQL}, {FLAT_DAYS}, pts AS MATERIALIZED (SELECT subject, day, {DAY_X} AS x FROM days),
 {lloyd_sql(DAILY_FEATURES, 3)},
 hard AS (SELECT x, list_position(list_transform(c, lambda q: list_distance(x, q)), list_min(list_transform(c, lambda q: list_distance(x, q)))) AS j FROM pts, km WHERE k = 3),
 em AS (
