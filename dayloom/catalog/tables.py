@@ -307,12 +307,13 @@ UNION ALL SELECT 'net', 'l_tax', count(*), corr(k.b, k.c) FROM k""", ("r",)),
   regr_slope(l_extendedprice, {c}) AS slope, regr_intercept(l_extendedprice, {c}) AS intercept,
   corr({c}, l_extendedprice) AS r FROM lineitem"""), ("slope", "intercept", "r"), 4),
     Query("importance_by_category", lambda s, d: stats.importance_by_category(importance(s, d)),
-          f"""WITH {inputs.SUBJECT_DAILY_SQL}, i AS (SELECT abs(corr(steps, score)) AS steps, abs(corr(resting_heart_rate, score)) AS rhr,
-  abs(corr(hydration_intake, score)) AS cal, abs(corr(stress_avg, score)) AS stress FROM daily),
-t AS (SELECT *, steps + rhr + cal + stress AS total FROM i)
-SELECT 'heart_rate' AS category, rhr AS importance, rhr / total AS share FROM t
-UNION ALL SELECT 'activity', steps + cal, (steps + cal) / total FROM t
-UNION ALL SELECT 'other', stress, stress / total FROM t""", ("importance", "share")),
+          f"""WITH {inputs.SUBJECT_DAILY_SQL}, i AS (SELECT {", ".join(f'''CASE WHEN max({c}) FILTER (score IS NOT NULL) > min({c}) FILTER (score IS NOT NULL)
+    AND max(score) FILTER ({c} IS NOT NULL) > min(score) FILTER ({c} IS NOT NULL) THEN abs(corr({c}, score)) END AS {n}''' for c, n in (
+      ("steps", "steps"), ("resting_heart_rate", "rhr"), ("hydration_intake", "cal"), ("stress_avg", "stress")))} FROM daily),
+t AS (SELECT coalesce(rhr, 0) AS h, coalesce(steps + cal, steps, cal, 0) AS a, list_sum([steps, rhr, cal, stress]) AS total FROM i)
+SELECT 'heart_rate' AS category, h AS importance, CASE WHEN total <> 0 THEN h / total END AS share FROM t
+UNION ALL SELECT 'activity', a, CASE WHEN total <> 0 THEN a / total END FROM t
+UNION ALL SELECT 'other', total - h - a, CASE WHEN total <> 0 THEN (total - h - a) / total END FROM t""", ("importance", "share")),
     Query("table_audit", audit,
           " UNION ALL ".join(f"""SELECT '{t}' AS "table", count(*) AS rows, 'ok' AS status FROM {t}""" for t in AUDITED)
           + """ UNION ALL SELECT 'sleep', NULL, 'not found'"""),
