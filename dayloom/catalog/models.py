@@ -233,7 +233,7 @@ FLAT_DAYS = ("days AS (SELECT subject, day, " + ", ".join(
     f"CASE WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END AS {c}" for c in DAILY_FEATURES)
     + f" FROM daily WHERE {' AND '.join(f'{c} IS NOT NULL' for c in DAILY_FEATURES)})")
 DAY_X = "[" + ", ".join(DAILY_FEATURES) + "]"
-KMEANS_SQL = f"""WITH RECURSIVE {inputs.SUBJECT_DAILY_SQL}, {DAYS}, pts AS MATERIALIZED (SELECT subject, day, {DAY_X} AS x FROM days),
+KMEANS_SQL = f"""WITH RECURSIVE {inputs.SUBJECT_DAILY_SQL}, {FLAT_DAYS}, pts AS MATERIALIZED (SELECT subject, day, {DAY_X} AS x FROM days),
 {lloyd_sql(DAILY_FEATURES, 3)}
 SELECT subject, day, list_position(list_transform(c, lambda q: list_distance(x, q)), list_min(list_transform(c, lambda q: list_distance(x, q)))) - 1::BIGINT AS cluster
 FROM pts, km WHERE k = 3"""
