@@ -122,7 +122,8 @@ QUERIES = [
     Query("trend_summary_correlations",
           lambda s, d: reports.trend_summary(inputs.subject_daily(s, d), NUMBERS, threshold=0.02)["correlations"],
           f"{MANY} SELECT * FROM (" + " UNION ALL ".join(
-              f"""SELECT '{a}' AS a, '{b}' AS b, count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n, corr({a}, {b}) AS r FROM daily"""
+              f"""SELECT '{a}' AS a, '{b}' AS b, count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n, CASE WHEN max({a}) FILTER ({b} IS NOT NULL) > min({a}) FILTER ({b} IS NOT NULL)
+  AND max({b}) FILTER ({a} IS NOT NULL) > min({b}) FILTER ({a} IS NOT NULL) THEN corr({a}, {b}) END AS r FROM daily"""
               for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1:]) + ") WHERE abs(r) >= 0.02 ORDER BY abs(r) DESC, a, b LIMIT 20", ("r",)),
     Query("vote_of_given_labels", given_votes, f"WITH {VOTES_SQL} SELECT * FROM votes"),
     Query("rates_of_given_labels", given_rates, f"WITH {VOTES_SQL} {RATES_SQL}", ("anomaly_rate",)),

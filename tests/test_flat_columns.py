@@ -17,7 +17,7 @@ def flat(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["dbscan", "gaussian_mixture", "importance_by_category", "kmeans"])
+@pytest.mark.parametrize("name", ["dbscan", "gaussian_mixture", "importance_by_category", "kmeans", "trend_summary_correlations"])
 def test_query_agrees_with_sql_on_a_flat_column(spark, flat, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{flat}/orders.parquet'")
