@@ -12,8 +12,12 @@ visitors.  Copies of a vector are one row with a weight.
 
 Cost: in few dimensions a row is compared with its surroundings only (the tests
 state shares); in many, or where most of the table is within the radius, exact
-results need most of the table, whatever the layout.  ``nearest_blocks`` bounds
-the work there: neighbours are then those of that many blocks, and recall is
+results need most of the table, whatever the layout.  Above ``WIDE`` columns
+nearest neighbours are therefore found between tiles of many cells by matrix
+products, which bound all distances of two tiles at once; only pairs within
+these bounds are measured.  Pairs still grow with the square of the table there,
+at a small cost each and in tasks of two tiles.  ``nearest_blocks`` bounds
+the work: neighbours are then those of that many blocks, and recall is
 what the tests measure.
 """
 
@@ -37,6 +41,10 @@ BLOCK_ROWS, LEAF = 256, 4
 #: Blocks that a row visits before its radius is settled.
 FIRST_BLOCKS = 4
 _CHUNK = 2_000_000      # numbers in one array of differences
+#: More columns than these are searched in tiles, of so many rows at least and at most; a large table has this many of them or more.
+WIDE = 16
+TILE_ROWS, TILES = (4096, 32_768), 8
+_STRIP = 8192           # rows of a tile that are in one product
 
 
 def as_array(df: DataFrame, features: Sequence[str], out: str = "vec") -> DataFrame:
@@ -365,11 +373,109 @@ def _first_k(found: DataFrame, k: int) -> DataFrame:
             .select("id", "other", "distance", F.least("weight", F.lit(k) - F.col("_before")).cast("long").alias("weight")))
 
 
+def _products(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Single-precision factors a, b and numbers c: a row of x and one of y are within r only if ``a @ b.T >= c - r * r / 2``.
+
+    Products of centred rows lose at most a share of their squared lengths, which is taken off the lengths before.
+    """
+    center = y.mean(0)
+    x, y = x - center, y - center
+    keep = 1 - 4 * (x.shape[1] + 8) * np.finfo(np.float32).eps
+    x2, y2 = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+    a = np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float32)
+    b = np.concatenate([y, (-keep / 2 * y2)[:, None]], axis=1).astype(np.float32)
+    return a, b, keep / 2 * x2
+
+
+def _nearest_by_products(visitors: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataFrame:
+    """As :func:`_nearest`, for many columns: products bound the distances from below, pairs that may be near enough are measured.
+
+    A visitor's radius shrinks to its k-th neighbour from strip to strip of the data.
+    """
+    me, ids = visitors["id"].to_numpy(dtype=np.int64), data["id"].to_numpy(dtype=np.int64)
+    weights, radius = data["weight"].to_numpy(dtype=np.int64), visitors["radius"].to_numpy(dtype=float).copy()
+    x, y = _matrix(visitors) if len(visitors) else np.zeros((0, 1)), _matrix(data) if len(data) else np.zeros((0, 1))
+    scale = max(np.abs(x).max(initial=0.0), np.abs(y).max(initial=0.0)) or 1.0      # keeps squares finite in single precision
+    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+    for first in range(0, len(y) if len(x) else 0, _STRIP):
+        strip = y[first:first + _STRIP]
+        a, b, c = _products(x / scale, strip / scale)
+        found = [best]
+        step = max(1, _CHUNK // len(strip))
+        for i in range(0, len(x), step):
+            some = slice(i, i + step)
+            dot = a[some] @ b.T
+            r = radius[some]
+            if np.isinf(r).any() and len(strip) > k:        # k rows besides its own are within the k + 1 largest products
+                at = np.argpartition(dot, len(strip) - k - 1, axis=1)[:, -k - 1:]
+                far = np.array([np.sqrt(((strip[o] - row) ** 2).sum(1).max()) for o, row in zip(at, x[some])])
+                r = np.minimum(r, far)
+            with np.errstate(over="ignore"):
+                v, o = np.nonzero(dot >= (c[some] - (_wide(r) / scale) ** 2 / 2 - 1e-35)[:, None].astype(np.float32))      # less what underflows
+            for j in range(0, len(v), max(1, _CHUNK // x.shape[1])):
+                part = slice(j, j + max(1, _CHUNK // x.shape[1]))
+                diff = x[i + v[part]] - strip[o[part]]
+                d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+                near = d <= _wide(r[v[part]])
+                at, row = first + o[part][near], i + v[part][near]
+                found.append((row, ids[at], d[near], weights[at] - (ids[at] == me[row])))
+        v, other, d, weight = (np.concatenate(p) for p in zip(*found))
+        order = np.lexsort((other, d, v))
+        order = order[weight[order] > 0]
+        v, other, d, weight = v[order], other[order], d[order], weight[order]
+        start = np.searchsorted(v, v, side="left")
+        total = np.cumsum(weight)
+        before = total - weight
+        keep = before - before[start] < k
+        best = v[keep], other[keep], d[keep], weight[keep]
+        held, farthest = np.zeros(len(x), np.int64), np.zeros(len(x))
+        np.add.at(held, best[0], best[3])
+        np.maximum.at(farthest, best[0], best[2])
+        radius = np.where(held >= k, np.minimum(radius, farthest), radius)
+    return pd.DataFrame({"id": me[best[0]], "other": best[1], "distance": best[2], "weight": best[3]})
+
+
+def _nearest_in_tiles(cells: Cells, k: int) -> DataFrame:
+    """k nearest rows by tiles of neighbouring cells: first a row's own tile, then all tiles whose box is within the radius found there."""
+    counts = {r["cell"]: r["count"] for r in cells.points.groupBy("cell").count().collect()}     # one row per cell
+    number = np.array([counts.get(c, 0) for c in range(len(cells.low))])
+    rows = min(max(TILE_ROWS[0], -(-int(number.sum()) // TILES)), TILE_ROWS[1])
+    tile = ((np.cumsum(number) - number) // rows).astype(int)
+    tile = np.unique(tile, return_inverse=True)[1]
+    starts = np.flatnonzero(np.diff(tile, prepend=-1))
+    low, high = np.minimum.reduceat(cells.low, starts), np.maximum.reduceat(cells.high, starts)
+    points = cells.points.select("id", "vec", "weight", F.element_at(F.lit(tile.tolist()), F.col("cell") + 1).cast("int").alias("own"))
+
+    def inside(group: pd.DataFrame) -> pd.DataFrame:
+        return _nearest_by_products(group.assign(radius=np.inf), group, k)
+
+    found = cut_lineage(points.groupBy("own").applyInPandas(inside, NEIGHBOR_SCHEMA))
+    if len(low) < 2:
+        return _first_k(found, k)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def reachable(vec: pd.Series, radius: pd.Series, own: pd.Series) -> pd.Series:
+        near = box_distance(np.stack(vec.to_numpy()).astype(float), low, high) <= _wide(radius.to_numpy(dtype=float))[:, None]
+        near[np.arange(len(near)), own.to_numpy()] = False
+        return pd.Series([np.flatnonzero(n).astype("int32").tolist() for n in near], dtype=object)
+
+    settled = found.groupBy("id").agg(F.when(F.sum("weight") >= k, F.max("distance")).alias("radius"))
+    asking = (points.join(settled, "id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
+              .withColumn("tile", F.explode(reachable("vec", "radius", "own"))))
+    held = points.withColumnRenamed("own", "tile").withColumn("own", F.explode(F.sequence(F.lit(0), F.lit(len(low) - 1)))).where("own <> tile")
+    held = held.toDF(*held.columns)     # columns of its own, for the table meets itself
+    rest = asking.groupBy("tile", "own").cogroup(held.groupBy("tile", "own")).applyInPandas(
+        lambda v, d: _nearest_by_products(v, d, k), NEIGHBOR_SCHEMA)
+    return _first_k(found.unionByName(rest), k)
+
+
 def nearest_neighbors(cells: Cells, k: int, *, block_rows: int = BLOCK_ROWS, nearest_blocks: int | None = None) -> DataFrame:
     """k nearest rows of every distinct vector: ``id, other, distance, weight``.
 
     Exact, unless ``nearest_blocks`` limits the cells that a row visits to that many.
     """
+    if cells.low.shape[1] > WIDE and nearest_blocks is None:
+        return _nearest_in_tiles(cells, k)
     visitors = bounded_radius(cells, k)
     kernel = lambda v, d: _nearest(v, d, k)
     first = min(FIRST_BLOCKS, nearest_blocks or FIRST_BLOCKS)

@@ -114,6 +114,28 @@ def test_too_few_rows_for_k(spark):
     assert neighbors.nearest_neighbors(cells, 20, block_rows=2).count() == 12
 
 
+@pytest.mark.parametrize("tile_rows", [300, 32_768])
+def test_many_columns_are_searched_between_tiles_not_blocks(spark, monkeypatch, tile_rows):
+    def visit(*args, **kwargs):
+        raise AssertionError("every row visits nearly every block of so many columns")
+
+    monkeypatch.setattr(neighbors, "visit", visit)
+    monkeypatch.setattr(neighbors, "TILE_ROWS", (tile_rows, tile_rows))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 20)) + 1e4
+    x[0] *= 1e3
+    x = np.concatenate([x, x[:40]])
+    columns = [f"x{i}" for i in range(20)]
+    cells = neighbors.build_cells(neighbors.distinct_vectors(neighbors.as_array(spark.createDataFrame(pd.DataFrame(x, columns=columns)), columns)))
+    got = neighbors.nearest_neighbors(cells, 15).join(cells.points.select("id", "vec"), "id").toPandas()
+    d = np.sort(neighbors.exact_distances(x, x), axis=1)[:, 1:16]
+    want = {tuple(row): far for row, far in zip(x.tolist(), d)}
+    assert got["id"].nunique() == 1500
+    for vec, group in got.groupby(got["vec"].map(tuple)):
+        group = group.sort_values("distance")
+        np.testing.assert_array_equal(np.repeat(group["distance"], group["weight"]), want[vec])
+
+
 @pytest.mark.parametrize("block_rows", [30, 5000])
 def test_dbscan_equals_brute_force(spark, blobs, block_rows):
     got = clustering.dbscan(spark.createDataFrame(blobs), XY, eps=0.6, min_samples=8, block_rows=block_rows).toPandas().sort_values("id")
