@@ -7,6 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
+from dayloom.catalog import QUERIES
 from dayloom.operators import anomaly, clustering, neighbors, prediction
 from dayloom.operators.coverage import daily_coverage
 from dayloom.plans import modeling, reports
@@ -92,6 +94,13 @@ def test_pairs_measured_in_eight_dimensions(spark, spread, most):
     np.testing.assert_allclose(got["d"], want, rtol=1e-9)
 
 
+@pytest.mark.parametrize("name", ["ensemble_vote"])
+def test_votes_search_between_tiles(spark, monkeypatch, name):
+    monkeypatch.setattr(neighbors, "visit", None)
+    got = QUERIES[name].frame(spark, SF_SMALL).toPandas()
+    assert len(got) and (got == -1).any(axis=None) if name == "ensemble_vote" else set(got["n_anomalies"] + got["n_normal"]) == {500}
+
+
 def test_recall_of_a_limited_search(spark):
     """In 64 dimensions an exact search compares everything; few blocks find most neighbours of clustered rows."""
     rng = np.random.default_rng(6)
