@@ -94,7 +94,7 @@ def test_pairs_measured_in_eight_dimensions(spark, spread, most):
     np.testing.assert_allclose(got["d"], want, rtol=1e-9)
 
 
-@pytest.mark.parametrize("name", ["ensemble_vote"])
+@pytest.mark.parametrize("name", ["ensemble_vote", "detector_rates"])
 def test_votes_search_between_tiles(spark, monkeypatch, name):
     monkeypatch.setattr(neighbors, "visit", None)
     got = QUERIES[name].frame(spark, SF_SMALL).toPandas()
