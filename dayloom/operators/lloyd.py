@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.functions.sums import matrix, summed
+from dayloom.functions.sums import matrices, pack, summed
 from dayloom.session import cut_lineage
 
 MAX_ROUNDS = 100
@@ -43,6 +43,27 @@ def squared(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearest(x: np.ndarray, sets: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """``squared(x, c).argmin(1)`` for every set of centres: one product for all, and differences where it can not tell two centres apart."""
+    every = np.concatenate(sets)
+    middle = every.mean(0)
+    z, e = x - middle, every - middle
+    e2 = np.einsum("ij,ij->i", e, e)
+    near = e2 - 2 * (z @ e.T)
+    slack = 16 * (x.shape[1] + 8) * np.finfo(float).eps * (np.einsum("ij,ij->i", z, z) + e2.max())
+    out, at = [], 0
+    for c in sets:
+        some = near[:, at:at + len(c)]
+        at += len(c)
+        own = some.argmin(1)
+        least = some[np.arange(len(x)), own]
+        alike = ~((some <= (least + slack)[:, None]).sum(1) == 1)
+        if alike.any():
+            own[alike] = squared(x[alike], c).argmin(1)
+        out.append(own)
+    return out
+
+
 def farthest_first(rows: DataFrame, mean: np.ndarray, k: int) -> np.ndarray:
     """Up to ``k`` rows, each the farthest from those before it, the first from the mean; the least of equally far rows."""
     chosen: list[np.ndarray] = []
@@ -53,8 +74,7 @@ def farthest_first(rows: DataFrame, mean: np.ndarray, k: int) -> np.ndarray:
         def far(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             best: tuple[float, list[float]] | None = None
             for batch in batches:
-                if batch.num_rows:
-                    x = matrix(batch)
+                for x in matrices(batch):
                     d = squared(x, given).min(1)
                     one = min(x[d == d.max()].tolist())
                     if best is None or (d.max(), [-v for v in one]) > (best[0], [-v for v in best[1]]):
@@ -74,7 +94,7 @@ def fit_all(df: DataFrame, features: Sequence[str], ks: Sequence[int], *, rounds
 
     A centre without rows stays where it is.  ks above the number of different rows are left out.
     """
-    rows = cut_lineage(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)]).na.drop())
+    rows = cut_lineage(pack(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)]).na.drop()))
     d = len(features)
     first = summed(rows, lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 2 * d + 1)
     n = max(first[0], 1.0)
@@ -88,13 +108,8 @@ def fit_all(df: DataFrame, features: Sequence[str], ks: Sequence[int], *, rounds
         size = [k * (d + 1) for k in now]
 
         def step(x: np.ndarray, now=now) -> np.ndarray:
-            parts = []
-            for k, c in now.items():
-                own = squared(x, c).argmin(1)
-                table = np.zeros((k, d + 1))
-                np.add.at(table, own, np.concatenate([np.ones((len(x), 1)), x], axis=1))
-                parts.append(table.ravel())
-            return np.concatenate(parts)
+            owned = [own[:, None] == np.arange(k) for k, own in zip(now, nearest(x, list(now.values())))]
+            return (np.concatenate(owned, axis=1).T.astype(float) @ np.concatenate([np.ones((len(x), 1)), x], axis=1)).ravel()
 
         if not moving:
             break

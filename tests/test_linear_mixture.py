@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from dayloom.functions import sums
 from dayloom.operators import anomaly, clustering, linear, lloyd, mixture, prediction
 
 ABC = ["a", "b", "c"]
@@ -214,3 +215,26 @@ def test_distances_in_units_of_the_covariance(spark, cloud):
     want = np.sqrt(np.einsum("ij,jk,ik->i", z, np.linalg.inv(np.cov(cloud.T)), z))
     np.testing.assert_allclose(got["score"], want, rtol=1e-9)
     assert (got["label"] == -1).sum() == 45
+
+
+def test_nearest_centres_by_products_are_those_by_differences(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(400, 12)) + 1e6, rng.integers(0, 3, (400, 12)).astype(float)])
+    sets = [x[:k].copy() for k in (2, 5)] + [x[400:409].copy(), np.repeat(x[400:402], 2, axis=0), x[:1]]
+    want = [lloyd.squared(x, c).argmin(1) for c in sets]
+    measured, squared = [], lloyd.squared
+    monkeypatch.setattr(lloyd, "squared", lambda rows, c: measured.append(len(rows)) or squared(rows, c))
+    for got, owner in zip(lloyd.nearest(x, sets), want):
+        assert (got == owner).all()
+    clear = rng.normal(size=(1000, 12))
+    measured.clear()
+    lloyd.nearest(clear, [clear[:4]])
+    assert not measured         # no row is near the middle of two centres
+
+
+def test_rounds_read_packed_rows(spark):
+    rows = spark.range(20_000).select(F.col("id").cast("double").alias("c0"), (F.col("id") % 7).cast("double").alias("c1"))
+    stored = sums.pack(rows)
+    assert stored.columns == ["_n", "_block"] and stored.count() < 100
+    whole = sums.summed(stored, lambda x: np.concatenate([[len(x)], x.sum(0)]), 3)
+    assert whole.tolist() == [20_000, 199_990_000, sum(i % 7 for i in range(20_000))]
