@@ -8,13 +8,17 @@ from dayloom.catalog import inputs
 from dayloom.catalog.base import Query, table
 from dayloom.operators import anomaly, clustering, impute, mixture, prediction
 from dayloom.plans import reports
+from dayloom.session import cut_lineage
 
 VECTOR = [f"x{i}" for i in range(64)]
 
 
-def vectors(spark, sf):
-    """The components of every embedding as features."""
-    return table(spark, sf, "embeddings").select(
+def vectors(spark, sf, *, even=False):
+    """The components of every embedding as features; ``even`` deals rows out first, for a file may be a single row group, which one task reads."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    if even:
+        rows = rows.repartition(max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
+    return rows.select(
         "vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(VECTOR)])
 
 
@@ -27,15 +31,15 @@ def days(spark, sf):
 
 
 def votes(spark, sf):
-    rows, keys = vectors(spark, sf), ["vec_id"]
+    rows, keys = cut_lineage(vectors(spark, sf, even=True)), ["vec_id"]     # every detector reads it several times
     return anomaly.ensemble({
         "isolation_forest": anomaly.isolation_forest(rows, keys, VECTOR),
         "local_outlier_factor": anomaly.lof(rows, keys, VECTOR),
         "mahalanobis": anomaly.mahalanobis(rows, keys, VECTOR)}, keys)
 
 
-def kmeans_profile(spark, sf):
-    return clustering.cluster_profiles(clustering.kmeans(vectors(spark, sf), VECTOR, 3), VECTOR)
+def clusters(spark, sf):
+    return clustering.kmeans(cut_lineage(vectors(spark, sf, even=True)), VECTOR, 3)
 
 
 SLEEP_COLUMNS = ["steps", "stress_avg", "bb_max", "bb_min", "steps_lag1", "stress_avg_lag1", "bb_max_lag1"]
@@ -323,7 +327,7 @@ SELECT kind, part::BIGINT AS part, i - 1::BIGINT AS i, j - 1::BIGINT AS j, covar
 
 def labelled(spark, sf):
     """Embeddings with their given label as the cluster."""
-    return clustering.assemble(vectors(spark, sf), VECTOR).withColumn("cluster", F.col("label").cast("long"))
+    return clustering.assemble(vectors(spark, sf, even=True), VECTOR).withColumn("cluster", F.col("label").cast("long"))
 
 
 QUERIES = [
@@ -344,8 +348,8 @@ QUERIES = [
     Query("label_quality", lambda s, d: clustering.clustering_quality(labelled(s, d)), QUALITY_SQL,
           ("silhouette", "calinski_harabasz", "davies_bouldin")),
     Query("kmeans", lambda s, d: clustering.kmeans(days(s, d), DAILY_FEATURES).select("subject", "day", "cluster"), KMEANS_SQL),
-    Query("kmeans_profile", kmeans_profile, KMEANS_PROFILE_SQL, ("mean", "std", "min", "max", "median", "pct")),
-    Query("cluster_importance", lambda s, d: clustering.cluster_importance(kmeans_profile(s, d)), IMPORTANCE_SQL, ("importance",)),
+    Query("kmeans_profile", lambda s, d: clustering.cluster_profiles(clusters(s, d), VECTOR), KMEANS_PROFILE_SQL, ("mean", "std", "min", "max", "median", "pct")),
+    Query("cluster_importance", lambda s, d: clustering.cluster_importance(clustering.cluster_statistics(clusters(s, d), VECTOR)), IMPORTANCE_SQL, ("importance",)),
     Query("gaussian_mixture", lambda s, d: clustering.gaussian_mixture(days(s, d), DAILY_FEATURES, kind="diag", rounds=MIXTURE_ROUNDS, tol=0.0).select(
         "subject", "day", "cluster"), MIXTURE_SQL),
     Query("mixture_covariances", lambda s, d: mixture.mixture_of_labels(vectors(s, d), VECTOR, "label", vectors(s, d).agg(F.max("label")).first()[0] + 1),
@@ -355,7 +359,7 @@ QUERIES = [
         "subject", "day", "cluster")),
     Query("dbscan", lambda s, d: clustering.dbscan(days(s, d), DAILY_FEATURES, eps=0.5, min_samples=10).select(
         "subject", "day", "cluster"), DBSCAN_SQL),
-    Query("cluster_quality", lambda s, d: clustering.clustering_quality(clustering.kmeans(vectors(s, d), VECTOR, 3)), CLUSTER_QUALITY_SQL,
+    Query("cluster_quality", lambda s, d: clustering.clustering_quality(clusters(s, d)), CLUSTER_QUALITY_SQL,
           ("silhouette", "calinski_harabasz", "davies_bouldin")),
     Query("choose_k", lambda s, d: clustering.choose_k(vectors(s, d), VECTOR), CHOOSE_K_SQL,
           ("silhouette", "calinski_harabasz", "davies_bouldin", "inertia")),

@@ -127,7 +127,7 @@ QUERIES = [
               for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1:]) + ") WHERE abs(r) >= 0.02 ORDER BY abs(r) DESC, a, b LIMIT 20", ("r",)),
     Query("vote_of_given_labels", given_votes, f"WITH {VOTES_SQL} SELECT * FROM votes"),
     Query("rates_of_given_labels", given_rates, f"WITH {VOTES_SQL} {RATES_SQL}", ("anomaly_rate",)),
-    Query("label_importance", lambda s, d: clustering.cluster_importance(clustering.cluster_profiles(labelled(s, d), VECTOR)),
+    Query("label_importance", lambda s, d: clustering.cluster_importance(clustering.cluster_statistics(labelled(s, d), VECTOR)),
           f"""SELECT "column", v / max(v) OVER () AS importance FROM (
   SELECT "column", var_pop(mean) AS v FROM ({PROFILE_SQL}) AS p GROUP BY 1)""", ("importance",)),
     Query("modeling_recommendations", recommendations,

@@ -33,16 +33,33 @@ def matrices(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield matrix(batch)
 
 
-def summed(rows: DataFrame, step: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
-    """Sum of an array of ``width`` numbers that ``step`` makes of the rows of a batch; ``rows`` may be packed."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Numbers that all tasks of a scan may send to the driver; more are added up in a shuffle before.
+_DIRECT = 1 << 22
+
+
+def summed(rows: DataFrame, step: Callable[[np.ndarray], np.ndarray], width: int, *, tasks: int | None = None) -> np.ndarray:
+    """Sum of an array of ``width`` numbers that ``step`` makes of the rows of a batch; ``rows`` may be packed.
+
+    ``tasks``, if known, is the number of tasks that read ``rows``: a few short arrays are added up by the driver, without a shuffle.
+    """
+    def added(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(width)
         for batch in batches:
             for x in matrices(batch):
                 total += step(x)
-        yield pa.record_batch({"at": pa.array(np.arange(width, dtype=np.int32)), "s": pa.array(total)})
+        return total
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch({"s": pa.array([added(batches)], pa.list_(pa.float64()))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.record_batch({"at": pa.array(np.arange(width, dtype=np.int32)), "s": pa.array(added(batches))})
 
     out = np.zeros(width)
+    if tasks is not None and tasks * width <= _DIRECT:
+        for r in rows.mapInArrow(whole, "s array<double>").collect():
+            out += r["s"]
+        return out
     for r in rows.mapInArrow(run, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
         out[r["at"]] = r["s"]
     return out

@@ -122,21 +122,33 @@ def choose_k(df: DataFrame, features: Sequence[str], *, max_k: int = 10) -> Data
     return df.sparkSession.createDataFrame([(*r, [m for m, k in best.items() if k == r[0]]) for r in table], ddl)
 
 
-def cluster_profiles(clustered: DataFrame, features: Sequence[str], *, cluster: str = "cluster", mode: str = "exact") -> DataFrame:
-    """Size, share and statistics of each feature per cluster; noise (-1) is left out but counts in the share."""
-    long = long_values(clustered, features, ids=[cluster])
-    keys = [cluster, "column"]
-    stats = long.groupBy(*keys).agg(
+def _statistics(long: DataFrame, cluster: str) -> DataFrame:
+    return long.groupBy(cluster, "column").agg(
         F.count("*").alias("size"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
+
+
+def cluster_statistics(clustered: DataFrame, features: Sequence[str], *, cluster: str = "cluster") -> DataFrame:
+    """:func:`cluster_profiles` without shares and medians, in one scan."""
+    return _statistics(long_values(clustered, features, ids=[cluster]), cluster).where(F.col(cluster) != -1)
+
+
+def cluster_profiles(clustered: DataFrame, features: Sequence[str], *, cluster: str = "cluster", mode: str = "exact") -> DataFrame:
+    """Size, share and statistics of each feature per cluster; noise (-1) is left out but counts in the share.
+
+    Clusters are found once: the statistics and the passes of the medians read stored rows.
+    """
+    stored = cut_lineage(clustered.select(cluster, *[F.col(c).cast("double").alias(c) for c in features]))
+    long = long_values(stored, features, ids=[cluster])
+    stats = cut_lineage(_statistics(long, cluster))
     total = stats.where(F.col("column") == features[0]).agg(F.sum("size")).scalar()
-    out = with_median(long, keys, "value", stats, mode=mode, few_groups=False)
+    out = with_median(long, [cluster, "column"], "value", stats, mode=mode, few_groups=False)
     return out.withColumn("pct", F.col("size") / total * 100).where(F.col(cluster) != -1)
 
 
 def cluster_importance(profiles: DataFrame) -> DataFrame:
-    """Variance of the cluster means of a feature, the largest being 1."""
-    per = profiles.groupBy("column").agg(F.coalesce(F.var_pop("mean"), F.lit(0.0)).alias("variance"))
+    """Variance of the cluster means of a feature, the largest being 1; ``profiles`` or :func:`cluster_statistics`."""
+    per = cut_lineage(profiles.groupBy("column").agg(F.coalesce(F.var_pop("mean"), F.lit(0.0)).alias("variance")))
     top = per.agg(F.max("variance")).scalar()
     return per.select("column", F.when(top > 0, F.col("variance") / top).otherwise(0.0).alias("importance"))
 

@@ -95,8 +95,8 @@ def fit_all(df: DataFrame, features: Sequence[str], ks: Sequence[int], *, rounds
     A centre without rows stays where it is.  ks above the number of different rows are left out.
     """
     rows = cut_lineage(pack(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)]).na.drop()))
-    d = len(features)
-    first = summed(rows, lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 2 * d + 1)
+    d, tasks = len(features), rows.rdd.getNumPartitions()
+    first = summed(rows, lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 2 * d + 1, tasks=tasks)
     n = max(first[0], 1.0)
     mean = first[1:d + 1] / n
     spread = float(np.sqrt(max((first[d + 1:] / n - mean**2).sum(), 0.0))) or 1.0
@@ -113,14 +113,14 @@ def fit_all(df: DataFrame, features: Sequence[str], ks: Sequence[int], *, rounds
 
         if not moving:
             break
-        for (k, old), table in zip(now.items(), np.split(summed(rows, step, sum(size)), np.cumsum(size)[:-1])):
+        for (k, old), table in zip(now.items(), np.split(summed(rows, step, sum(size), tasks=tasks), np.cumsum(size)[:-1])):
             table = table.reshape(k, d + 1)
             new = np.where(table[:, :1] > 0, table[:, 1:] / np.maximum(table[:, :1], 1.0), old)
             centers[k] = new
             if np.sqrt(((new - old) ** 2).sum(1)).max() <= SETTLED * spread:
                 moving.discard(k)
     found = list(centers)
-    total = summed(rows, lambda x: np.array([squared(x, centers[k]).min(1).sum() for k in found]), len(found)) if found else []
+    total = summed(rows, lambda x: np.array([squared(x, centers[k]).min(1).sum() for k in found]), len(found), tasks=tasks) if found else []
     return Centers(centers, dict(zip(found, map(float, total))), done)
 
 

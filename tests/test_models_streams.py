@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from dayloom.catalog import QUERIES
+from dayloom.functions import sums
 from dayloom.operators import anomaly, clustering, neighbors, prediction
 from dayloom.operators.coverage import daily_coverage
 from dayloom.plans import modeling, reports
@@ -320,3 +321,69 @@ def test_streamed_moments_give_hourly_profile(spark, tmp_path):
     want = pdf.groupby(pdf["ts"].dt.hour)["stress"].agg(["mean", "std", "count"])
     for c in want:
         np.testing.assert_allclose(got[c], want[c])
+
+
+@pytest.fixture
+def one_row_group(tmp_path):
+    """Embeddings as a file that a single task reads."""
+    rng = np.random.default_rng(9)
+    pd.DataFrame({"vec_id": range(400), "embedding": list(rng.normal(size=(400, 64)).astype("float32")), "label": 0}).to_parquet(
+        tmp_path / "embeddings.parquet", row_group_size=400)
+    return str(tmp_path)
+
+
+def counting(monkeypatch, spark, operator):
+    """How many tasks hold the rows that ``operator`` of anomaly or clustering is given, once its query has run."""
+    held = []
+    module = anomaly if hasattr(anomaly, operator) else clustering
+    real = getattr(module, operator)
+
+    def run(df, *args, **kwargs):
+        held.append(df.select(F.spark_partition_id().alias("p")).distinct().count())
+        return real(df, *args, **kwargs)
+
+    monkeypatch.setattr(module, operator, run)
+    return held
+
+
+@pytest.mark.parametrize("name", ["detector_rates", "ensemble_vote"])
+def test_detectors_read_rows_in_many_tasks(spark, monkeypatch, one_row_group, name):
+    held = [counting(monkeypatch, spark, o) for o in ("isolation_forest", "lof", "mahalanobis")]
+    got = QUERIES[name].frame(spark, one_row_group)
+    assert got.count() == (400 if name == "ensemble_vote" else 4)
+    assert all(h and min(h) > 1 for h in held)
+
+
+def test_importance_reads_rows_in_many_tasks(spark, monkeypatch, one_row_group):
+    held = counting(monkeypatch, spark, "kmeans")
+    assert QUERIES["cluster_importance"].frame(spark, one_row_group).count() == 64
+    assert held and min(held) > 1
+
+
+def test_profiles_find_clusters_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def cluster(i):
+        seen.add(1)
+        return i % 3 - 1
+
+    rows = spark.range(300).select(F.udf(cluster, "int")("id").alias("cluster"), F.sin("id").alias("x"), F.cos("id").alias("y"))
+    got = {(r["cluster"], r["column"]): r for r in clustering.cluster_profiles(rows, XY).collect()}
+    assert seen.value == 300
+    assert set(got) == {(c, f) for c in (0, 1) for f in XY}
+    x = np.sin(np.arange(1, 300, 3))
+    one = got[0, "x"]
+    assert one["size"] == 100 and one["pct"] == pytest.approx(100 / 3) and one["median"] == pytest.approx(np.median(x))
+    assert (one["mean"], one["std"], one["min"], one["max"]) == pytest.approx((x.mean(), x.std(ddof=1), x.min(), x.max()))
+    want = {f: np.var([got[c, f]["mean"] for c in (0, 1)]) for f in XY}
+    for r in clustering.cluster_importance(clustering.cluster_statistics(rows, XY)).collect():
+        assert r["importance"] == pytest.approx(want[r["column"]] / max(want.values()))
+
+
+def test_sums_of_few_tasks_need_no_shuffle(spark, monkeypatch):
+    packed = sums.pack(spark.range(1000).select(F.col("id").cast("double").alias("a"), F.lit(2.0).alias("b"))).localCheckpoint()
+    step = lambda x: x.sum(0)
+    shuffled = sums.summed(packed, step, 2)
+    monkeypatch.setattr(type(packed), "groupBy", None)
+    np.testing.assert_array_equal(sums.summed(packed, step, 2, tasks=8), shuffled)
+    np.testing.assert_array_equal(shuffled, [499_500, 2000])
