@@ -411,7 +411,8 @@ def _nearest_by_products(visitors: pd.DataFrame, data: pd.DataFrame, k: int) ->
                 far = np.array([np.sqrt(((strip[o] - row) ** 2).sum(1).max()) for o, row in zip(at, x[some])])
                 r = np.minimum(r, far)
             with np.errstate(over="ignore"):
-                v, o = np.nonzero(dot >= (c[some] - (_wide(r) / scale) ** 2 / 2 - 1e-35)[:, None].astype(np.float32))      # less what underflows
+                near = dot >= (c[some] - (_wide(r) / scale) ** 2 / 2 - 1e-35)[:, None].astype(np.float32)      # less what underflows
+            v, o = np.divmod(np.flatnonzero(near), len(strip))      # flat, as few are near: np.nonzero takes longer than the product
             for j in range(0, len(v), max(1, _CHUNK // x.shape[1])):
                 part = slice(j, j + max(1, _CHUNK // x.shape[1]))
                 diff = x[i + v[part]] - strip[o[part]]
