@@ -32,10 +32,10 @@ def days(spark, sf):
 
 def votes(spark, sf):
     rows, keys = cut_lineage(vectors(spark, sf, even=True)), ["vec_id"]     # every detector reads it several times
-    return anomaly.ensemble({
-        "isolation_forest": anomaly.isolation_forest(rows, keys, VECTOR),
-        "local_outlier_factor": anomaly.lof(rows, keys, VECTOR),
-        "mahalanobis": anomaly.mahalanobis(rows, keys, VECTOR)}, keys)
+    return anomaly.ensemble(anomaly.label_by_shares({
+        "isolation_forest": (anomaly.isolation_forest(rows, keys, VECTOR, contamination=None, store=False), 0.05),
+        "local_outlier_factor": (anomaly.lof(rows, keys, VECTOR, contamination=None), 0.05),
+        "mahalanobis": (anomaly.mahalanobis(rows, keys, VECTOR, share=None), 0.1)}), keys)
 
 
 def clusters(spark, sf):

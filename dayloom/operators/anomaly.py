@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dayloom.functions.quantiles import lookup_by_frequency, quantiles
 from dayloom.functions.sums import summed
-from dayloom.operators.neighbors import BLOCK_ROWS, as_array, build_cells, distinct_vectors, local_outlier_factor
+from dayloom.operators.neighbors import BLOCK_ROWS, as_array, build_cells, in_tiles, local_outlier_factor
 from dayloom.session import cut_lineage
 
 
@@ -24,15 +25,16 @@ def _bits(text: Column, first: int) -> Column:
     return F.conv(F.substring(F.md5(text), first, _DRAW_BITS // 4), 16, 10).cast("long")
 
 
-def draw_samples(df: DataFrame, id_cols: Sequence[str], vec: str, trees: int, size: int, seed: int) -> DataFrame:
+def draw_samples(df: DataFrame, id_cols: Sequence[str], vec: str, trees: int, size: int, seed: int, *, n: int | None = None) -> DataFrame:
     """``tree``, ``vec``: a sample of ``size`` rows per tree, repeatable on any layout.
 
     One hash of the row gives two numbers a and b; its draw for tree t is
     (a + (t + 1) b) modulo a prime, and the rows with the least draws are taken.
     Rows with larger draws are thinned out before they are sorted into trees, so
-    the trim to ``size`` sees a few hundred rows per tree.
+    the trim to ``size`` sees a few hundred rows per tree.  ``n`` is the number of
+    rows, if known.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     rate = min(1.0, (size + 8 * size ** 0.5) / max(n, 1))
     key = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_cols])
     drawn = df.select(F.col(vec).alias("vec"), _bits(key, 1).alias("_a"), _bits(key, 9).alias("_b"))
@@ -97,15 +99,18 @@ def isolation_nodes(df: DataFrame, id_cols: Sequence[str], features: Sequence[st
 
 
 def isolation_scores(df: DataFrame, id_cols: Sequence[str], features: Sequence[str], *, trees: int = 100,
-                     sample_size: int = 256, seed: int = 42) -> DataFrame:
+                     sample_size: int = 256, seed: int = 42, store: bool = True) -> DataFrame:
     """Anomaly score in (0, 1] per row; larger is more isolated.
 
     The forest is at most ``trees * (2 * sample_size - 1)`` nodes whatever the
-    number of rows, so it is sent to every task, where all rows walk it.
+    number of rows, so it is sent to every task, where all rows walk it.  Rows
+    are read for the count, the samples and the scores; ``store`` writes them
+    once, for sources that are dearer to make than to read again.
     """
-    rows = cut_lineage(as_array(df, features, "_vec"))      # read for the count, the samples and the scores
+    rows = as_array(df, features, "_vec")
+    rows = cut_lineage(rows) if store else rows
     drawn = rows.count()
-    nodes = grow_trees(draw_samples(rows, id_cols, "_vec", trees, sample_size, seed), sample_size, seed).toPandas()
+    nodes = grow_trees(draw_samples(rows, id_cols, "_vec", trees, sample_size, seed, n=drawn), sample_size, seed).toPandas()
     forest = []
     for _, g in nodes.sort_values(["tree", "node"]).groupby("tree"):
         place = {n: i for i, n in enumerate(g["node"])}
@@ -138,27 +143,46 @@ def label_by_share(scored: DataFrame, score: str, share: float, *, label: str =
     return scored.withColumn(label, F.when(F.col(score) > cut, -1).otherwise(1))
 
 
-def isolation_forest(df: DataFrame, id_cols: Sequence[str], features: Sequence[str], *, contamination: float = 0.05,
-                     trees: int = 100, sample_size: int = 256, seed: int = 42) -> DataFrame:
-    scored = isolation_scores(df, id_cols, features, trees=trees, sample_size=sample_size, seed=seed)
+def label_by_shares(scored: Mapping[str, tuple[DataFrame, float]]) -> dict[str, DataFrame]:
+    """:func:`label_by_share` of ``score`` for several detectors, each with its share, by one run of quantiles over all of them."""
+    long = reduce(DataFrame.unionByName, [frame.select(F.lit(name).alias("detector"), "score") for name, (frame, _) in scored.items()])
+    shares = sorted({1 - share for _, share in scored.values()})
+    found = {r["detector"]: dict(zip(shares, r["q"])) for r in quantiles(long, ["detector"], "score", shares, few_groups=True).collect()}
+    return {name: frame.withColumn("label", F.when(F.col("score") > F.lit(found.get(name, {}).get(1 - share)), -1).otherwise(1))
+            for name, (frame, share) in scored.items()}
+
+
+def isolation_forest(df: DataFrame, id_cols: Sequence[str], features: Sequence[str], *, contamination: float | None = 0.05,
+                     trees: int = 100, sample_size: int = 256, seed: int = 42, store: bool = True) -> DataFrame:
+    """Isolation score and label per row; without labels where ``contamination`` is None."""
+    scored = isolation_scores(df, id_cols, features, trees=trees, sample_size=sample_size, seed=seed, store=store)
     # the score is used twice, so it is stored once
-    return label_by_share(cut_lineage(scored.select(*id_cols, "score")), "score", contamination)
+    scored = cut_lineage(scored.select(*id_cols, "score"))
+    return scored if contamination is None else label_by_share(scored, "score", contamination)
 
 
-def lof(df: DataFrame, id_cols: Sequence[str], features: Sequence[str], *, k: int = 20, contamination: float = 0.05,
+def lof(df: DataFrame, id_cols: Sequence[str], features: Sequence[str], *, k: int = 20, contamination: float | None = 0.05,
         block_rows: int = BLOCK_ROWS, nearest_blocks: int | None = None) -> DataFrame:
-    """Local outlier factor per row; exact unless ``nearest_blocks`` limits the search."""
-    rows = as_array(df, features, "_vec").select(*id_cols, "_vec")
-    cells = build_cells(distinct_vectors(rows, "_vec"), block_rows=block_rows)
-    scored = cells.points.select("id", "vec", "weight").join(local_outlier_factor(
-        cells, k, block_rows=block_rows, nearest_blocks=nearest_blocks), "id")
-    table = scored.select(F.col("vec").alias("_vec"), "weight", F.col("lof").alias("score"))
-    back = lookup_by_frequency(rows, cut_lineage(table), ["_vec"], "weight").drop("_vec")
-    return label_by_share(cut_lineage(back), "score", contamination)
+    """Local outlier factor per row; exact unless ``nearest_blocks`` limits the search; without labels where ``contamination`` is None.
 
-
-def mahalanobis(df: DataFrame, id_cols: Sequence[str], features: Sequence[str], *, share: float = 0.1) -> DataFrame:
-    """Distance from the mean in units of the covariance, over rows that have all features.
+    A vector of one row keeps that row's ids; only rows of copies are looked up by their vector.
+    """
+    rows = as_array(df, features, "_vec").select(*id_cols, "_vec")
+    only = {f"_only{i}": c for i, c in enumerate(id_cols)}
+    points = rows.groupBy(F.col("_vec").alias("vec")).agg(F.count("*").alias("weight"), *[F.first(c).alias(o) for o, c in only.items()])
+    cells = build_cells(points, block_rows=block_rows, boxed_blocks=not in_tiles(len(features), nearest_blocks))
+    copied = F.col("weight") > 1
+    scored = cut_lineage(cells.points.select("id", F.when(copied, F.col("vec")).alias("_vec"), "weight", *only).join(local_outlier_factor(
+        cells, k, block_rows=block_rows, nearest_blocks=nearest_blocks), "id").withColumnRenamed("lof", "score").drop("id"))
+    back = scored.where(~copied).select(*[F.col(o).alias(c) for o, c in only.items()], "score")
+    copies = scored.where(copied).select("_vec", "weight", "score")
+    if not copies.isEmpty():
+        back = cut_lineage(back.unionByName(lookup_by_frequency(rows, copies, ["_vec"], "weight").drop("_vec")))
+    return back if contamination is None else label_by_share(back, "score", contamination)
+
+
+def mahalanobis(df: DataFrame, id_cols: Sequence[str], features: Sequence[str], *, share: float | None = 0.1) -> DataFrame:
+    """Distance from the mean in units of the covariance, over rows that have all features; without labels where ``share`` is None.
 
     Two scans: means, and products of the centred features as one matrix per task.
     The distance is the length of the centred row after it was multiplied by a
@@ -185,7 +209,8 @@ def mahalanobis(df: DataFrame, id_cols: Sequence[str], features: Sequence[str],
         return pd.Series(np.sqrt((z * z).sum(1)))
 
     scored = whole.select(*id_cols, distance(*[F.col(c).cast("double") for c in features]).alias("score"))
-    return label_by_share(cut_lineage(scored), "score", share)
+    scored = cut_lineage(scored)
+    return scored if share is None else label_by_share(scored, "score", share)
 
 
 def ensemble(labels: Mapping[str, DataFrame], id_cols: Sequence[str]) -> DataFrame:

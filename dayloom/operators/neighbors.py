@@ -13,21 +13,23 @@ visitors.  Copies of a vector are one row with a weight.
 Cost: in few dimensions a row is compared with its surroundings only (the tests
 state shares); in many, or where most of the table is within the radius, exact
 results need most of the table, whatever the layout.  Above ``WIDE`` columns
-nearest neighbours are therefore found between tiles of many cells by matrix
-products, which bound all distances of two tiles at once; only pairs within
-these bounds are measured.  Pairs still grow with the square of the table there,
-at a small cost each and in tasks of two tiles.  ``nearest_blocks`` bounds
+nearest neighbours are therefore found by tiles of many cells and matrix
+products, which bound all distances of a tile and a strip of rows at once; only
+pairs within these bounds are measured.  Pairs still grow with the square of the
+table there, at a small cost each: a task holds one tile and its neighbours so
+far, and the table streams past it in strips.  ``nearest_blocks`` bounds
 the work: neighbours are then those of that many blocks, and recall is
 what the tests measure.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,10 +43,10 @@ BLOCK_ROWS, LEAF = 256, 4
 #: Blocks that a row visits before its radius is settled.
 FIRST_BLOCKS = 4
 _CHUNK = 2_000_000      # numbers in one array of differences
-#: More columns than these are searched in tiles, of so many rows at least and at most; a large table has this many of them or more.
+#: More columns than these are searched in tiles, of so many rows at least and at most; a large table has about this many of them or more.
 WIDE = 16
-TILE_ROWS, TILES = (4096, 32_768), 8
-_STRIP = 8192           # rows of a tile that are in one product
+TILE_ROWS, TILES = (4096, 32_768), 24
+_STRIP = 8192           # rows that are in one product with a tile, at most
 
 
 def as_array(df: DataFrame, features: Sequence[str], out: str = "vec") -> DataFrame:
@@ -114,8 +116,8 @@ class Cells:
     low: np.ndarray             # boxes of the cells
     high: np.ndarray
     weight: np.ndarray          # rows of each cell, copies counted
-    points: DataFrame           # id, vec, weight, cell, block
-    blocks: DataFrame           # cell, block, low, high: boxes of the blocks
+    points: DataFrame           # id, vec, weight, cell, block, and the further columns of the given points
+    blocks: DataFrame | None    # cell, block, low, high: boxes of the blocks
 
 
 def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -149,11 +151,18 @@ def _wide(radius: np.ndarray) -> np.ndarray:
     return radius * (1 + 1e-9) + 1e-9
 
 
-def build_cells(points: DataFrame, *, block_rows: int = BLOCK_ROWS, cells: int = CELLS, seed: int = 42) -> Cells:
+def _vectors(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    column = table.column("vec")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def build_cells(points: DataFrame, *, block_rows: int = BLOCK_ROWS, cells: int = CELLS, seed: int = 42, boxed_blocks: bool = True) -> Cells:
     """Every distinct vector with an id, its cell and its block.
 
     Cells are joined with their neighbours until each has half a block of rows;
     a cell has about a ``cells``-th of the rows and is split on in one task.
+    Without ``boxed_blocks`` only cells have boxes, which is all that tiles need.
     """
     points = cut_lineage(points)
     n = points.count()
@@ -168,7 +177,7 @@ def build_cells(points: DataFrame, *, block_rows: int = BLOCK_ROWS, cells: int =
     def route(vec: pd.Series) -> pd.Series:
         return pd.Series(router(np.stack(vec.to_numpy()).astype(float)).astype("int32"))
 
-    placed = cut_lineage(points.select("vec", "weight", route("vec").alias("_leaf")))
+    placed = cut_lineage(points.withColumn("_leaf", route("vec")))
     counts = {r["_leaf"]: r["count"] for r in placed.groupBy("_leaf").count().collect()}      # one row per leaf
     cell_of, held, cell = [], 0, 0
     for leaf in range(int(router.left[router.feature < 0].max()) + 1):
@@ -179,19 +188,30 @@ def build_cells(points: DataFrame, *, block_rows: int = BLOCK_ROWS, cells: int =
     if held < block_rows // 2 and cell:         # the last one has too few
         cell_of = [min(c, cell - 1) for c in cell_of]
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, at = np.stack(pdf["vec"].to_numpy()).astype(float), int(pdf["_leaf"].iloc[0])
-        pdf = pdf.iloc[np.lexsort(x.T[::-1])]       # the same whatever order the rows come in
-        x = np.stack(pdf["vec"].to_numpy()).astype(float)
-        groups = median_splits(x, block_rows)
-        rows = np.concatenate(groups)
+    further = [f for f in points.schema.fields if f.name not in ("vec", "weight")]
+
+    def split(table: pa.Table) -> pa.Table:
+        x, at = _vectors(table), table.column("_leaf")[0].as_py()
+        order = np.lexsort(x.T[::-1])       # the same whatever order the rows come in
+        groups = median_splits(x[order], block_rows)
+        rows = order[np.concatenate(groups)]
         block = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-        return pd.DataFrame({"id": (at << 32) + np.arange(len(rows)), "vec": pdf["vec"].to_numpy()[rows],
-                             "weight": pdf["weight"].to_numpy()[rows], "cell": np.full(len(rows), at, "int32"), "block": block.astype("int32")})
+        own = {"id": pa.array((at << 32) + np.arange(len(rows))), "vec": table.column("vec").take(pa.array(rows)),
+               "weight": table.column("weight").take(pa.array(rows)), "cell": pa.array(np.full(len(rows), at, "int32")), "block": pa.array(block.astype("int32"))}
+        return pa.table(own | {f.name: table.column(f.name).take(pa.array(rows)) for f in further})
 
     number = F.element_at(F.lit(cell_of), F.col("_leaf") + 1).cast("int")
-    points = cut_lineage(placed.withColumn("_leaf", number).groupBy("_leaf").applyInPandas(
-        split, "id long, vec array<double>, weight long, cell int, block int"))
+    schema = T.StructType(T._parse_datatype_string("id long, vec array<double>, weight long, cell int, block int").fields + further)
+    points = cut_lineage(placed.withColumn("_leaf", number).groupBy("_leaf").applyInArrow(split, schema))
+
+    if not boxed_blocks:
+        def box(table: pa.Table) -> pa.Table:
+            x = _vectors(table)
+            return pa.table({"cell": table.column("cell")[:1], "low": pa.array([x.min(0)], pa.list_(pa.float64())),
+                             "high": pa.array([x.max(0)], pa.list_(pa.float64())), "weight": pa.array([sum(table.column("weight").to_pylist())], pa.int64())})
+
+        return _cells(points.select("cell", "vec", "weight").groupBy("cell").applyInArrow(
+            box, "cell int, low array<double>, high array<double>, weight long"), points, None)
 
     def boxes(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -201,14 +221,17 @@ def build_cells(points: DataFrame, *, block_rows: int = BLOCK_ROWS, cells: int =
         return pd.DataFrame(parts, columns=["cell", "block", "low", "high", "weight"])
 
     blocks = cut_lineage(points.groupBy("cell").applyInPandas(boxes, "cell int, block int, low array<double>, high array<double>, weight long"))
-    ends = blocks.groupBy("cell").applyInPandas(lambda g: pd.DataFrame({
+    return _cells(blocks.groupBy("cell").applyInPandas(lambda g: pd.DataFrame({
         "cell": [int(g["cell"].iloc[0])], "low": [np.stack(g["low"].to_numpy()).min(0).tolist()],
         "high": [np.stack(g["high"].to_numpy()).max(0).tolist()], "weight": [int(g["weight"].sum())]}),
-        "cell int, low array<double>, high array<double>, weight long").collect()       # one row per cell
-    ends = sorted(ends, key=lambda r: r["cell"])
+        "cell int, low array<double>, high array<double>, weight long"), points, blocks.drop("weight"))
+
+
+def _cells(boxes: DataFrame, points: DataFrame, blocks: DataFrame | None) -> Cells:
+    ends = sorted(boxes.collect(), key=lambda r: r["cell"])         # one row per cell
     width = len(ends[0]["low"]) if ends else 0
     return Cells(np.array([r["low"] for r in ends], dtype=float).reshape(-1, width), np.array([r["high"] for r in ends], dtype=float).reshape(-1, width),
-                 np.array([r["weight"] for r in ends], dtype=np.int64), points, blocks.drop("weight"))
+                 np.array([r["weight"] for r in ends], dtype=np.int64), points, blocks)
 
 
 def _box_column() -> Column:
@@ -387,87 +410,126 @@ def _products(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return a, b, keep / 2 * x2
 
 
-def _nearest_by_products(visitors: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataFrame:
-    """As :func:`_nearest`, for many columns: products bound the distances from below, pairs that may be near enough are measured.
-
-    A visitor's radius shrinks to its k-th neighbour from strip to strip of the data.
-    """
-    me, ids = visitors["id"].to_numpy(dtype=np.int64), data["id"].to_numpy(dtype=np.int64)
-    weights, radius = data["weight"].to_numpy(dtype=np.int64), visitors["radius"].to_numpy(dtype=float).copy()
-    x, y = _matrix(visitors) if len(visitors) else np.zeros((0, 1)), _matrix(data) if len(data) else np.zeros((0, 1))
-    scale = max(np.abs(x).max(initial=0.0), np.abs(y).max(initial=0.0)) or 1.0      # keeps squares finite in single precision
-    best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-    for first in range(0, len(y) if len(x) else 0, _STRIP):
-        strip = y[first:first + _STRIP]
-        a, b, c = _products(x / scale, strip / scale)
-        found = [best]
-        step = max(1, _CHUNK // len(strip))
+class _Search:
+    """The ``k`` nearest of all rows met so far for each row of a tile, for many columns: products bound the distances from below, pairs that
+    may be near enough are measured.  A row's radius shrinks to its k-th neighbour whenever the pairs found since are merged."""
+
+    def __init__(self, me: np.ndarray, x: np.ndarray, k: int):
+        self.me, self.x, self.k, self.radius = me, x, k, np.full(len(x), np.inf)
+        self.found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        self.pending = 0
+
+    def meet(self, ids: np.ndarray, weights: np.ndarray, y: np.ndarray) -> None:
+        r = _wide(self.radius)
+        rows = np.flatnonzero(box_distance(self.x, np.fmin.reduce(y)[None], np.fmax.reduce(y)[None])[:, 0] <= r)
+        if not len(rows):
+            return
+        x, r = self.x[rows], r[rows]
+        scale = max(np.abs(x).max(), np.abs(y).max()) or 1.0        # keeps squares finite in single precision
+        a, b, c = _products(x / scale, y / scale)
+        open_ = np.isinf(r).any() and len(y) > self.k
+        step = max(1, _CHUNK // len(y))
         for i in range(0, len(x), step):
             some = slice(i, i + step)
-            dot = a[some] @ b.T
-            r = radius[some]
-            if np.isinf(r).any() and len(strip) > k:        # k rows besides its own are within the k + 1 largest products
-                at = np.argpartition(dot, len(strip) - k - 1, axis=1)[:, -k - 1:]
-                far = np.array([np.sqrt(((strip[o] - row) ** 2).sum(1).max()) for o, row in zip(at, x[some])])
-                r = np.minimum(r, far)
+            dot, reach = a[some] @ b.T, r[some]
+            if open_:               # k rows besides its own are within the k + 1 largest products
+                at = np.argpartition(dot, len(y) - self.k - 1, axis=1)[:, -self.k - 1:]
+                far = np.array([np.sqrt(((y[o] - row) ** 2).sum(1).max()) for o, row in zip(at, x[some])])
+                reach = np.minimum(reach, _wide(far))
             with np.errstate(over="ignore"):
-                near = dot >= (c[some] - (_wide(r) / scale) ** 2 / 2 - 1e-35)[:, None].astype(np.float32)      # less what underflows
-            v, o = np.divmod(np.flatnonzero(near), len(strip))      # flat, as few are near: np.nonzero takes longer than the product
+                near = dot >= (c[some] - (reach / scale) ** 2 / 2 - 1e-35)[:, None].astype(np.float32)      # less what underflows
+            v, o = np.divmod(np.flatnonzero(near), len(y))          # flat, as few are near: np.nonzero takes longer than the product
             for j in range(0, len(v), max(1, _CHUNK // x.shape[1])):
                 part = slice(j, j + max(1, _CHUNK // x.shape[1]))
-                diff = x[i + v[part]] - strip[o[part]]
+                diff = x[i + v[part]] - y[o[part]]
                 d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-                near = d <= _wide(r[v[part]])
-                at, row = first + o[part][near], i + v[part][near]
-                found.append((row, ids[at], d[near], weights[at] - (ids[at] == me[row])))
-        v, other, d, weight = (np.concatenate(p) for p in zip(*found))
+                near = d <= reach[v[part]]
+                at, row = o[part][near], rows[i + v[part][near]]
+                self.found.append((row, ids[at], d[near], weights[at] - (ids[at] == self.me[row])))
+                self.pending += len(row)
+            if self.pending > 2 * self.k * len(self.x) + 4 * step * self.k:
+                self.merge()
+                r = np.minimum(r, _wide(self.radius[rows]))
+        if self.pending >= self.k * len(self.x) // 2:
+            self.merge()
+
+    def merge(self) -> None:
+        v, other, d, weight = (np.concatenate(p) for p in zip(*self.found))
         order = np.lexsort((other, d, v))
         order = order[weight[order] > 0]
         v, other, d, weight = v[order], other[order], d[order], weight[order]
-        start = np.searchsorted(v, v, side="left")
-        total = np.cumsum(weight)
-        before = total - weight
-        keep = before - before[start] < k
-        best = v[keep], other[keep], d[keep], weight[keep]
-        held, farthest = np.zeros(len(x), np.int64), np.zeros(len(x))
-        np.add.at(held, best[0], best[3])
-        np.maximum.at(farthest, best[0], best[2])
-        radius = np.where(held >= k, np.minimum(radius, farthest), radius)
-    return pd.DataFrame({"id": me[best[0]], "other": best[1], "distance": best[2], "weight": best[3]})
+        before = np.cumsum(weight) - weight
+        before = before - before[np.searchsorted(v, v, side="left")]
+        keep = before < self.k
+        v, other, d, weight = v[keep], other[keep], d[keep], weight[keep]
+        self.found, self.pending = [(v, other, d, np.minimum(weight, self.k - before[keep]))], 0
+        held = np.bincount(v, self.found[0][3], len(self.x))
+        farthest = np.zeros(len(self.x))
+        farthest[v] = d             # the last one of a row is the farthest
+        self.radius = np.where(held >= self.k, np.minimum(self.radius, farthest), self.radius)
+
+    def nearest(self) -> pa.RecordBatch:
+        self.merge()
+        v, other, distance, weight = self.found[0]
+        return pa.record_batch({"id": pa.array(self.me[v]), "other": pa.array(other), "distance": pa.array(distance), "weight": pa.array(weight.astype(np.int64))})
+
+
+def _strips(table: pa.Table) -> pa.Table:
+    """The rows of a tile as a row per strip."""
+    x, ids, weight = _vectors(table), table.column("id").to_numpy(), table.column("weight").to_numpy()
+    order = np.argsort(ids)
+    parts = np.array_split(order, -(-len(order) // _STRIP))
+    return pa.table({"tile": pa.array([table.column("tile")[0].as_py()] * len(parts), pa.int32()), "strip": pa.array(range(len(parts)), pa.int32()), **{
+        name: pa.array([np.ascontiguousarray(c[p]).tobytes() for p in parts], pa.binary()) for name, c in (("ids", ids), ("weights", weight), ("rows", x))}})
 
 
 def _nearest_in_tiles(cells: Cells, k: int) -> DataFrame:
-    """k nearest rows by tiles of neighbouring cells: first a row's own tile, then all tiles whose box is within the radius found there."""
+    """k nearest rows by tiles of neighbouring cells: all strips of the table stream past each tile, its own first, then those of the nearest tiles."""
     counts = {r["cell"]: r["count"] for r in cells.points.groupBy("cell").count().collect()}     # one row per cell
     number = np.array([counts.get(c, 0) for c in range(len(cells.low))])
     rows = min(max(TILE_ROWS[0], -(-int(number.sum()) // TILES)), TILE_ROWS[1])
     tile = ((np.cumsum(number) - number) // rows).astype(int)
     tile = np.unique(tile, return_inverse=True)[1]
-    starts = np.flatnonzero(np.diff(tile, prepend=-1))
-    low, high = np.minimum.reduceat(cells.low, starts), np.maximum.reduceat(cells.high, starts)
-    points = cells.points.select("id", "vec", "weight", F.element_at(F.lit(tile.tolist()), F.col("cell") + 1).cast("int").alias("own"))
-
-    def inside(group: pd.DataFrame) -> pd.DataFrame:
-        return _nearest_by_products(group.assign(radius=np.inf), group, k)
-
-    found = cut_lineage(points.groupBy("own").applyInPandas(inside, NEIGHBOR_SCHEMA))
-    if len(low) < 2:
-        return _first_k(found, k)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def reachable(vec: pd.Series, radius: pd.Series, own: pd.Series) -> pd.Series:
-        near = box_distance(np.stack(vec.to_numpy()).astype(float), low, high) <= _wide(radius.to_numpy(dtype=float))[:, None]
-        near[np.arange(len(near)), own.to_numpy()] = False
-        return pd.Series([np.flatnonzero(n).astype("int32").tolist() for n in near], dtype=object)
-
-    settled = found.groupBy("id").agg(F.when(F.sum("weight") >= k, F.max("distance")).alias("radius"))
-    asking = (points.join(settled, "id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
-              .withColumn("tile", F.explode(reachable("vec", "radius", "own"))))
-    held = points.withColumnRenamed("own", "tile").withColumn("own", F.explode(F.sequence(F.lit(0), F.lit(len(low) - 1)))).where("own <> tile")
-    held = held.toDF(*held.columns)     # columns of its own, for the table meets itself
-    rest = asking.groupBy("tile", "own").cogroup(held.groupBy("tile", "own")).applyInPandas(
-        lambda v, d: _nearest_by_products(v, d, k), NEIGHBOR_SCHEMA)
-    return _first_k(found.unionByName(rest), k)
+    tiles = int(tile.max(initial=0)) + 1
+    strips = cut_lineage(cells.points.select("id", "vec", "weight", F.element_at(F.lit(tile.tolist()), F.col("cell") + 1).cast("int").alias("tile"))
+                         .groupBy("tile").applyInArrow(_strips, "tile int, strip int, ids binary, weights binary, rows binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple[np.ndarray, ...]] = []
+        asks = search = None
+        for batch in batches:
+            for one in batch.to_pylist():
+                if one["asks"] != asks:
+                    if own:
+                        yield (search or _begin(own, k)).nearest()
+                    asks, own, search = one["asks"], [], None
+                ids = np.frombuffer(one["ids"], np.int64)
+                strip = ids, np.frombuffer(one["weights"], np.int64), np.frombuffer(one["rows"]).reshape(len(ids), -1)
+                if one["tile"] == asks:
+                    own.append(strip)
+                    continue
+                search = search or _begin(own, k)
+                search.meet(*strip)
+        if own:
+            yield (search or _begin(own, k)).nearest()
+
+    asked = strips.withColumn("asks", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    return asked.repartitionById(tiles, F.col("asks")).sortWithinPartitions(
+        "asks", F.abs(F.col("tile") - F.col("asks")), "tile", "strip").mapInArrow(run, NEIGHBOR_SCHEMA)
+
+
+def _begin(own: Sequence[tuple[np.ndarray, ...]], k: int) -> _Search:
+    ids, _, x = (np.concatenate(c) for c in zip(*own))
+    search = _Search(ids, x, k)
+    for strip in own:
+        search.meet(*strip)
+        search.merge()
+    return search
+
+
+def in_tiles(columns: int, nearest_blocks: int | None = None) -> bool:
+    """Whether nearest neighbours are found by tiles, which need no boxes of blocks."""
+    return columns > WIDE and nearest_blocks is None
 
 
 def nearest_neighbors(cells: Cells, k: int, *, block_rows: int = BLOCK_ROWS, nearest_blocks: int | None = None) -> DataFrame:
@@ -475,7 +537,7 @@ def nearest_neighbors(cells: Cells, k: int, *, block_rows: int = BLOCK_ROWS, nea
 
     Exact, unless ``nearest_blocks`` limits the cells that a row visits to that many.
     """
-    if cells.low.shape[1] > WIDE and nearest_blocks is None:
+    if in_tiles(cells.low.shape[1], nearest_blocks):
         return _nearest_in_tiles(cells, k)
     visitors = bounded_radius(cells, k)
     kernel = lambda v, d: _nearest(v, d, k)

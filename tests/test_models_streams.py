@@ -146,6 +146,41 @@ def test_many_columns_are_searched_between_tiles_not_blocks(spark, monkeypatch,
         np.testing.assert_array_equal(np.repeat(group["distance"], group["weight"]), want[vec])
 
 
+@pytest.mark.parametrize("copies", [0, 60])
+def test_factors_of_many_columns_are_settled_by_tile_and_returned_by_id(spark, monkeypatch, copies):
+    """Each tile meets all strips in one task, and only rows of copies are looked up by their vector."""
+    monkeypatch.setattr(neighbors, "TILE_ROWS", (300, 300))
+    monkeypatch.setattr(neighbors, "_STRIP", 100)
+    monkeypatch.setattr(neighbors, "_first_k", None)
+    looked_up = []
+    real = anomaly.lookup_by_frequency
+    monkeypatch.setattr(anomaly, "lookup_by_frequency", lambda rows, *args, **kwargs: looked_up.append(1) or real(rows, *args, **kwargs))
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(1000, 20)), 0.1 * rng.normal(size=(200, 20)) + 3])
+    x = np.concatenate([x, x[:copies]])
+    columns = [f"x{i}" for i in range(20)]
+    rows = pd.DataFrame(x, columns=columns).assign(name=[f"n{i}" for i in range(len(x))], part=np.arange(len(x)) % 7)
+    got = anomaly.lof(spark.createDataFrame(rows), ["name", "part"], columns, k=10, contamination=None).toPandas().set_index("name")
+    assert len(got) == len(x) and (got.loc[rows["name"], "part"].to_numpy() == rows["part"]).all()
+    np.testing.assert_allclose(got.loc[rows["name"], "score"], brute_lof(x, 10), rtol=1e-9)
+    assert bool(looked_up) == (copies > 0)
+
+
+def test_votes_find_all_cuts_in_one_run(spark, monkeypatch):
+    runs, real = [], anomaly.quantiles
+    monkeypatch.setattr(anomaly, "quantiles", lambda *args, **kwargs: runs.append(1) or real(*args, **kwargs))
+    assert QUERIES["ensemble_vote"].frame(spark, SF_SMALL).count() == 500 and len(runs) == 1
+
+
+def test_labels_by_shares_are_those_of_each_share(spark):
+    frames = {n: (spark.range(m).select("id", (F.sin("id") * m).alias("score")), s) for n, m, s in (("a", 301, 0.05), ("b", 40, 0.1), ("c", 0, 0.1))}
+    got = anomaly.label_by_shares(frames)
+    assert got.pop("c").count() == 0
+    for name, labelled in got.items():
+        want = anomaly.label_by_share(frames[name][0], "score", frames[name][1])
+        assert sorted(map(tuple, labelled.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("block_rows", [30, 5000])
 def test_dbscan_equals_brute_force(spark, blobs, block_rows):
     got = clustering.dbscan(spark.createDataFrame(blobs), XY, eps=0.6, min_samples=8, block_rows=block_rows).toPandas().sort_values("id")
