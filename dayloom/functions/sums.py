@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,3 +65,30 @@ def summed(rows: DataFrame, step: Callable[[np.ndarray], np.ndarray], width: int
     for r in rows.mapInArrow(run, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
         out[r["at"]] = r["s"]
     return out
+
+
+@contextlib.contextmanager
+def held(packed: DataFrame) -> Iterator[RDD]:
+    """Blocks of stored packed rows, kept by the executors meanwhile: a scan then costs little more than its tasks.
+
+    Blocks that do not fit in memory go to the executors' disks, those of a lost executor are read again from the table.
+    """
+    blocks = packed.rdd.map(lambda r: (r["_n"], bytes(r["_block"]))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield blocks
+    finally:
+        blocks.unpersist()
+
+
+def summed_blocks(blocks: RDD, step: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """:func:`summed` of blocks that are :func:`held`; many long arrays are added up in a shuffle before."""
+    def added(parts: Iterator[tuple[int, bytes]]) -> Iterator[np.ndarray]:
+        total = np.zeros(width)
+        for n, block in parts:
+            total += step(np.frombuffer(block).reshape(n, -1))
+        yield total
+
+    arrays = blocks.mapPartitions(added)
+    if blocks.getNumPartitions() * width <= _DIRECT:
+        return sum(arrays.collect(), np.zeros(width))
+    return arrays.treeReduce(np.add)

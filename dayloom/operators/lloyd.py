@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.functions.sums import matrices, pack, summed
+from dayloom.functions.sums import held, matrices, pack, summed, summed_blocks
 from dayloom.session import cut_lineage
 
 MAX_ROUNDS = 100
@@ -95,32 +95,33 @@ def fit_all(df: DataFrame, features: Sequence[str], ks: Sequence[int], *, rounds
     A centre without rows stays where it is.  ks above the number of different rows are left out.
     """
     rows = cut_lineage(pack(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)]).na.drop()))
-    d, tasks = len(features), rows.rdd.getNumPartitions()
-    first = summed(rows, lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 2 * d + 1, tasks=tasks)
-    n = max(first[0], 1.0)
-    mean = first[1:d + 1] / n
-    spread = float(np.sqrt(max((first[d + 1:] / n - mean**2).sum(), 0.0))) or 1.0
-    start = farthest_first(rows, mean, max(ks, default=0))
-    centers = {k: start[:k].copy() for k in sorted(set(ks)) if 0 < k <= len(start)}
-    moving, done = set(centers), 0
-    for done in range(1, rounds + 1):
-        now = {k: centers[k] for k in sorted(moving)}
-        size = [k * (d + 1) for k in now]
-
-        def step(x: np.ndarray, now=now) -> np.ndarray:
-            owned = [own[:, None] == np.arange(k) for k, own in zip(now, nearest(x, list(now.values())))]
-            return (np.concatenate(owned, axis=1).T.astype(float) @ np.concatenate([np.ones((len(x), 1)), x], axis=1)).ravel()
-
-        if not moving:
-            break
-        for (k, old), table in zip(now.items(), np.split(summed(rows, step, sum(size), tasks=tasks), np.cumsum(size)[:-1])):
-            table = table.reshape(k, d + 1)
-            new = np.where(table[:, :1] > 0, table[:, 1:] / np.maximum(table[:, :1], 1.0), old)
-            centers[k] = new
-            if np.sqrt(((new - old) ** 2).sum(1)).max() <= SETTLED * spread:
-                moving.discard(k)
-    found = list(centers)
-    total = summed(rows, lambda x: np.array([squared(x, centers[k]).min(1).sum() for k in found]), len(found), tasks=tasks) if found else []
+    d = len(features)
+    with held(rows) as blocks:
+        first = summed_blocks(blocks, lambda x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 2 * d + 1)
+        n = max(first[0], 1.0)
+        mean = first[1:d + 1] / n
+        spread = float(np.sqrt(max((first[d + 1:] / n - mean**2).sum(), 0.0))) or 1.0
+        start = farthest_first(rows, mean, max(ks, default=0))
+        centers = {k: start[:k].copy() for k in sorted(set(ks)) if 0 < k <= len(start)}
+        moving, done = set(centers), 0
+        for done in range(1, rounds + 1):
+            now = {k: centers[k] for k in sorted(moving)}
+            size = [k * (d + 1) for k in now]
+
+            def step(x: np.ndarray, now=now) -> np.ndarray:
+                owned = [own[:, None] == np.arange(k) for k, own in zip(now, nearest(x, list(now.values())))]
+                return (np.concatenate(owned, axis=1).T.astype(float) @ np.concatenate([np.ones((len(x), 1)), x], axis=1)).ravel()
+
+            if not moving:
+                break
+            for (k, old), table in zip(now.items(), np.split(summed_blocks(blocks, step, sum(size)), np.cumsum(size)[:-1])):
+                table = table.reshape(k, d + 1)
+                new = np.where(table[:, :1] > 0, table[:, 1:] / np.maximum(table[:, :1], 1.0), old)
+                centers[k] = new
+                if np.sqrt(((new - old) ** 2).sum(1)).max() <= SETTLED * spread:
+                    moving.discard(k)
+        found = list(centers)
+        total = summed_blocks(blocks, lambda x: np.array([squared(x, centers[k]).min(1).sum() for k in found]), len(found)) if found else []
     return Centers(centers, dict(zip(found, map(float, total))), done)
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from dayloom.catalog import QUERIES
 from dayloom.functions import sums
-from dayloom.operators import anomaly, clustering, neighbors, prediction
+from dayloom.operators import anomaly, clustering, lloyd, neighbors, prediction
 from dayloom.operators.coverage import daily_coverage
 from dayloom.plans import modeling, reports
+from dayloom.session import cut_lineage
 from dayloom.streaming import incremental
 
 XY = ["x", "y"]
@@ -422,3 +423,27 @@ def test_sums_of_few_tasks_need_no_shuffle(spark, monkeypatch):
     monkeypatch.setattr(type(packed), "groupBy", None)
     np.testing.assert_array_equal(sums.summed(packed, step, 2, tasks=8), shuffled)
     np.testing.assert_array_equal(shuffled, [499_500, 2000])
+
+
+def test_rounds_read_blocks_that_executors_hold(spark, monkeypatch):
+    """No round reads the stored table again, and the blocks are given back."""
+    seen, real = [], lloyd.summed_blocks
+    kept = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = kept()
+    monkeypatch.setattr(lloyd, "summed", None)
+    monkeypatch.setattr(lloyd, "summed_blocks", lambda blocks, *args: seen.append((blocks.is_cached, kept())) or real(blocks, *args))
+    found = lloyd.fit_all(spark.range(900).select(F.sin("id").alias("x"), F.cos(F.col("id") * 3).alias("y")), XY, [3])
+    assert len(seen) > found.rounds > 4 and set(seen) == {(True, before + 1)}
+    assert kept() == before
+
+
+@pytest.mark.parametrize("direct", [1 << 22, 0])
+def test_held_blocks_are_summed_like_their_table(spark, monkeypatch, direct):
+    monkeypatch.setattr(sums, "_DIRECT", direct)
+    stored = cut_lineage(sums.pack(spark.range(5000).select(F.col("id").cast("double").alias("a"), F.lit(2.0).alias("b"))))
+    step = lambda x: np.concatenate([[len(x)], x.sum(0)])
+    with sums.held(stored) as blocks:
+        np.testing.assert_array_equal(sums.summed_blocks(blocks, step, 3), [5000, 4999 * 2500, 10_000])
+    none = cut_lineage(sums.pack(spark.range(0).select(F.col("id").cast("double").alias("a"))))
+    with sums.held(none) as blocks:
+        np.testing.assert_array_equal(sums.summed_blocks(blocks, step, 2), [0, 0])
